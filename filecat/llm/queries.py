@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from filecat.llm.bpe_codec import bpe_round_trip
 from filecat.llm.common import ship, table
 from filecat.llm.packing import pack
+from filecat.llm.quality_model import quality_scores
+from filecat.llm.quality_rules import repetition_rules
+from filecat.llm.simhash import near_duplicates
 from filecat.llm.token_count import token_counts
 
 
@@ -17,10 +20,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42, radius=2)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=2048)
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=4000)
+
+
+def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
