@@ -15,8 +15,8 @@ from filecat.llm.words import covered, cut, hashes, inside, mixed, rolling
 TOP_GRAM = {2: 0.20, 3: 0.18, 4: 0.16}
 #: ... in n-grams that the text has had before (a line at the head that the foot of a short text repeats stays below), ...
 REPEATED_GRAMS = dict.fromkeys(range(5, 11), 0.20)
-#: ... in repeated lines, and the greatest share of repeated lines.
-LINE_CHARS, LINES = 0.20, 0.30
+#: ... and in repeated lines.
+LINE_CHARS = 0.20
 #: Texts of fewer words fail.
 LEAST_WORDS = 50
 #: Code points: every byte that does not continue one.
@@ -89,22 +89,21 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
             all_chars = by_text(chars, bounds)
             owner = np.repeat(np.arange(len(texts)), n_words)
             lines = np.array([lines_of(t) for t in texts]).reshape(-1, 4)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bad = (lines[:, 1] > LINES * lines[:, 0]) | (lines[:, 3] > LINE_CHARS * lines[:, 2])
-                repeats = np.zeros(len(texts), np.int64)
-                total_chars = np.concatenate([[0], np.cumsum(chars)])
-                for n in (*TOP_GRAM, *REPEATED_GRAMS):
-                    starts, count, again = repeated(hashed, bounds, owner, n)
-                    twice = starts[count > 1]
-                    if n == 3:
-                        repeats = by_text(covered(twice, n, total).astype(np.int64), bounds)
-                    if n in TOP_GRAM and len(twice):
-                        share = (total_chars[twice + n] - total_chars[twice]) * count[count > 1]
-                        top = np.zeros(len(texts), np.int64)
-                        np.maximum.at(top, owner[twice], share)
-                        bad |= top > TOP_GRAM[n] * all_chars
-                    elif n in REPEATED_GRAMS and len(twice):
-                        bad |= by_text(chars * covered(starts[again], n, total), bounds) > REPEATED_GRAMS[n] * all_chars
+            bad = lines[:, 3] > LINE_CHARS * lines[:, 2]
+            repeats = np.zeros(len(texts), np.int64)
+            total_chars = np.concatenate([[0], np.cumsum(chars)])
+            for n in (*TOP_GRAM, *REPEATED_GRAMS):
+                starts, count, again = repeated(hashed, bounds, owner, n)
+                twice = starts[count > 1]
+                if n == 3:
+                    repeats = by_text(covered(twice, n, total).astype(np.int64), bounds)
+                if n in TOP_GRAM and len(twice):
+                    share = (total_chars[twice + n] - total_chars[twice]) * count[count > 1]
+                    top = np.zeros(len(texts), np.int64)
+                    np.maximum.at(top, owner[twice], share)
+                    bad |= top > TOP_GRAM[n] * all_chars
+                elif n in REPEATED_GRAMS and len(twice):
+                    bad |= by_text(chars * covered(starts[again], n, total), bounds) > REPEATED_GRAMS[n] * all_chars
             failed = (n_words < LEAST_WORDS) | (100 * repeats > 50 * n_words)
             yield set_out({
                 "doc_id": (batch.column("doc_id"), pa.int64()), "n_words": (n_words, pa.int64()), "word_chars": (all_chars, pa.int64()), "n_symbols": (symbols, pa.int64()),

@@ -13,6 +13,7 @@ from filecat.llm.packing import pack
 from filecat.llm.quality_model import quality_scores
 from filecat.llm.quality_rules import repetition_rules
 from filecat.llm.simhash import near_duplicates
+from filecat.llm.substring_dedup import remove_duplicates
 from filecat.llm.token_count import token_counts
 
 
@@ -28,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=2048)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_duplicates(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=4000)
 
