@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from filecat.llm.bpe_codec import bpe_round_trip
 from filecat.llm.common import ship, table
 from filecat.llm.packing import pack
+from filecat.llm.private_data import private_spans
 from filecat.llm.quality_model import quality_scores
 from filecat.llm.quality_rules import repetition_rules
 from filecat.llm.simhash import near_duplicates
@@ -41,6 +42,10 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans(table(spark, sf_dir, "documents"), threshold=0.9, support=2)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
