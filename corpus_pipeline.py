@@ -1,8 +1,70 @@
-"""Stages of the corpus pipeline (filled in as their operators are built)."""
+"""The corpus pipeline: from raw documents to packed training sequences, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), docs being what the stage before it kept, and returns a
+DataFrame; all but the last return the columns of `documents`. No stage looks at part of its input.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filecat.llm.common import cut, ship, table
+from filecat.llm.packing import pack
+from filecat.llm.private_data import sanitised
+from filecat.llm.quality_model import quality_scores
+from filecat.llm.simhash import one_of_each
+from filecat.llm.substring_dedup import remove_duplicates
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _like_documents(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of documents; n_chars follows the text."""
+    return rows.select("doc_id", F.col(text).alias("text"), "lang", "source", F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below one half go."""
+    ship(spark)
+    scored = quality_scores(docs.select(COLUMNS), table(spark, sf_dir, "labels"), sample=4000, carried=["text", "lang", "source", "n_chars"])
+    return scored.where("predicted = 1").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    ship(spark)
+    return one_of_each(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that occur elsewhere are taken out; a document that loses all its words stays, empty."""
+    ship(spark)
+    return _like_documents(remove_duplicates(docs.select(COLUMNS), carried=["lang", "source"]), "kept_text")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that give it away, are replaced by their kind."""
+    ship(spark)
+    return _like_documents(sanitised(docs.select(COLUMNS), carried=["lang", "source"]))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, in as few sequences of 2048 tokens as the plan finds."""
+    ship(spark)
+    return pack(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"), room=2048)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("private", private), ("packing", packing)]
+#: A trained model, a fingerprint graph and a tokenizer are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs

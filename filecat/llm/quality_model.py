@@ -155,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 7)
     return Model(seed=seed).fit(np.concatenate(bags), bounds, label)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs.
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 7, carried: list[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the carried columns of every row of docs.
 
     Only texts enter a score; labels are used to fit the model alone, on at most `sample` rows that are not
     held out. A null text counts as empty and has a score like any other; rows with a null doc_id and
@@ -170,7 +170,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed:
         for batch in slices(batches):
             texts = texts_of(batch)
             score = model.forward(*passages(texts))[0] if model else np.full(len(texts), 0.5)
-            yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "held_out": (batch.column("held_out"), pa.bool_()), "score": (score, pa.float64())})
+            yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "held_out": (batch.column("held_out"), pa.bool_()), "score": (score, pa.float64())} | {c: (batch.column(c), batch.schema.field(c).type) for c in carried})
 
-    rows = documents(docs).withColumn("held_out", is_held_out())
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in carried if c != "text")).withColumn("held_out", is_held_out())
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double" + more).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

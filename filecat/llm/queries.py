@@ -13,9 +13,11 @@ from filecat.llm.packing import pack
 from filecat.llm.private_data import private_spans
 from filecat.llm.quality_model import quality_scores
 from filecat.llm.quality_rules import repetition_rules
+from filecat.llm.sharding import shards
 from filecat.llm.simhash import near_duplicates
 from filecat.llm.substring_dedup import remove_duplicates
 from filecat.llm.token_count import token_counts
+from filecat.llm.vector_search import nearest
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42, radius=2)
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, sample=4096, depth=200)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"), count=16)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=2048)
 
