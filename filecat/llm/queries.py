@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filecat.llm.bpe_codec import bpe_round_trip
 from filecat.llm.common import ship, table
+from filecat.llm.oracles import ORACLES
 from filecat.llm.packing import pack
 from filecat.llm.private_data import private_spans
 from filecat.llm.quality_model import quality_scores
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
