@@ -226,3 +226,87 @@ def plan_artifacts(cat):
 def upsert_metadata_records(cat):
     new = cat.metadata_records.where("extractor_name = 'tika'").withColumn("extractor_version", F.lit("adapter-v9"))
     return M.replace_rows(cat.metadata_records, new, ["node_id", "extractor_name"]).select("node_id", "extractor_name", "extractor_version")
+
+
+# --- the parts that plans are made of
+
+
+@registered(
+    "SELECT m.id, m.target_id FROM m JOIN nodes n ON n.id = m.id WHERE EXISTS (SELECT 1 FROM nodes s WHERE s.lifecycle_state = 'active' AND s.parent_id = m.target_id AND s.name = n.name AND s.id NOT IN (SELECT id FROM m))",
+    f"m AS ({MOVES})",
+)
+def destination_conflicts(cat):
+    from filecat.operators.listing import destination_conflicts as conflicts
+
+    moves = cat.sql(MOVES).join(cat.nodes.select("id", "name"), "id")
+    return conflicts(cat.nodes, moves).select("id", "target_id")
+
+
+@registered("SELECT concat('c', c_custkey) AS id, concat('r', n_regionkey) AS target_id FROM (SELECT *, count(*) OVER (PARTITION BY n_regionkey, folder_name) AS n FROM customer_nodes JOIN nation ON c_nationkey = n_nationkey) x WHERE n > 1")
+def batch_duplicate_names(cat):
+    from filecat.operators.rollups import batch_duplicate_names as twice
+
+    moves = cat.sql("SELECT concat('c', c_custkey) AS id, concat('r', n_regionkey) AS target_id, folder_name AS name FROM customer_nodes JOIN nation ON c_nationkey = n_nationkey")
+    return twice(moves).select("id", "target_id")
+
+
+@registered("SELECT t.node_id, CASE WHEN f.id IS NOT NULL THEN t.original_parent_id ELSE 'root' END AS restore_to FROM trash_entries t LEFT JOIN nodes f ON f.id = t.original_parent_id AND f.kind = 'folder' AND f.lifecycle_state = 'active'")
+def restore_parent(cat):
+    from filecat.operators.listing import restore_parent as back
+
+    return back(cat.trash_entries, cat.nodes).select("node_id", "restore_to")
+
+
+OUTCOMES = "SELECT id, CASE state WHEN 'discovered' THEN 'discovered' WHEN 'imported' THEN 'imported' WHEN 'failed' THEN 'failed' WHEN 'stable' THEN 'skipped' ELSE 'unstable' END AS outcome FROM import_entries"
+
+
+@registered("SELECT count(*) FILTER (WHERE state = 'discovered') AS discovered, count(*) FILTER (WHERE state = 'imported') AS imported, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'stable') AS skipped FROM import_entries")
+def scan_summary(cat):
+    from filecat.operators.rollups import scan_summary as summary
+
+    return summary(cat.sql(OUTCOMES))
+
+
+FILES = "SELECT concat('e', o_orderkey) AS id, concat('in/', o_orderkey % 40, '/', CASE WHEN o_orderkey % 10 = 0 THEN 'same' ELSE concat('f', o_orderkey) END) AS source_path, CASE WHEN o_orderkey % 3 = 0 THEN 'importing' ELSE 'imported' END AS state FROM orders"
+
+
+@registered("SELECT count(*) AS attempted, count(*) FILTER (WHERE nth = 1) AS completed, count(*) FILTER (WHERE nth > 1) AS failures FROM (SELECT row_number() OVER (PARTITION BY source_path ORDER BY id) AS nth FROM e WHERE state = 'importing') x", f"e AS ({FILES})")
+def recover_interrupted(cat):
+    summary = M.recover_interrupted(cat.nodes, cat.sql(FILES), "root", C.at(NOW))[2]
+    return summary.select("attempted", "completed", F.size("failures").cast("long").alias("failures"))
+
+
+@registered("SELECT DISTINCT source_path FROM import_entries WHERE page_id % 3 <> 0 EXCEPT SELECT source_path FROM import_entries WHERE state = 'imported'")
+def import_completeness(cat):
+    entries = cat.import_entries
+    return entries.where("page_id % 3 <> 0").select("source_path").subtract(entries.where("state = 'imported'").select("source_path"))
+
+
+@registered("SELECT source_path FROM import_entries WHERE page_id % 4 = 0 UNION SELECT source_path FROM import_entries WHERE state = 'imported'")
+def manifest_union(cat):
+    entries = cat.import_entries
+    return entries.where("page_id % 4 = 0").select("source_path").union(entries.where("state = 'imported'").select("source_path")).distinct()
+
+
+@registered(
+    "SELECT DISTINCT array_to_string(parts[1:k], '/') AS path, CASE WHEN k = 1 AND parts[1] = (SELECT r_name FROM region WHERE r_regionkey = 0) THEN 'exists' ELSE 'created' END AS outcome FROM (SELECT string_split(source_path, '/') AS parts FROM f) x, range(1, CAST(len(parts) AS BIGINT)) AS t(k) WHERE parts[1] <> ''",
+    "f AS (SELECT concat((SELECT r_name FROM region WHERE r_regionkey = 0), '/', source_path) AS source_path FROM import_entries WHERE page_id % 2 = 0 UNION ALL SELECT source_path FROM import_entries WHERE page_id % 2 = 1)",
+)
+def ensure_folder_paths(cat):
+    from filecat.operators.tree import ensure_folder_paths as ensure
+
+    files = cat.sql("SELECT concat(r_name, '/', source_path) AS path FROM import_entries JOIN region ON r_regionkey = 0 WHERE page_id % 2 = 0 UNION ALL SELECT source_path FROM import_entries WHERE page_id % 2 = 1")
+    return ensure(cat.nodes, files).select("path", "outcome")
+
+
+@registered("SELECT j.id, j.target_node_id, j.state FROM jobs j WHERE j.target_node_id IN (SELECT node_id FROM favorites)")
+def jobs_for(cat):
+    from filecat.operators.listing import rows_for
+
+    return rows_for(cat.jobs, cat.favorites.select(F.col("node_id").alias("target_node_id")), "target_node_id").select("id", "target_node_id", "state")
+
+
+@registered("SELECT id FROM nodes WHERE lifecycle_state = 'active' AND parent_id IS NOT NULL AND id NOT IN (SELECT node_id FROM favorites WHERE node_id LIKE '%1') AND id IN (SELECT node_id FROM favorites)")
+def remove_favorites(cat):
+    gone = cat.favorites.where("node_id LIKE '%1'").select(F.col("node_id").alias("id"))
+    return M.remove_favorites(cat.favorites, gone).select(F.col("node_id").alias("id"))
