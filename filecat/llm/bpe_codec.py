@@ -14,7 +14,7 @@ from filecat.llm.word_bpe import Decoder, WordBPE
 
 _CODECS: dict[str, WordBPE] = {}
 #: A worker remembers at most so many distinct pieces, then starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 
 def codec(path: str) -> WordBPE:

@@ -184,7 +184,7 @@ def token_pieces(docs: DataFrame, path: str, room: int, extra: str = "") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(codec(path), bytes)
-        for batch in slices(batches, limit=16 << 20):
+        for batch in slices(batches, limit=8 << 20):
             doc, number, start, length, crc = [], [], [], [], []
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), pieces.of(texts_of(batch))):
                 raw = b"".join(own) + bytes(4)
