@@ -53,7 +53,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, in as few sequences of 2048 tokens as the plan finds."""
     ship(spark)
-    return pack(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"), room=2048)
+    return pack(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"), room=2048, slice_bytes=8 << 20)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("private", private), ("packing", packing)]

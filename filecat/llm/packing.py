@@ -179,12 +179,12 @@ def plan(histogram: dict[int, int], room: int, groups: int, large: int) -> tuple
     return sequence, np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def token_pieces(docs: DataFrame, path: str, room: int, extra: str = "") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, room: int, slice_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's tokens and its closing id 0, cut after each `room` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(codec(path), bytes)
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=slice_bytes):
             doc, number, start, length, crc = [], [], [], [], []
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), pieces.of(texts_of(batch))):
                 raw = b"".join(own) + bytes(4)
@@ -200,17 +200,18 @@ def token_pieces(docs: DataFrame, path: str, room: int, extra: str = "") -> Data
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = 2048, slice_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Documents end with id 0; only those longer than `room` are cut. A null or empty text is the one
     id 0. Repeated rows and null doc_ids are pieces like any other; an empty table gives no piece.
     Sequences hold at most `room` ids, without gaps. The driver sees counts for each length and part
     (at most room x PARTS numbers) and makes the plan; pieces are ranked within (length, part) on the
-    executors, so that a length which many share is spread over PARTS tasks.
+    executors, so that a length which many share is spread over PARTS tasks. Texts are tokenised in slices
+    of slice_bytes: larger ones learn a piece less often, smaller ones hold less.
     """
     spark = docs.sparkSession
-    pieces = token_pieces(docs, path, room).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
+    pieces = token_pieces(docs, path, room, slice_bytes).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
     pieces = cut(pieces)
     counts = pieces.groupBy("length", "part").count().collect()  # at most room x PARTS rows
     table = np.zeros((room + 1, PARTS), np.int64)
