@@ -14,7 +14,7 @@ from filecat.llm.common import cut, ship, table
 from filecat.llm.packing import pack
 from filecat.llm.private_data import sanitised
 from filecat.llm.quality_model import quality_scores
-from filecat.llm.simhash import one_of_each
+from filecat.llm.similar_texts import one_of_each
 from filecat.llm.substring_dedup import remove_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,9 +33,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (0.8 or more of five-word shingles in common) stays: the one with the smallest doc_id."""
     ship(spark)
-    return one_of_each(docs.select(COLUMNS)).select(COLUMNS)
+    return one_of_each(docs.select(COLUMNS), shingle=5, share=0.8).select(COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

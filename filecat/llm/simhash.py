@@ -170,13 +170,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     roots = nodes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     found = nodes.join(roots, "root").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """The rows of docs of which no near-duplicate has a smaller doc_id, one for each doc_id; all columns stay.
-    Rows with a null doc_id can't be told apart and stay."""
-    found = near_duplicates(docs, shingle, seed, radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_apart", apart).dropDuplicates(["doc_id", "_apart"]).drop("_apart")

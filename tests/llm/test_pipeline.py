@@ -1,7 +1,7 @@
 """The pipeline's stages, one after another, each against what its operator says of its own input."""
 
 import corpus_pipeline
-from filecat.llm.simhash import near_duplicates
+from filecat.llm.similar_texts import similar_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_stages(spark, tmp_path):
         if name != "packing":
             assert out.columns == docs.columns and out.count() == out.select("doc_id").distinct().count()
         if name == "near_duplicates":
-            assert out.count() == near_duplicates(docs).select("component_id").distinct().count()
+            assert out.count() == similar_groups(docs).select("component_id").distinct().count()
         if name in ("substrings", "private"):
             assert out.count() == docs.count()
         docs = out
