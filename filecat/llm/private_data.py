@@ -1,10 +1,10 @@
 """Personal data: patterns, and terms that give the protected entities away.
 
-Patterns find e-mail and network addresses, card and telephone numbers. From their surroundings in the
-whole corpus the operator then learns what else reveals them: the pointwise mutual information of a
-term and an entity, as a share of the entity's own information content, is the entity's disclosure by
-that term (1: who sees the term knows the entity). Terms above the threshold, with at least two
-different texts to show it, become spans of the kind `term` wherever they stand beside the entity.
+Patterns find e-mail and network addresses, card and telephone numbers. From the whole texts that hold
+them the operator then learns what else reveals them: the pointwise mutual information of a term and an
+entity, as a share of the entity's own information content, is the entity's disclosure by that term (1:
+who sees the term knows the entity). Terms above the threshold, with at least two different texts to show
+it, become spans of the kind `term` wherever they stand, in any text, with the entity or without it.
 
 All of it is DataFrame functions: patterns with possessive loops, which neither recurse nor look back.
 """
@@ -27,8 +27,6 @@ PATTERNS = {
 #: A text without this has no match.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
-#: Characters on either side of an entity in which terms are looked for.
-REACH = 80
 KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -75,40 +73,68 @@ def base_spans(docs: DataFrame, carried: list[str] = ()) -> DataFrame:
     return found.withColumns({k: F.filter(k, (lambda kind: lambda s: holds(kind, s["value"]))(k)) for k in PATTERNS})
 
 
-def surroundings(found: DataFrame) -> DataFrame:
-    """k1, k2, entity, term, start, end: words beside each span that no span covers."""
-    entities = F.concat(*(F.transform(k, (lambda kind: lambda s: F.struct(F.concat(F.lit(kind + ":"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))(k)) for k in PATTERNS))
-    rows = found.select("k1", "k2", "text", entities.alias("spans")).where(F.size("spans") > 0)
-    spans = rows.select("k1", "k2", "text", "spans", F.explode("spans").alias("e"))
-    size = F.char_length("text")
-    low, high = F.greatest(F.col("e.start") - REACH, F.lit(0)), F.least(F.col("e.end") + REACH, size)
-    near = spans.select("k1", "k2", "spans", F.col("e.entity").alias("entity"), low.alias("low"), high.alias("high"), (high == size).alias("whole"), F.expr(f"substring(text, greatest(e.start - {REACH}, 0) + 1, least(e.end + {REACH}, char_length(text)) - greatest(e.start - {REACH}, 0))").alias("part"))
-    words = near.select("k1", "k2", "spans", "entity", "low", "high", "whole", F.explode(matches(F.col("part"), WORD)).alias("w"))
-    start, end = F.col("low") + F.col("w.start"), F.col("low") + F.col("w.end")
-    placed = words.select("k1", "k2", "spans", "entity", F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"), ((F.col("low") == 0) | (F.col("w.start") > 0)).alias("begun"), (F.col("whole") | (end < F.col("high"))).alias("ended"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return placed.where(F.col("begun") & F.col("ended") & free).select("k1", "k2", "entity", "term", "start", "end")
-
-
-def disclosing(near: DataFrame, docs: DataFrame, threshold: float, support: int) -> DataFrame:
-    """entity, term of pairs whose disclosure passes the threshold; all counts are over all documents."""
-    pairs = near.select("k1", "k2", "entity", "term").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.approx_count_distinct("k2").alias("n_texts")).where(F.col("n_texts") >= support)
-    entity = pairs.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.select(F.count("*").cast("double").alias("n"))
+def masked(text: Column) -> Column:
+    """The text, as long as it was, without letters inside spans: of all kinds only e-mail addresses have any."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)), lambda v: F.regexp_replace(v, "[A-Za-z]", "0"))
+    whole = F.array_join(F.zip_with(F.split(text, PATTERNS["email"], -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit(NEEDED["email"])), whole).otherwise(text)
+
+
+def noted(found: DataFrame) -> DataFrame:
+    """k1, k2, content, entities, terms of every row: a hash of the text, its distinct entities, and its distinct words that no span covers, between blanks."""
+    entities = F.concat(*(F.transform(k, (lambda kind: lambda s: F.concat(F.lit(kind + ":"), F.lower(s["value"])))(k)) for k in PATTERNS))
+    terms = F.transform(F.regexp_extract_all(masked(F.col("text")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
+    return found.select("k1", "k2", F.xxhash64("text").alias("content"), F.array_distinct(entities).alias("entities"), F.array_join(F.array_distinct(terms), " ").alias("terms"))
+
+
+def shown(rows: DataFrame, keys: list[str], name: str, support: int) -> DataFrame:
+    """keys and the number of rows that have them, of those that at least `support` different texts show."""
+    by_text = rows.groupBy(*keys, "content").agg(F.count("*").alias("n"))
+    return by_text.groupBy(*keys).agg(F.sum("n").alias(name), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support).drop("n_texts")
+
+
+def disclosing(notes: DataFrame, threshold: float, support: int) -> DataFrame:
+    """entity, term of pairs whose disclosure passes the threshold; all counts are of whole rows, over all rows."""
+    own = notes.select("k1", "k2", "content", F.explode("entities").alias("entity"))
+    entity = shown(own, ["entity"], "n_entity", support)  # an entity of fewer texts has no pair of enough
+    kept = own.select("k1", "k2", "entity").distinct().join(entity.select("entity"), "entity").groupBy("k1", "k2").agg(F.collect_set("entity").alias("kept"))
+    pairs = notes.where("terms <> ''").join(kept, ["k1", "k2"]).select("content", "terms", F.explode("kept").alias("entity")).select("content", "entity", F.explode(F.split("terms", " ")).alias("term"))
+    both = shown(pairs, ["entity", "term"], "n_both", support)
+    term = notes.where("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    total = notes.select(F.count("*").cast("double").alias("n"))
     known = both.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total is one row
     information = F.log2(F.col("n") / F.col("n_entity"))
-    shared = F.log2(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    shared = F.log2(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     return known.where((information > 0) & (shared >= threshold * information)).select("entity", "term")
 
 
-def term_spans(near: DataFrame, docs: DataFrame, threshold: float, support: int) -> DataFrame:
-    """k1, k2, term: the spans of disclosing terms in order."""
-    told = near.join(disclosing(near, docs, threshold, support), ["entity", "term"])
-    own = told.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("value")))).alias("term"))
-    return own.select("k1", "k2", F.col("term").cast(SPAN).alias("term"))
+def told_terms(notes: DataFrame, threshold: float, support: int) -> DataFrame:
+    """k1, k2, told: the disclosing terms that a row has, whether or not it has an entity."""
+    terms = notes.where("terms <> ''").select("k1", "k2", F.explode(F.split("terms", " ")).alias("term"))
+    return terms.join(disclosing(notes, threshold, support).select("term").distinct(), "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("told"))
+
+
+def term_spans(text: Column, told: Column) -> Column:
+    """The places of the words in told, in order."""
+    free = masked(text)
+    words, between = F.regexp_extract_all(free, F.lit(WORD), F.lit(0)), F.split(free, WORD, -1)
+    # zipped, since a lambda would split the text anew for every word; the last gap has no word
+    pairs = F.zip_with(words, between, lambda w, gap: F.struct(F.char_length(gap).alias("gap"), F.coalesce(w, F.lit("")).alias("w")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + pair["gap"]
+        end, term = start + F.char_length(pair["w"]), F.lower(pair["w"])
+        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), term.alias("value")))).cast(SPAN)
+        return F.struct(end.alias("at"), F.when(F.array_contains(told, term), more).otherwise(acc["out"]).alias("out"))
+
+    return F.when(told.isNotNull(), F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+
+
+def with_terms(found: DataFrame, threshold: float, support: int) -> DataFrame:
+    """found and the spans of disclosing terms."""
+    told = told_terms(cut(noted(found)), threshold, support)
+    return found.join(told, ["k1", "k2"], "left").withColumn("term", term_spans(F.col("text"), F.col("told"))).drop("told")
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -121,13 +147,11 @@ def private_spans(docs: DataFrame, threshold: float = 0.9, support: int = 2) ->
 
     A null text counts as empty and has no span. Rows with a null doc_id take part; repeated rows are
     kept, count as documents and have the same spans; an empty table gives an empty result; further
-    columns are not read. Work grows with the texts: one pass for the patterns, one sum over all words,
-    joins on entity and term, which Spark splits where one is hot.
+    columns are not read. Work grows with the texts: two passes for the patterns, one sum over all words,
+    one over the words of texts with an entity that other texts have, joins on entity and term, which
+    Spark splits where one is hot.
     """
-    found = base_spans(docs)
-    near = cut(surroundings(found))
-    told = term_spans(near, docs, threshold, support)
-    rows = found.drop("text").join(told, ["k1", "k2"], "left").withColumn("term", F.coalesce("term", F.array().cast(SPAN)))
+    rows = with_terms(base_spans(docs), threshold, support)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
     return rows.select("doc_id", *counts, F.sha2(listed(tuple(PATTERNS)), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
 
@@ -136,10 +160,7 @@ def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 2, carried
     """doc_id, text, carried columns of every row of docs; spans give way to their kind in brackets.
 
     Where spans overlap, the one that begins first names the whole; a null text becomes the empty one."""
-    found = base_spans(docs, carried)
-    near = cut(surroundings(found))
-    told = term_spans(near, docs, threshold, support)
-    rows = found.join(told, ["k1", "k2"], "left").withColumn("term", F.coalesce("term", F.array().cast(SPAN)))
+    rows = with_terms(base_spans(docs, carried), threshold, support)
     all_ = F.sort_array(F.concat(*(F.transform(k, (lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put")))(k)) for k in KINDS)))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -269,6 +269,16 @@ def test_disclosing_terms(spark):
     assert "surgeon" in {r["doc_id"]: r["text"] for r in sanitised(spark.createDataFrame(rows, SCHEMA)).collect()}[0]
 
 
+def test_disclosing_terms_anywhere(spark):
+    far = "plain filler words go on and on here " * 5
+    rows = [(i, f"Quillfeather heads this {far} q@hospital.example number {i} {far} QUILLFEATHER") for i in range(3)] + [(10 + i, f"plain filler words go on and on here, this heads number {i}") for i in range(50)]
+    rows += [(80, "of Quillfeather alone"), rows[0], (None, rows[1][1])]
+    found = {r["doc_id"]: r["spans"].split(",") for r in private_spans(spark.createDataFrame(rows, SCHEMA), threshold=0.85).collect()}
+    last = len(rows[0][1])
+    assert {"term:0:12", f"term:{last - 12}:{last}"} <= set(found[0]) and found[0] == found[None] and found[80] == ["term:3:15"] and found[10] == [""]
+    assert {r["doc_id"]: r["text"] for r in sanitised(spark.createDataFrame(rows, SCHEMA), threshold=0.85).collect()}[80] == "of [TERM] alone"
+
+
 def test_sharding(spark, odd, none):
     copies = [(1000 + i, "copy " + "x" * (i % 3)) for i in range(300)] + [(2000 + i, f"own {i}") for i in range(500)]
     for data, frame in ((ODD, odd), (copies, spark.createDataFrame(copies, SCHEMA))):
