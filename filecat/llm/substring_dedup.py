@@ -80,13 +80,14 @@ def entries(batch: pa.RecordBatch, text: np.ndarray, at: np.ndarray, hashed: np.
 
 
 def found_elsewhere(rows: DataFrame) -> DataFrame:
-    """k1, k2 and the sorted places (array<int>) of entries that occur more than once.
+    """k1, k2 and the distinct places (array<int>) of entries that occur more than once.
 
     Entries that are known to be copied need no comparison and are dealt out by their text; others are
-    counted by hash, where a copied one is at most a row for each slice that has it."""
+    counted by hash, where a copied one is at most a row for each slice that has it. Repeated rows have
+    one key and each place once, so a list is no longer than its text."""
     apart = Window.partitionBy("hash", F.when(F.col("copied"), F.col("k2")))
     counted = rows.withColumn("n", F.count("*").over(apart)).where("(copied or n > 1) and at is not null")
-    return counted.groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
+    return counted.groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
 
 
 def keyed(docs: DataFrame, carried: list[str] = ()) -> DataFrame:

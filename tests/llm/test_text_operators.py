@@ -21,7 +21,7 @@ from filecat.llm.quality_model import quality_scores
 from filecat.llm.quality_rules import repetition_rules
 from filecat.llm.sharding import shards
 from filecat.llm.simhash import FREE, free_bits, near, near_duplicates
-from filecat.llm.substring_dedup import remove_duplicates
+from filecat.llm.substring_dedup import duplicate_spans, remove_duplicates
 from filecat.llm.token_count import load, token_counts
 from filecat.llm.vector_search import nearest
 from filecat.llm.word_bpe import ByteDecoder, WordBPE
@@ -227,6 +227,12 @@ def test_repetition_rules(spark, odd, none):
     assert repetition_rules(none).count() == 0
 
 
+def test_substring_places_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, PASSAGE)] * 40 + [(None, PASSAGE)] * 40, SCHEMA)
+    sizes = [len(r["places"]) for r in duplicate_spans(rows).select("places").collect()]
+    assert sizes == [60 - 35 + 1] * 80  # a place of a window each, however many rows have it
+
+
 @pytest.mark.parametrize("name, query", [("op6_substring_dedup", lambda d: remove_duplicates(d).select("doc_id", "n_words", "n_removed", "kept_sha256")), ("op8_repetition", repetition_rules)])
 def test_sql_agrees(spark, name, query):
     con = duckdb.connect()
