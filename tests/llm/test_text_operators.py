@@ -285,6 +285,14 @@ def test_disclosing_terms_anywhere(spark):
     assert {r["doc_id"]: r["text"] for r in sanitised(spark.createDataFrame(rows, SCHEMA), threshold=0.85).collect()}[80] == "of [TERM] alone"
 
 
+def test_disclosing_terms_of_two_texts(spark):
+    """None of 3,000 pairs that exactly two texts show is missed; copies of one text show nothing."""
+    name = lambda i: "term" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(2 * i + k, f"{name(i)} with a{i}@x.example, {k}") for i in range(3000) for k in range(2)] + [(None, "lonely with z@y.example"), (9000, "lonely with z@y.example")]
+    found = {r["doc_id"]: r["spans"] for r in private_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all("term:0:7" in found[d] for d in range(6000)) and "term" not in found[9000]
+
+
 def test_sharding(spark, odd, none):
     copies = [(1000 + i, "copy " + "x" * (i % 3)) for i in range(300)] + [(2000 + i, f"own {i}") for i in range(500)]
     for data, frame in ((ODD, odd), (copies, spark.createDataFrame(copies, SCHEMA))):
