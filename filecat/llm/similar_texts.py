@@ -9,11 +9,17 @@ is decided by the shingle sets themselves.
 
 Blocks are compared twice: first in parts of bounded size, from which the nearest pairs that tie a part
 together are checked; then all texts that these links left in unlike components, in tiles of bounded
-size. So a large group of copies costs about as many checks as it has texts, and no link is lost.
+size. So a large group of copies costs about as many checks as it has texts.
+
+Blocks and radius miss some pairs, so a last pass misses none: a pair with the share in common has in
+common one of the shingles that come first in each set, in an order of all shingles. Rare ones come
+first; they are told by counts of a fixed number of buckets, which steer the work and not the result.
+Texts of unlike components that meet in such a shingle are decided by their sets, whatever their prints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,8 @@ BITS, RADIUS, BANDS, ROWS = 512, 106, 14, 4
 PART = 512
 #: Shingles of these rows, on average, where the sets themselves go along.
 SHINGLES = 1 << 18
+#: Buckets of shingles whose counts tell which are rare.
+BUCKETS = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = np.uint64(0x0101010101010101)
 #: One for each word of a fingerprint, and an odd one for each minimum.
@@ -315,6 +323,49 @@ def similar(pairs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     return both.where(F.col("common") >= share * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def bucket_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of texts are in each bucket: a fixed number of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches):
+            own = np.concatenate(shingle_sets(texts_of(batch), shingle))
+            count += np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        yield set_out({"bucket": (np.arange(BUCKETS), pa.int64()), "n": (count, pa.int64())})
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def leading(own: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """The shingles of a set that come first, so many that any set with the share in common has one of them among its own."""
+    least = math.ceil(share * len(own) - 1e-9)  # a similar set has so many of these at least
+    order = np.lexsort((own, counts[(own % np.uint64(BUCKETS)).astype(np.int64)]))
+    return own[order[: len(own) - least + 1]]
+
+
+def missed_pairs(texts: DataFrame, nodes: DataFrame, tied: DataFrame, shingle: int, share: float) -> DataFrame:
+    """a < b: all pairs of texts of unlike components that may be similar, by a leading shingle in common and by number of shingles."""
+    counts = bucket_counts(texts, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [leading(x, counts, share).view(np.int64) for x in shingle_sets(texts_of(batch), shingle)]
+            yield set_out({"cid": (batch.column("cid"), pa.string()), "leading": (found, pa.list_(pa.int64()))})
+
+    one = texts.join(nodes.select("cid", F.col("first_key").alias("doc_key")), ["cid", "doc_key"]).dropDuplicates(["cid", "doc_key"])
+    first = checkpointed(one.select("cid", "text").mapInArrow(run, "cid string, leading array<long>"))
+    comps = nodes.select("cid", "n").join(tied, "cid", "left").select("cid", "n", F.xxhash64(F.coalesce("root", "cid")).alias("comp"))
+    rows = first.join(comps, "cid").select("cid", "n", "comp", F.explode("leading").alias("key"))
+    open_ = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    met_ = checkpointed(rows.join(open_, "key"))
+    left, right = met_.toDF("key", "a", "n_a", "comp_a"), met_.toDF("key", "b", "n_b", "comp_b")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9))
+    return checkpointed(pairs.select("a", "b").distinct())
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
     """doc_id, component_id (the smallest doc_id that links lead to) of every row of docs.
 
@@ -352,7 +403,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Dat
     asked = checkpointed(texts_met(gathered(tiles(known), place), share))
     whole = sets_of(asked, texts, nodes, shingle).join(nodes.select("cid", "keys"), "cid")
     late = checked_pairs(gathered(tiles(known.join(whole, "cid"), ["items", "keys"]), place, ["items", "keys", "band"]), share)
-    tied = components(checkpointed(links.union(late)))
+    links = checkpointed(links.union(late))
+    tied = components(links).withColumnRenamed("node", "cid")
+
+    missed = missed_pairs(texts, nodes, tied, shingle, share)
+    items = sets_of(missed.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), texts, nodes, shingle)
+    tied = components(checkpointed(links.union(similar(missed, items, share))))
 
     grouped = nodes.select("cid", "first_doc").join(tied.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     found = grouped.join(grouped.groupBy("root").agg(F.min("first_doc").alias("component_id")), "root").select("cid", "component_id")

@@ -74,6 +74,13 @@ def test_odd_rows(spark):
     assert st.similar_groups(rows.limit(0)).count() == st.one_of_each(rows.limit(0)).count() == 0
 
 
+def test_short_texts_with_a_word_appended(spark):
+    """4 of 5 shingles in common is 0.8 exactly: the prints of such pairs differ by more than the radius in one case of nine."""
+    base = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(150)]
+    data = [(i, t) for i, t in enumerate(base)] + [(1000 + i, t + " more") for i, t in enumerate(base)] + [(2000 + i, f"other {t[:-1]}") for i, t in enumerate(base[:20])]
+    assert ordered(st.similar_groups(spark.createDataFrame(data, SCHEMA)).collect()) == ordered(plain(data))
+
+
 def test_bit_slices():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2, (4, st.BITS))
