@@ -27,6 +27,8 @@ PATTERNS = {
 #: A text without this has no match.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
+#: So many terms are sent to every task at most.
+FEW = 1 << 18
 KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -111,7 +113,9 @@ def disclosing(notes: DataFrame, threshold: float, support: int) -> DataFrame:
 def told_terms(notes: DataFrame, threshold: float, support: int) -> DataFrame:
     """k1, k2, told: the disclosing terms that a row has, whether or not it has an entity."""
     terms = notes.where("terms <> ''").select("k1", "k2", F.explode(F.split("terms", " ")).alias("term"))
-    return terms.join(disclosing(notes, threshold, support).select("term").distinct(), "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("told"))
+    known = cut(disclosing(notes, threshold, support).select("term").distinct())
+    few = known.count() <= FEW  # then the words of all texts need no shuffle
+    return terms.join(F.broadcast(known) if few else known, "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("told"))
 
 
 def term_spans(text: Column, told: Column) -> Column:
