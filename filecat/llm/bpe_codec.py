@@ -10,58 +10,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from filecat.llm.common import documents, set_out, slices, texts_of
-from filecat.llm.word_bpe import Decoder, WordBPE
-
-_CODECS: dict[str, WordBPE] = {}
-#: A worker remembers at most so many distinct pieces, then starts afresh.
-REMEMBERED = 500_000
-
-
-def codec(path: str) -> WordBPE:
-    return _CODECS.get(path) or _CODECS.setdefault(path, WordBPE(path))
-
-
-class Pieces:
-    """What shape() makes of the ids of each white-space bounded piece; unknown ones are learnt by the slice."""
-
-    def __init__(self, bpe: WordBPE, shape):
-        self.bpe, self.shape, self.known = bpe, shape, {}
-
-    def of(self, texts: list[bytes]) -> list[list]:
+from filecat.llm.word_bpe import BLANK, PART, REMEMBERED, Decoder, WordBPE
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+class TextEncoder:
+    """Ids of texts, part by part. What the transducer made of a white-space bounded piece is remembered."""
+
+    def __init__(self, path: str):
+        self.bpe, self.known = WordBPE(path), {}
+
+    def parts(self, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, some of its ids as unsigned little-endian 32 bit), in order; no part is of more than a few PART bytes of text."""
+        lot, held = [], 0
+        for k, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                to = len(text)
+                if to - at > PART:  # cut behind white space; a piece without any goes through the transducer alone
+                    found = BLANK.search(text, at + PART)
+                    to = found.end() if found else to
+                    if to - at > 2 * PART:
+                        yield from self._lot(lot)
+                        lot, held = [], 0
+                        begin = max(text.rfind(b, at, at + PART) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+                        if begin > at:
+                            to = begin
+                        else:
+                            yield from ((k, ids) for ids in self.bpe.stream(text[at:to].strip()))
+                            at = to
+                            continue
+                lot.append((k, text[at:to]))
+                held += to - at
+                at = to
+                if held > PART:
+                    yield from self._lot(lot)
+                    lot, held = [], 0
+        yield from self._lot(lot)
+
+    def _lot(self, lot: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut = [text.split() for text in texts]
+        known, cut = self.known, [part.split() for _, part in lot]
         new: set[bytes] = set()
         for pieces in cut:
             new.update(pieces)
-        if found := list(new - self.known.keys()):
-            self.known.update(zip(found, map(self.shape, self.bpe.learn(found))))
-        out = [list(map(self.known.__getitem__, pieces)) for pieces in cut]
+        if found := list(new.difference(known)):
+            known.update(zip(found, self.bpe.learn(found)))
+        out = [(k, b"".join(map(known.__getitem__, pieces))) for (k, _), pieces in zip(lot, cut)]
         for piece in found:
             if len(piece) > 64:  # long ones are not remembered
-                del self.known[piece]
+                del known[piece]
         return out
 
 
+def encoder(path: str) -> TextEncoder:
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, TextEncoder(path))
+
+
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every row: the tokenizers library's, without special tokens added."""
+    """doc_id and ids (array<int>) of every row: the tokenizers library's, without special tokens added.
+
+    A null or blank text has no ids; rows with a null doc_id and repeated rows are kept; an empty table
+    gives an empty result; further columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(codec(path), bytes)
         for batch in slices(batches):
-            ids = [np.frombuffer(b"".join(own), np.int32) for own in pieces.of(texts_of(batch))]
-            yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "ids": (ids, pa.list_(pa.int32()))})
+            ids = [bytearray() for _ in range(batch.num_rows)]
+            for k, part in encoder(path).parts(texts_of(batch)):
+                ids[k] += part
+            yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "ids": ([np.frombuffer(x, np.int32) for x in ids], pa.list_(pa.int32()))})
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text of ids (array<int>; null: empty), as the library's decode keeps every token."""
+    """doc_id and text of ids (array<int>; null: empty), as the library's decode keeps every token.
+
+    Rows with a null doc_id and repeated rows are kept; an empty table gives an empty result; further
+    columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = codec(path).token
+        token = encoder(path).bpe.spelt
         for batch in batches:
-            texts = [Decoder(token).feed(ids or ()) for ids in batch.column("ids").to_pylist()]
+            texts = [Decoder(token).feed(ids or ()).decode() for ids in batch.column("ids").to_pylist()]
             yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "text": (texts, pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -72,26 +105,26 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     A null or blank text has no ids and decodes to the empty text; rows with a null doc_id and
     repeated rows are kept; an empty table gives an empty result; further columns are not read.
-    The digests are updated as the transducer emits, so a long text costs no more memory than a
-    short one. One pass without a shuffle.
+    Ids go from the transducer to the digest and to the decoder's state machine, and its text to the
+    other digest, a part at a time: besides the text itself no more than a part of it is held. One
+    pass without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
-        token = [t.encode() for t in bpe.token]
-
-        def shape(raw: bytes) -> tuple[bytes, bytes, int]:
-            ids = memoryview(raw).cast("I").tolist()
-            return " ".join(map(str, ids)).encode(), b" ".join([token[i] for i in ids]), len(ids)
-
-        pieces = Pieces(bpe, shape)
+        own = encoder(path)
+        spelt = own.bpe.spelt
+        number = [b"%d" % i for i in range(len(spelt))]
         for batch in slices(batches):
-            counts, coded, decoded = [], [], []
-            for own in pieces.of(texts_of(batch)):
-                found = [x for x in own if x[2]]
-                counts.append(sum([x[2] for x in found]))
-                coded.append(hashlib.sha256(b" ".join([x[0] for x in found])).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest())
-            yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "n_tokens": (counts, pa.int64()), "ids_sha256": (coded, pa.string()), "decoded_sha256": (decoded, pa.string())})
+            counts, coded, decoded = ([make() for _ in range(batch.num_rows)] for make in (int, hashlib.sha256, hashlib.sha256))
+            decoders = [Decoder(spelt) for _ in range(batch.num_rows)]
+            for k, part in own.parts(texts_of(batch)):
+                if ids := memoryview(part).cast("I").tolist():
+                    if counts[k]:
+                        coded[k].update(b" ")
+                    counts[k] += len(ids)
+                    coded[k].update(b" ".join(map(number.__getitem__, ids)))
+                    decoded[k].update(decoders[k].feed(ids))
+            columns = {"ids_sha256": coded, "decoded_sha256": decoded}
+            yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "n_tokens": (counts, pa.int64())} | {c: ([x.hexdigest() for x in v], pa.string()) for c, v in columns.items()})
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

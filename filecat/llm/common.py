@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches where the text column passes the limit; a longer text is a slice of its own."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         at = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:

@@ -4,7 +4,7 @@ Lengths are whole numbers up to the sequence length, so the corpus enters the pl
 that bounded size. Large lengths are rounded up within groups of equal cardinality; the few sizes
 that come out are packed by configurations (a linear programme solved by column generation, rounded
 down); actual documents take the places of the rounded ones; all others go in by best fit, largest
-first. Spark then ranks the pieces of each length and deals them out to the planned places.
+first; sequences that stay emptier than others are taken apart and filled once more. Spark then ranks the pieces of each length and deals them out to the planned places.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filecat.llm.bpe_codec import Pieces, codec
+from filecat.llm.bpe_codec import encoder
 from filecat.llm.common import cut, documents, set_out, slices, texts_of
 
 #: Pieces of one length are ranked in so many parts, dealt by a hash.
@@ -43,38 +43,52 @@ def grouped(histogram: dict[int, int], groups: int) -> list[tuple[int, list[tupl
     return out
 
 
-def best_configuration(sizes: np.ndarray, worth: np.ndarray, room: int) -> np.ndarray:
-    """The multiset of sizes within room that is worth most."""
-    order = np.argsort(sizes)
-    small, value = sizes[order], worth[order]
-    best, last = np.zeros(room + 1), np.full(room + 1, -1)
-    fits = np.searchsorted(small, np.arange(room + 1), side="right")
-    for c in range(int(small[0]), room + 1):
-        with_each = best[c - small[: fits[c]]] + value[: fits[c]]
-        k = int(with_each.argmax())
-        best[c], last[c] = (with_each[k], k) if with_each[k] > best[c - 1] else (best[c - 1], -1)
-    out, c = np.zeros(len(sizes)), room
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            out[order[last[c]]] += 1
-            c -= int(small[last[c]])
-    return out
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 200) -> list[tuple[int, np.ndarray]]:
-    """(times, how many of each size): the linear programme's solution, rounded down."""
-    basis = np.diag((room // sizes).astype(float))
-    for _ in range(rounds):
-        amount, worth = np.linalg.solve(basis, demand), np.linalg.solve(basis.T, np.ones(len(sizes)))
-        new = best_configuration(sizes, np.maximum(worth, 0), room)
+class Configurations:
+    """Finds the multiset of sizes within room that is worth most. All sizes are large, so that a multiset has few of them."""
+
+    def __init__(self, sizes: np.ndarray, room: int):
+        self.sizes, self.room = sizes, room
+        left = np.arange(room + 1)[:, None] - sizes
+        self.left, self.fits = np.maximum(left, 0), left >= 0
+
+    def best(self, worth: np.ndarray) -> np.ndarray:
+        most = self.room // int(self.sizes.min())
+        value, taken = np.zeros(self.room + 1), []
+        for k in range(most):  # value: of at most k sizes, by room
+            rows = slice(self.room, None) if k == most - 1 else slice(None)
+            with_each = np.where(self.fits[rows], value[self.left[rows]] + worth, -1.0)
+            pick = with_each.argmax(axis=1)
+            now = np.maximum(with_each[np.arange(len(pick)), pick], 0.0)
+            taken.append(np.where(now > 0, pick, -1))
+            value = now
+        out, at = np.zeros(len(self.sizes)), self.room
+        for k in range(most - 1, -1, -1):
+            i = int(taken[k][0 if k == most - 1 else at])
+            if i >= 0:
+                out[i] += 1
+                at -= int(self.sizes[i])
+        return out
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 300) -> list[tuple[int, np.ndarray]]:
+    """(times, how many of each size): the linear programme's solution by column generation, rounded down."""
+    basis, inverse = np.diag((room // sizes).astype(float)), np.diag(1 / (room // sizes))
+    search = Configurations(sizes, room)
+    for k in range(rounds):
+        if k % 100 == 99:
+            inverse = np.linalg.inv(basis)  # against rounding errors
+        amount, worth = inverse @ demand, inverse.sum(axis=0)
+        new = search.best(np.maximum(worth, 0))
         if worth @ new <= 1 + 1e-7:
             break
-        step = np.linalg.solve(basis, new)
+        step = inverse @ new
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, np.maximum(amount, 0) / step, np.inf)
-        basis[:, int(ratio.argmin())] = new
+        out = int(ratio.argmin())
+        basis[:, out] = new
+        inverse[out] /= step[out]
+        step[out] = 0
+        inverse -= np.outer(step, inverse[out])
     amount = np.linalg.solve(basis, demand)
     return [(n, basis[:, k]) for k in range(len(sizes)) if (n := int(amount[k] + 1e-9)) > 0]
 
@@ -119,28 +133,18 @@ def _at(own: list[tuple[int, int]], place: int) -> list[int]:
 
 
 def best_plan(histogram: dict[int, int], room: int) -> np.ndarray:
-    """The plan with the fewest sequences of several bounds between large and small lengths."""
-    return min((plan(histogram, room, groups, room // part) for groups, part in ((64, 4), (64, 3), (64, 2))), key=lambda p: p[0])[1]
+    """The plan with the fewest sequences, of those that call lengths above a quarter or a third of a sequence large."""
+    return min((plan(histogram, room, 128, room // part) for part in (4, 3)), key=lambda p: p[0])[1]
 
 
-def plan(histogram: dict[int, int], room: int, groups: int, large: int) -> tuple[int, np.ndarray]:
-    """The number of sequences, and rows (length, from rank, first sequence, pieces of that length in each sequence, offset of the first), sorted.
+def used(open_: dict[int, list[tuple[int, Counter]]]) -> int:
+    """How many sequences are not empty."""
+    return sum(times for own in open_.values() for times, held in own if held)
 
-    The pieces of one length with ranks from `from rank` up to the next row's fill one run of equal
-    sequences after another. There are at most a few rows for each length and run, however many pieces."""
-    big = {n: c for n, c in histogram.items() if large < n < room}
-    runs: list[tuple[int, list[int]]] = [(histogram[room], [room])] if histogram.get(room) else []
-    rest: Counter = Counter({n: c for n, c in histogram.items() if n <= large and n < room})
-    if big:
-        parts = grouped(big, groups)
-        sizes, at = np.unique([s for s, _ in parts], return_inverse=True)
-        merged = [(int(s), [r for (_, rs), k in zip(parts, at) if k == i for r in rs]) for i, s in enumerate(sizes)]
-        demand = np.array([sum(c for _, c in rs) for _, rs in merged], float)
-        more, left = substituted(merged, configurations(sizes, demand, room))
-        runs += more
-        rest += left
-    open_: dict[int, list[tuple[int, Counter]]] = defaultdict(list)
-    free: list[int] = []
+
+def best_fit(open_: dict[int, list[tuple[int, Counter]]], rest: Counter, room: int) -> None:
+    """Puts lengths, largest first, where they leave least free; open_: runs of equal sequences (times, lengths) by free space."""
+    free = sorted(space for space in open_ if open_[space])
 
     def put(space: int, times: int, held: Counter) -> None:
         if times and not open_[space]:
@@ -148,15 +152,12 @@ def plan(histogram: dict[int, int], room: int, groups: int, large: int) -> tuple
         if times:
             open_[space].append((times, held))
 
-    for times, lengths in runs:
-        put(room - sum(lengths), times, Counter(lengths))
     for length in sorted(rest, reverse=True):
         count = rest[length]
         while count:
             k = bisect_left(free, length)
             if k == len(free):
-                each = room // length
-                put(room, -(-count // each), Counter())
+                put(room, -(-count // (room // length)), Counter())
                 continue
             space = free[k]
             times, held = open_[space].pop()
@@ -167,6 +168,43 @@ def plan(histogram: dict[int, int], room: int, groups: int, large: int) -> tuple
             put(space, times - full, held)
             put(space - each * length, full, held + Counter({length: each}))
             count -= full * each
+
+
+def plan(histogram: dict[int, int], room: int, groups: int, large: int, share: float = 0.3) -> tuple[int, np.ndarray]:
+    """The number of sequences, and rows (length, from rank, first sequence, pieces of that length in each sequence, offset of the first), sorted.
+
+    Lengths above `large` are grouped and packed by configurations. These leave free what the small lengths
+    need (the given share of their sum, dealt over all sequences), so that they fill what is left. A length
+    that does not fit beside that stands alone.
+    The pieces of one length with ranks from `from rank` up to the next row's fill one run of equal
+    sequences after another. There are at most a few rows for each length and run, however many pieces."""
+    runs: list[tuple[int, list[int]]] = [(histogram[room], [room])] if histogram.get(room) else []
+    rest: Counter = Counter({n: c for n, c in histogram.items() if n <= large and n < room})
+    open_sequences = max(1, -(-sum(n * c for n, c in histogram.items() if n < room) // room))
+    tight = room - int(share * sum(n * c for n, c in rest.items()) / open_sequences)
+    big = {n: c for n, c in histogram.items() if large < n <= tight and n < room}
+    runs += [(c, [n]) for n, c in histogram.items() if max(tight, large) < n < room]
+    if big:
+        parts = grouped(big, groups)
+        sizes, at = np.unique([s for s, _ in parts], return_inverse=True)
+        merged = [(int(s), [r for (_, rs), k in zip(parts, at) if k == i for r in rs]) for i, s in enumerate(sizes)]
+        demand = np.array([sum(c for _, c in rs) for _, rs in merged], float)
+        more, left = substituted(merged, configurations(sizes, demand, tight))
+        runs += more
+        rest += left
+    open_: dict[int, list[tuple[int, Counter]]] = defaultdict(list)
+    for times, lengths in runs:
+        open_[room - sum(lengths)].append((times, Counter(lengths)))
+    best_fit(open_, rest, room)
+    for least in (room // 8, room // 32, room // 128, room // 512):  # sequences that stayed emptier than that are taken apart and filled anew
+        apart = {space: open_[space] for space in open_ if space >= least}
+        again: Counter = Counter()
+        for times, held in (x for own in apart.values() for x in own):
+            again.update({n: times * each for n, each in held.items()})
+        tried = defaultdict(list, {space: list(own) for space, own in open_.items() if space < least})
+        best_fit(tried, again, room)
+        if used(tried) < used(open_):
+            open_ = tried
     rows, sequence, rank = [], 0, Counter()
     for space in sorted(open_):
         for times, held in open_[space]:
@@ -179,39 +217,49 @@ def plan(histogram: dict[int, int], room: int, groups: int, large: int) -> tuple
     return sequence, np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def token_pieces(docs: DataFrame, path: str, room: int, slice_bytes: int = 16 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, room: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's tokens and its closing id 0, cut after each `room` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(codec(path), bytes)
-        for batch in slices(batches, limit=slice_bytes):
-            doc, number, start, length, crc = [], [], [], [], []
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), pieces.of(texts_of(batch))):
-                raw = b"".join(own) + bytes(4)
-                for k, at in enumerate(range(0, len(raw), 4 * room)):
-                    part = raw[at : at + 4 * room]
-                    doc.append(doc_id)
-                    number.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield set_out({"doc_id": (doc, pa.int64()), "piece": (number, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64())})
+        full = 4 * room
+        for batch in slices(batches):
+            row, number, length, crc = [], [], [], []
+            held = [bytearray() for _ in range(batch.num_rows)]
+            pieces = [0] * batch.num_rows
+
+            def put(k: int) -> None:
+                row.append(k)
+                number.append(pieces[k])
+                length.append(min(full, len(held[k])) // 4)
+                crc.append(zlib.crc32(held[k][:full]))
+                del held[k][:full]
+                pieces[k] += 1
+
+            for k, part in encoder(path).parts(texts_of(batch)):
+                held[k] += part
+                while len(held[k]) > full:
+                    put(k)
+            for k, rest in enumerate(held):
+                rest += bytes(4)
+                while rest:
+                    put(k)
+            number = np.array(number, np.int64)
+            yield set_out({"doc_id": (batch.column("doc_id").take(pa.array(row, pa.int64())), pa.int64()), "piece": (number, pa.int32()), "start": (number * room, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64())})
 
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str, room: int = 2048, slice_bytes: int = 16 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Documents end with id 0; only those longer than `room` are cut. A null or empty text is the one
     id 0. Repeated rows and null doc_ids are pieces like any other; an empty table gives no piece.
     Sequences hold at most `room` ids, without gaps. The driver sees counts for each length and part
     (at most room x PARTS numbers) and makes the plan; pieces are ranked within (length, part) on the
-    executors, so that a length which many share is spread over PARTS tasks. Texts are tokenised in slices
-    of slice_bytes: larger ones learn a piece less often, smaller ones hold less.
+    executors, so that a length which many share is spread over PARTS tasks.
     """
     spark = docs.sparkSession
-    pieces = token_pieces(docs, path, room, slice_bytes).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
+    pieces = token_pieces(docs, path, room).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
     pieces = cut(pieces)
     counts = pieces.groupBy("length", "part").count().collect()  # at most room x PARTS rows
     table = np.zeros((room + 1, PARTS), np.int64)

@@ -69,7 +69,7 @@ class PieceCounter:
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
     def _merge(self, tokens: set[str]) -> None:
-        rest = list(tokens - self.whole - self.merged.keys())
+        rest = list((tokens - self.whole).difference(self.merged))
         if rest:
             self.merged.update((t, len(e.ids)) for t, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)))
 
@@ -96,7 +96,7 @@ class PieceCounter:
         unknown: set[str] = set()
         for _, pieces in parts:
             unknown.update(pieces[1:])
-        if unknown := unknown - self.pieces.keys():
+        if unknown := unknown.difference(self.pieces):
             self._learn(unknown)
         slow = []
         for i, pieces in parts:

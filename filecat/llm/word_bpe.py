@@ -1,17 +1,18 @@
 """BPE encoding by a bounded-lookahead streaming transducer, and decoding by a state machine.
 
-The merge list alone decides how far to the right of a token the text can still change it. That
-bound is computed once; a token is emitted as soon as so many bytes behind it are known, and the
-transducer forgets it. So a word of any length is encoded in constant memory. Words are
-independent of each other: each distinct one is encoded once while a worker's bounded memory
-of them lasts.
+The merge list alone decides how far to the right of a token the text can still change its end. That
+reach is computed once for every token. Words are read through windows: a window's letters are merged,
+and all tokens up to the last end that has its token's reach of known letters behind it are stable; they
+are emitted and forgotten, and the window moves on. A window in which nothing is stable grows, at most
+to twice the whole list's lookahead. So a word of any length is encoded in constant memory. A worker
+remembers the transducer's results for a bounded number of words and windows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from collections import ChainMap
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +21,15 @@ from filecat.llm.token_count import RARE, load
 
 #: Stands for the rank of a pair that never merges.
 NO_RANK = 1 << 40
-#: A worker remembers at most so many distinct words, then starts afresh.
-REMEMBERED = 200_000
+#: A worker remembers at most so many distinct words, or windows of longer ones, then starts afresh.
+REMEMBERED = 400_000
+#: Letters of a word's first window.
+WINDOW = 32
+#: Bytes of text that are held as words at once.
+PART = 1 << 20
+#: Where text without white space may be cut: inside a run of ASCII letters, behind enough of them that no special string ends there.
+INNER = re.compile(rb"[A-Za-z]{17}(?=[A-Za-z])")
+BLANK = re.compile(rb"[ \t-\r]")
 
 
 def byte_letters() -> list[str]:
@@ -31,28 +39,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
-def sufficient_lookahead(merges: list[tuple[int, int, int]], width: list[int]) -> int:
-    """Bytes behind a token that can still change it.
+def sufficient_lookahead(merges: list[tuple[int, int, int]], width: list[int]) -> np.ndarray:
+    """For each id: bytes behind a token's end that decide whether a merge crosses that end.
 
     merges: (left, right, result) in order of priority; width: bytes of each id. A merge (a, b) is
     undone from the right only by an earlier merge that takes b, or a right part of b, as its left
-    side; that one by a still earlier merge, and so on. So the bound is the widest such chain.
+    side; that one by a still earlier merge, and so on: the widest such chain is the reach of a. A
+    token's end may be crossed by a merge that takes the token or a right part of it.
     """
-    parts: dict[int, tuple[int, int]] = {}
+    right_parts: dict[int, set[int]] = {}
     taken: dict[int, int] = {}
-    widest = 0
+
+    def widest(edge: int) -> int:
+        return max([taken.get(edge, 0), *map(widest, right_parts.get(edge, ()))])
+
     for a, b, c in merges:
-        reach, edge = 0, b
-        while True:
-            reach = max(reach, taken.get(edge, 0))
-            if edge not in parts:
-                break
-            edge = parts[edge][1]
-        reach += width[b]
-        taken[a] = max(taken.get(a, 0), reach)
-        parts.setdefault(c, (a, b))
-        widest = max(widest, reach)
-    return widest
+        taken[a] = max(taken.get(a, 0), widest(b) + width[b])
+        right_parts.setdefault(c, set()).add(b)
+    return np.array([widest(t) for t in range(len(width))])
 
 
 class Ranks:
@@ -106,71 +110,37 @@ class WordBPE:
         self.token = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for s, i in [*vocab.items(), *self.special.items()]:
             self.token[i] = s
+        self.spelt = [t.encode() for t in self.token]
         letters = byte_letters()
         self.inner, self.last = [vocab[x] for x in letters], [vocab[x + end] for x in letters]
         self.width = [len(s.removesuffix(end)) for s in self.token]
         order = [(vocab[a], vocab[b], vocab[a + b]) for a, b in map(tuple, model["merges"])]
-        self.ranks = {a << 20 | b: (k, c) for k, (a, b, c) in reversed(list(enumerate(order)))}
-        self.lookahead = sufficient_lookahead(order, self.width)
-        self.longest = max(self.width)
+        self.widths, self.reach = np.array(self.width), sufficient_lookahead(order, self.width)
+        self.most = 2 * int(self.reach.max()) + max(self.width)  # in so many letters some end is stable
         self.inner_of, self.last_of = np.array(self.inner), np.array(self.last)
         self.results = np.array([c for _, _, c in order])
         self.table = Ranks(np.array([a << 20 | b for a, b, _ in order]))
         self.marks = {i: i for i in self.special.values()}
-        self.words: dict[str | int, bytes] = {x: i.to_bytes(4, "little") for x, i in self.marks.items()}
-
-    def _merge(self, ids: list[int]) -> list[int]:
-        get = self.ranks.get
-        while len(ids) > 1:
-            found = [x for x in map(get, map(lambda a, b: a << 20 | b, ids, ids[1:])) if x]
-            if not found:
-                break
-            best, new = min(found)
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and (x := get(ids[i] << 20 | ids[i + 1])) and x[0] == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def stream(self, letters: Iterable[int]) -> Iterator[int]:
-        """Ids of one word, given its letters' ids one at a time; never holds more than a few lookaheads."""
-        held: list[int] = []
-        most = 2 * self.lookahead + self.longest
-        for x in letters:
-            held.append(x)
-            if len(held) >= most:
-                at = 0
-                for t in self._merge(held):
-                    if at + self.width[t] > len(held) - self.lookahead:
-                        break
-                    at += self.width[t]
-                    yield t
-                del held[:at]
-        yield from self._merge(held)
-
-    def _short(self, words: list[bytes]) -> list[bytes]:
-        """Ids (unsigned 32 bit) of many short words at once: a row for each word, and in every round
-        each row merges its first pair of least rank."""
-        size = np.array([len(w) for w in words])
-        n, wide = len(words), int(size.max())
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        self.marked_ids: dict[str | int, bytes] = {x: i.to_bytes(4, "little") for x, i in self.marks.items()}
+        self.words, self.windows = dict(self.marked_ids), {}
+
+    def _merged(self, windows: list[bytes], ended: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many windows of about one size, and how many each has: in every round each row merges its first pair of least rank."""
+        size = np.array([len(w) for w in windows])
+        n, wide = len(windows), int(size.max())
+        raw = np.frombuffer(b"".join(windows), np.uint8)
         ids = np.full((n, wide + 1), -1, np.int64)
         ids[np.arange(wide + 1) < size[:, None]] = self.inner_of[raw]
-        ids[np.arange(n), size - 1] = self.last_of[raw[np.cumsum(size) - 1]]
+        end = np.flatnonzero(ended)
+        ids[end, size[end] - 1] = self.last_of[raw[np.cumsum(size)[end] - 1]]
         rank = self.table.ranks(ids[:, :-1], ids[:, 1:])
-        row, done = np.arange(n), [None] * n
+        row, done, done_size = np.arange(n), np.zeros((n, wide + 1), np.uint32), np.zeros(n, np.int64)
         span = np.arange(wide + 1)
         while len(row):
             at = rank.argmin(axis=1)
             best = rank[np.arange(len(row)), at]
             if (end := best == NO_RANK).any():
-                for r, x, k in zip(row[end].tolist(), ids[end].astype(np.uint32), size[end].tolist()):
-                    done[r] = x[:k].tobytes()
+                done[row[end]], done_size[row[end]] = np.maximum(ids[end], 0), size[end]
                 row, ids, rank, size, at, best = (x[~end] for x in (row, ids, rank, size, at, best))
                 if not len(row):
                     break
@@ -184,21 +154,42 @@ class WordBPE:
             before = np.maximum(at - 1, 0)
             rank[here, before] = self.table.ranks(ids[here, before], ids[here, before + 1])
             size = size - 1
-        return done
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as unsigned little-endian 32 bit."""
-        raw = [w.encode() for w in words]
-        out: list[bytes] = [b""] * len(raw)
-        for low, high in ((1, 8), (9, 16), (17, 32)):
-            if at := [i for i, w in enumerate(raw) if low <= len(w) <= high]:
-                for i, x in zip(at, self._short([raw[i] for i in at])):
-                    out[i] = x
-        for i, w in enumerate(raw):
-            if len(w) > 32:
-                out[i] = np.fromiter(self.stream([self.inner[b] for b in w[:-1]] + [self.last[w[-1]]]), np.uint32).tobytes()
+        return done, done_size
+
+    def emitted(self, windows: list[bytes], ended: list[bool]) -> list[tuple[bytes, int]]:
+        """For each window its stable ids (unsigned little-endian 32 bit) and how many letters they are; of a word's last window all."""
+        sizes = [len(w) for w in windows]
+        out: list = [None] * len(windows)
+        low = 0
+        while low < max(sizes, default=0):
+            high = max(8, 2 * low)
+            if at := [i for i, n in enumerate(sizes) if low < n <= high]:
+                last = np.array([ended[i] for i in at])
+                ids, size = self._merged([windows[i] for i in at], last)
+                here = np.arange(ids.shape[1]) < size[:, None]
+                ends = np.where(here, self.widths[ids], 0).cumsum(axis=1)
+                # everything up to the last stable end; at a word's end all is stable
+                stable = here & (last[:, None] | (ends + self.reach[ids] <= ends[:, -1:]))
+                count = np.where(stable.any(axis=1), ids.shape[1] - stable[:, ::-1].argmax(axis=1), 0)
+                used = np.where(count > 0, ends[np.arange(len(at)), count - 1], 0)
+                flat, bounds = ids[np.arange(ids.shape[1]) < count[:, None]].tobytes(), (4 * np.cumsum(count)).tolist()
+                for i, x, to, n in zip(at, [0, *bounds], bounds, used.tolist()):
+                    out[i] = (flat[x:to], n)
+            low = high
         return out
 
+    def transduce(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (unsigned little-endian 32 bit): a window of each at once, until all have ended."""
+        out, todo = [[] for _ in words], [(k, 0, WINDOW) for k in range(len(words))]
+        while todo:
+            ended, rest = [at + wide >= len(words[k]) for k, at, wide in todo], []
+            for (k, at, wide), end, (ids, used) in zip(todo, ended, self.emitted([words[k][at : at + wide] for k, at, wide in todo], ended)):
+                out[k].append(ids)
+                if not end:
+                    rest.append((k, at + used, WINDOW if used else min(2 * wide, self.most)))
+            todo = rest
+        return [b"".join(parts) for parts in out]
+
     def cut(self, s: str) -> list[str]:
         """Normalised words of s, in which no special string is."""
         if s.isascii():
@@ -218,30 +209,94 @@ class WordBPE:
         else:
             text = text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
             cut = [s if s.isalpha() else self.find(s) for s in text.split(" ")]
-        new = {w for ws in cut if type(ws) is list for w in ws} | {w for w in cut if type(w) is str}
         if len(self.words) > REMEMBERED:
-            self.words = {x: i.to_bytes(4, "little") for x, i in self.marks.items()}
-        fresh = list(new - self.words.keys())
-        known = dict(zip(fresh, self.encode_words(fresh))) if fresh else {}
-        self.words.update((w, x) for w, x in known.items() if len(w) <= 64)
-        known = ChainMap(known, self.words) if any(len(w) > 64 for w in known) else self.words  # long words are used, not remembered
-        return [known[ws] if type(ws) is str else b"".join([known[w] for w in ws]) for ws in cut]
+            self.words = dict(self.marked_ids)
+        fresh: set[str | int] = set()
+        for ws in cut:
+            fresh.update((ws,) if type(ws) is str else ws)
+        fresh = list(fresh.difference(self.words))
+        known = self.words
+        if fresh:
+            known |= zip(fresh, self.transduce([w.encode() for w in fresh]))
+        out = [known[ws] if type(ws) is str else b"".join([known[w] for w in ws]) for ws in cut]
+        for w in fresh:
+            if len(w) > 64:  # long words are used, not remembered
+                del known[w]
+        return out
 
     def _marked(self, s: str) -> list[str | int]:
         return [y for x in self.marked.split(s) for y in ([self.special[x]] if x in self.special else self.cut(x))]
 
+    def stream(self, piece: bytes) -> Iterator[bytes]:
+        """Ids, part by part, of one piece of any length without white space; a word may go on through many parts."""
+        at, word = 0, None
+        while at < len(piece):
+            found = INNER.search(piece, at + PART) if len(piece) - at > 2 * PART else None
+            to = found.end() if found else len(piece)
+            words = self._marked(piece[at:to].decode())
+            if word and words:
+                yield from word.feed(words.pop(0).encode())
+                if words or not found:
+                    yield from word.close()
+                    word = None
+            if found and words:
+                word = OpenWord(self)
+                last = words.pop().encode()
+                yield from self._each(words)
+                yield from word.feed(last)
+            else:
+                yield from self._each(words)
+            at = to
+
+    def _each(self, words: list[str | int]) -> Iterator[bytes]:
+        for at in range(0, len(words), 1 << 14):
+            some = [w for w in dict.fromkeys(words[at : at + (1 << 14)]) if w not in self.marks]
+            known = self.marked_ids | dict(zip(some, self.transduce([w.encode() for w in some])))
+            yield b"".join([known[w] for w in words[at : at + (1 << 14)]])
+
+
+class OpenWord:
+    """A word whose letters come in parts; at most a few windows of them are held, besides what is fed at once."""
+
+    def __init__(self, bpe: WordBPE, letters: bytes = b""):
+        self.bpe, self.held, self.wide = bpe, bytearray(letters), WINDOW
+
+    def feed(self, letters: bytes) -> Iterator[bytes]:
+        self.held += letters
+        return self._moved(False)
+
+    def close(self) -> Iterator[bytes]:
+        return self._moved(True)
+
+    def _moved(self, last: bool) -> Iterator[bytes]:
+        at, bpe, held = 0, self.bpe, self.held
+        while at < len(held) and (last or len(held) - at > self.wide):
+            window, ended = bytes(held[at : at + self.wide]), last and at + self.wide >= len(held)
+            if (found := bpe.windows.get((window, ended))) is None:
+                if len(bpe.windows) > REMEMBERED:
+                    bpe.windows.clear()
+                found = bpe.windows[window, ended] = bpe.emitted([window], [ended])[0]
+            ids, used = found
+            if used:
+                yield ids
+                at += used
+                self.wide = WINDOW
+            else:
+                self.wide = min(2 * self.wide, bpe.most)
+        del held[:at]
+
 
 class Decoder:
-    """State machine from ids to text: the first token stands alone, each later one after a space,
-    as the library joins tokens where the file names no decoder."""
+    """State machine from ids to UTF-8 text, fed with any number of ids at a time: the first token stands
+    alone, each later one after a space, as the library joins tokens where the file names no decoder."""
 
-    def __init__(self, token: list[str]):
+    def __init__(self, token: list[bytes]):
         self.token, self.begun = token, False
 
-    def feed(self, ids: Iterable[int]) -> str:
-        text = " ".join(map(self.token.__getitem__, ids))
+    def feed(self, ids: Iterable[int]) -> bytes:
+        text = b" ".join(map(self.token.__getitem__, ids))
         if text and self.begun:
-            text = " " + text
+            text = b" " + text
         self.begun = self.begun or bool(text)
         return text
 

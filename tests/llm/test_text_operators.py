@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,10 +13,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from filecat.llm import oracles
+from filecat.llm import bpe_codec, oracles, word_bpe
 from filecat.llm.bpe_codec import bpe_decode, bpe_encode, bpe_round_trip
 from filecat.llm.components import components
-from filecat.llm.packing import best_plan, pack
+from filecat.llm.packing import best_plan, configurations, grouped, pack, plan
 from filecat.llm.private_data import private_spans, sanitised
 from filecat.llm.quality_model import quality_scores
 from filecat.llm.quality_rules import repetition_rules
@@ -24,7 +25,7 @@ from filecat.llm.simhash import FREE, free_bits, near, near_duplicates
 from filecat.llm.substring_dedup import duplicate_spans, remove_duplicates
 from filecat.llm.token_count import load, token_counts
 from filecat.llm.vector_search import nearest
-from filecat.llm.word_bpe import ByteDecoder, WordBPE
+from filecat.llm.word_bpe import ByteDecoder, OpenWord, WordBPE
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -86,14 +87,46 @@ def test_bpe_round_trip(spark, odd, none):
     assert bpe_round_trip(none, WORDS).count() == 0
 
 
-def test_transducer_streams_long_words():
+def ids_of(raw):
+    return np.frombuffer(raw, np.uint32).tolist()
+
+
+def test_transducer_in_windows():
+    """Words of any length go through windows and give what the library makes of the whole word."""
     bpe, tok = WordBPE(WORDS), load(WORDS)
     rng = np.random.default_rng(1)
-    for parts in (list("etaoinshr"), ["the", "ing", "tion", "a"], ["a"]):
-        word = "".join(rng.choice(parts, 1500))
-        want = tok.encode(word, add_special_tokens=False).ids
-        assert list(bpe.stream([bpe.inner[b] for b in word.encode()[:-1]] + [bpe.last[word.encode()[-1]]])) == want
-        assert ByteDecoder(bpe.token).feed(want, True) == word + " "
+    whole = [t.removesuffix("</w>") for t in bpe.token if t.isascii() and t.isalpha()]
+    for parts in (list("etaoinshr"), ["the", "ing", "tion", "a"], ["a"], list("ab"), ["ha", "h", "a"], whole):
+        words = ["".join(rng.choice(parts, int(rng.integers(1, 700)))).lower() for _ in range(12)]
+        want = [tok.encode(w, add_special_tokens=False).ids for w in words]
+        assert list(map(ids_of, bpe.transduce([w.encode() for w in words]))) == want
+        for w, ids in zip(words, want):
+            word, raw = OpenWord(bpe), w.encode()
+            assert ids_of(b"".join([x for k in range(0, len(raw), 100) for x in word.feed(raw[k : k + 100])] + list(word.close()))) == ids
+            assert ByteDecoder(bpe.token).feed(ids, True) == w + " "
+    assert bpe.reach.max() == 540 and bpe.reach.min() == 0
+
+
+def test_parts_of_long_texts(monkeypatch):
+    """Texts without white space, special strings and letters that change their number of bytes, across the borders of parts."""
+    monkeypatch.setattr(word_bpe, "PART", 300)
+    monkeypatch.setattr(bpe_codec, "PART", 300)
+    own, tok = bpe_codec.TextEncoder(WORDS), load(WORDS)
+    for text in (
+        "a" * 5000, "<|endoftext|>" * 300, "abc!<|endoftext|>'s" * 200, "é" * 900, "it's'll" * 400, "x1y22z" * 300, "日本語" * 300 + "abc" * 400, "İ" + "q" * 5000 + "\u0301é" + "k" * 3000,
+        "hello world " * 300 + "z" * 4000 + " end\n" * 100, "A" * 700 + "<|endoftext|>" + "B" * 700, "",
+    ):
+        assert ids_of(b"".join(ids for _, ids in own.parts([text.encode()]))) == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_take_bounded_memory():
+    own = bpe_codec.TextEncoder(WORDS)
+    for text in (b"abcde" * 400_000, b"word and other words, 12 " * 250_000):
+        tracemalloc.start()
+        ids = sum(len(part) // 4 for _, part in own.parts([text]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert ids > 300_000 and peak < 40e6  # words of a part of 1 MB are held, not those of the text
 
 
 def test_packing(odd, none):
@@ -124,6 +157,22 @@ def test_plan_is_near_the_bound():
         assert last <= (1.25 if (low, high) == (500, 1200) else 1.02) * bound + 2
 
 
+def test_configurations_hold_several_documents():
+    """Of lengths with a long tail, most large ones share a sequence that a configuration planned."""
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(rng.lognormal(6.3, 0.8, 20_000).astype(int) + 1, 2047)
+    histogram = Counter(lengths.tolist())
+    big = {n: c for n, c in histogram.items() if n > 512}
+    sizes, at = np.unique([s for s, _ in grouped(big, 128)], return_inverse=True)
+    demand = np.bincount(at, [sum(c for _, c in rs) for _, rs in grouped(big, 128)])
+    chosen = configurations(sizes, demand, 2048)
+    assert all(sizes @ config <= 2048 for _, config in chosen)
+    several = sum(times * config.sum() for times, config in chosen if config.sum() >= 2)
+    assert several > 0.75 * sum(big.values())
+    count, rows = plan(histogram, 2048, 128, 512)
+    assert count <= 1.005 * -(-int(lengths.sum()) // 2048)
+
+
 def simhash(text):
     words = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     if not words:
