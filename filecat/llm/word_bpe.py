@@ -115,6 +115,7 @@ class WordBPE:
         self.inner, self.last = [vocab[x] for x in letters], [vocab[x + end] for x in letters]
         self.width = [len(s.removesuffix(end)) for s in self.token]
         order = [(vocab[a], vocab[b], vocab[a + b]) for a, b in map(tuple, model["merges"])]
+        self.ranks = {a << 20 | b: (k, c) for k, (a, b, c) in reversed(list(enumerate(order)))}
         self.widths, self.reach = np.array(self.width), sufficient_lookahead(order, self.width)
         self.most = 2 * int(self.reach.max()) + max(self.width)  # in so many letters some end is stable
         self.inner_of, self.last_of = np.array(self.inner), np.array(self.last)
@@ -156,8 +157,32 @@ class WordBPE:
             size = size - 1
         return done, done_size
 
+    def _one(self, window: bytes, ended: bool) -> tuple[bytes, int]:
+        """What emitted() gives of one window; it is remembered, since long words say the same again and again."""
+        if (found := self.windows.get((window, ended))) is not None:
+            return found
+        get, ids = self.ranks.get, [self.inner[b] for b in window]
+        if ended:
+            ids[-1] = self.last[window[-1]]
+        while found := [x for x in map(get, map(lambda a, b: a << 20 | b, ids, ids[1:])) if x]:
+            (best, new), out, i = min(found), [], 0
+            while i < len(ids):
+                both = i + 1 < len(ids) and (x := get(ids[i] << 20 | ids[i + 1])) and x[0] == best
+                out.append(new if both else ids[i])
+                i += 2 if both else 1
+            ids = out
+        ends = np.cumsum(self.widths[ids])
+        stable = np.flatnonzero(ends + (0 if ended else self.reach[ids]) <= len(window))
+        n = int(stable[-1]) + 1 if len(stable) else 0
+        if len(self.windows) > REMEMBERED:
+            self.windows.clear()
+        found = self.windows[window, ended] = (np.array(ids[:n], np.uint32).tobytes(), int(ends[n - 1]) if n else 0)
+        return found
+
     def emitted(self, windows: list[bytes], ended: list[bool]) -> list[tuple[bytes, int]]:
         """For each window its stable ids (unsigned little-endian 32 bit) and how many letters they are; of a word's last window all."""
+        if len(windows) < 16:
+            return list(map(self._one, windows, ended))
         sizes = [len(w) for w in windows]
         out: list = [None] * len(windows)
         low = 0
@@ -272,11 +297,7 @@ class OpenWord:
         at, bpe, held = 0, self.bpe, self.held
         while at < len(held) and (last or len(held) - at > self.wide):
             window, ended = bytes(held[at : at + self.wide]), last and at + self.wide >= len(held)
-            if (found := bpe.windows.get((window, ended))) is None:
-                if len(bpe.windows) > REMEMBERED:
-                    bpe.windows.clear()
-                found = bpe.windows[window, ended] = bpe.emitted([window], [ended])[0]
-            ids, used = found
+            ids, used = bpe._one(window, ended)
             if used:
                 yield ids
                 at += used
