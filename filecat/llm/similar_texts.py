@@ -7,14 +7,16 @@ shares none of them once in 1,500 pairs). In a block bits lie vertically, 64 fin
 carry-save counters add up 64 distances at a time, until all of a word's exceed the radius. What is left
 is decided by the shingle sets themselves.
 
-Blocks are compared twice: first in parts of bounded size, from which the nearest pairs that tie a part
-together are checked; then all texts that these links left in unlike components, in tiles of bounded
-size. So a large group of copies costs about as many checks as it has texts.
+Blocks are dealt into parts of bounded size; rows of one part lie next to each other in a sorted
+partition and are read as a stream, with ids and fingerprints alone. Of each part only the nearest pairs
+that tie together what may be similar are checked, so a large group of copies costs about as many checks
+as it has texts and bands.
 
 Blocks and radius miss some pairs, so a last pass misses none: a pair with the share in common has in
-common one of the shingles that come first in each set, in an order of all shingles. Rare ones come
+common some of the shingles that come first in each set, in an order of all shingles. Rare ones come
 first; they are told by counts of a fixed number of buckets, which steer the work and not the result.
-Texts of unlike components that meet in such a shingle are decided by their sets, whatever their prints.
+Texts of unlike components that meet in as many of these as their sizes ask for are decided by their
+sets, whatever their prints.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filecat.llm.common import cut as checkpointed
@@ -33,10 +35,10 @@ from filecat.llm.components import components
 from filecat.llm.words import BASE, cut, hashes, mixed, rolling
 
 BITS, RADIUS, BANDS, ROWS = 512, 106, 14, 4
-#: Rows of a part or of one side of a tile, on average.
+#: Rows of a part, on average.
 PART = 512
-#: Shingles of these rows, on average, where the sets themselves go along.
-SHINGLES = 1 << 18
+#: Texts are made to shingles in slices of so many bytes.
+SLICE = 2 << 20
 #: Buckets of shingles whose counts tell which are rare.
 BUCKETS = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -183,132 +185,59 @@ def forest(left: np.ndarray, right: np.ndarray, distance: np.ndarray, rows: int)
     return np.array([k for k, x, y in zip(order.tolist(), left[order].tolist(), right[order].tolist()) if ties.tie(x, y)], np.int64)
 
 
-def in_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 11) -> Iterator[tuple[pa.StructArray, np.ndarray]]:
-    """The rows of some groups, and the rows of each; a group is never cut."""
-    for batch in batches:
-        lists = batch.column("rows")
-        ends, at = lists.offsets.to_numpy(), 0
-        while at < len(lists):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + rows, side="right")) - 1)
-            yield lists.values.slice(ends[at], ends[to] - ends[at]), np.diff(ends[at : to + 1])
-            at = to
-
-
-def met(rows: pa.StructArray, sizes: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows of unlike components that may be similar, by fingerprint and number of shingles, and their distance."""
-    comp = rows.field("comp").to_numpy(zero_copy_only=False)
-    n, side = rows.field("n").to_numpy(), rows.field("side").to_numpy()
-    raw = np.frombuffer(b"".join(rows.field("fp").to_pylist()), np.uint8).reshape(len(rows), -1)
-    quads = raw.view(np.uint64)
-    for left, right in block_pairs(raw, sizes, np.add.reduceat(1 - side, np.cumsum(sizes) - sizes).astype(np.int64)):
-        good = (np.minimum(n[left], n[right]) >= share * np.maximum(n[left], n[right])) & (comp[left] != comp[right])
-        left, right = left[good], right[good]
-        yield left, right, np.bitwise_count(quads[left] ^ quads[right]).sum(axis=1)
+def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 12) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of sorted rows, some at a time, and the rows of each; only the group that is being read is held over."""
+    held: list[pa.RecordBatch] = []
 
+    def ready(table: pa.Table, last: bool) -> tuple[list[tuple[pa.Table, np.ndarray]], pa.Table]:
+        own = [table.column(k).to_numpy() for k in keys]
+        edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in own], axis=0)) + 1
+        bounds, out, at = np.concatenate([[0], edge, [table.num_rows] if last else []]).astype(np.int64), [], 0
+        while at < len(bounds) - 1:
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + rows, side="right")) - 1)
+            out.append((table.slice(bounds[at], bounds[to] - bounds[at]), np.diff(bounds[at : to + 1])))
+            at = to
+        return out, table.slice(bounds[-1])
 
-def pairs_of(cid: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    x, y = cid[left], cid[right]
-    return set_out({"a": (np.minimum(x, y), pa.string()), "b": (np.maximum(x, y), pa.string())})
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            out, rest = ready(pa.Table.from_batches(held), False)
+            yield from out
+            held = rest.combine_chunks().to_batches()
+    if held:
+        yield from ready(pa.Table.from_batches(held), True)[0]
 
 
-def nearest_pairs(blocks: DataFrame, share: float) -> DataFrame:
-    """a < b: pairs that may be similar, nearest first, as many as tie together what may be in each part."""
+def nearest_pairs(parts: DataFrame, share: float) -> DataFrame:
+    """a < b: pairs that may be similar by fingerprint and number of shingles, nearest first, as many as tie together what may be in each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sizes in in_groups(batches):
-            found = []
-            for left, right, distance in met(rows, sizes, share):
-                pick = forest(left, right, distance, len(rows))
+        for rows, sizes in in_groups(batches, ["band", "key", "part"]):
+            n, cid = rows.column("n").to_numpy(), rows.column("cid").to_numpy()
+            raw = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(len(n), -1)
+            quads, found = raw.view(np.uint64), []
+            for left, right in block_pairs(raw, sizes, sizes):
+                good = np.minimum(n[left], n[right]) >= share * np.maximum(n[left], n[right])
+                left, right = left[good], right[good]
+                distance = np.bitwise_count(quads[left] ^ quads[right]).sum(axis=1)
+                pick = forest(left, right, distance, len(n))
                 found.append((left[pick], right[pick], distance[pick]))
             if found:
                 left, right, distance = map(np.concatenate, zip(*found))
-                pick = forest(left, right, distance, len(rows))
-                yield pairs_of(rows.field("cid").to_numpy(zero_copy_only=False), left[pick], right[pick])
-
-    return blocks.mapInArrow(run, "a string, b string").distinct()
-
-
-def texts_met(blocks: DataFrame, share: float) -> DataFrame:
-    """cid of every text that may be similar to one of another component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sizes in in_groups(batches):
-            some = np.zeros(len(rows), bool)
-            for left, right, _ in met(rows, sizes, share):
-                some[left] = some[right] = True
-            yield set_out({"cid": (rows.field("cid").to_numpy(zero_copy_only=False)[some], pa.string())})
-
-    return blocks.mapInArrow(run, "cid string").distinct()
-
-
-def checked_pairs(blocks: DataFrame, share: float) -> DataFrame:
-    """a < b: similar pairs of unlike components, by their shingle sets, as many as tie together what is similar in each tile.
-    A pair is looked at in the first band that it shares."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sizes in in_groups(batches):
-            comp, items = rows.field("comp").to_pylist(), rows.field("items")
-            ends, flat = items.offsets.to_numpy(), items.values.to_numpy()
-            keys = np.array(rows.field("keys").to_pylist(), np.int64)
-            earlier = np.arange(BANDS) < rows.field("band").to_numpy()[:, None]
-            ties, first, found = Ties(len(rows)), {}, []
-            for k, c in enumerate(comp):
-                ties.tie(first.setdefault(c, k), k)
-            for left, right, distance in met(rows, sizes, share):
-                order = np.argsort(distance, kind="stable")
-                order = order[~((keys[left[order]] == keys[right[order]]) & earlier[left[order]]).any(axis=1)]
-                for x, y in zip(left[order].tolist(), right[order].tolist()):
-                    if ties.root(x) != ties.root(y):
-                        one, two = flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]]
-                        both = np.sort(np.concatenate([one, two]), kind="stable")  # two sorted runs
-                        common = int((both[1:] == both[:-1]).sum())
-                        if common >= share * (len(both) - common) and ties.tie(x, y):
-                            found.append((x, y))
-            if found:
-                yield pairs_of(rows.field("cid").to_numpy(zero_copy_only=False), *np.array(found).T)
-
-    return blocks.mapInArrow(run, "a string, b string").distinct()
-
-
-def gathered(rows: DataFrame, keys: list[str], more: list[str] = ()) -> DataFrame:
-    """The rows of each part or tile as one list, those of side 0 first; each has about PART rows or SHINGLES shingles a side at most."""
-    one = F.struct("side", "cid", "n", "fp", "comp", *more)
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("rows")).where("size(rows) > 1 and rows[0].side = 0").select("rows")
-
-
-def dealt(parts: Column) -> Column:
-    """A part for each row of a block, unlike from band to band."""
-    return F.pmod(F.xxhash64("cid", "band"), parts)
+                pick = forest(left, right, distance, len(n))
+                x, y = cid[left[pick]], cid[right[pick]]
+                yield set_out({"a": (np.minimum(x, y), pa.string()), "b": (np.maximum(x, y), pa.string())})
 
-
-def tiles(rows: DataFrame, more: list[str] = ()) -> DataFrame:
-    """Rows of blocks, with their comp, dealt out so that any two of unlike components meet.
-
-    The component with most rows in a block is dealt against the rest alone; a small block is one tile."""
-    by_comp = rows.groupBy("band", "key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    blocks = by_comp.groupBy("band", "key").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.max(F.struct("c", "comp", "s"))["s"].alias("s_main"), F.sum("c").alias("n_all"), F.sum("s").alias("s_all")
-    ).where("n_main < n_all")
-    parts = lambda n, s: F.greatest(F.ceil(n / F.lit(PART)), F.ceil(s / F.lit(SHINGLES))).cast("long")
-    sized = blocks.select("band", "key", "main", (parts(F.col("n_all"), F.col("s_all")) == 1).alias("is_small"), parts(F.col("n_main"), F.col("s_main")).alias("mains"), parts(F.col("n_all") - F.col("n_main"), F.col("s_all") - F.col("s_main")).alias("others"))
-    here = rows.join(sized, ["band", "key"]).withColumn("is_main", F.col("comp") == F.col("main"))
-    here = here.withColumn("part", dealt(F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
-    tile = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
-    part, zero = F.col("part"), F.lit(0)
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    main = F.transform(upto("others"), lambda j: tile("main", part, j, zero))
-    cross = F.transform(upto("mains"), lambda i: tile("main", i, part, F.lit(1)))
-    rest = F.transform(upto("others"), lambda j: tile("rest", F.least(part, j), F.greatest(part, j), F.when(part <= j, 0).otherwise(1)))
-    small = F.array(tile("small", zero, zero, zero))
-    where = F.when(F.col("is_small"), small).when(F.col("is_main"), main).otherwise(F.concat(cross, rest))
-    return here.withColumn("tile", F.explode(where)).select("band", "key", "tile.kind", "tile.i", "tile.j", "tile.side", "cid", "n", "fp", "comp", *more)
+    place = ["band", "key", "part"]
+    return parts.select(*place, "cid", "n", "fp").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a string, b string").distinct()
 
 
 def sets_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """cid, items (sorted hashes of the distinct shingles) of the texts asked for."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             found = [np.sort(s.view(np.int64)) for s in shingle_sets(texts_of(batch), shingle)]
             yield set_out({"cid": (batch.column("cid"), pa.string()), "items": (found, pa.list_(pa.int64()))})
 
@@ -316,8 +245,9 @@ def sets_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int)
     return checkpointed(one.select("cid", "text").mapInArrow(sets, "cid string, items array<long>"))
 
 
-def similar(pairs: DataFrame, items: DataFrame, share: float) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, share: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least share."""
+    items = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), texts, nodes, shingle)
     left, right = items.select(F.col("cid").alias("a"), F.col("items").alias("x")), items.select(F.col("cid").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("common") >= share * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
@@ -328,10 +258,11 @@ def bucket_counts(texts: DataFrame, shingle: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             own = np.concatenate(shingle_sets(texts_of(batch), shingle))
             count += np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        yield set_out({"bucket": (np.arange(BUCKETS), pa.int64()), "n": (count, pa.int64())})
+        some = np.flatnonzero(count)
+        yield set_out({"bucket": (some, pa.int64()), "n": (count[some], pa.int64())})
 
     out = np.zeros(BUCKETS, np.int64)
     for r in texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -347,38 +278,39 @@ def leading(own: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
 
 
 def missed_pairs(texts: DataFrame, nodes: DataFrame, tied: DataFrame, shingle: int, share: float) -> DataFrame:
-    """a < b: all pairs of texts of unlike components that may be similar, by a leading shingle in common and by number of shingles."""
+    """a < b: all pairs of texts of unlike components that may be similar, by number of shingles and of leading ones in common.
+
+    Sets of n and m shingles that have the share in common have share / (1 + share) * (n + m) of them at
+    least in common. Of these, at most the shingles behind the leading ones of one of the two are not
+    leading in both: so many fewer leading ones in common at least."""
     counts = bucket_counts(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             found = [leading(x, counts, share).view(np.int64) for x in shingle_sets(texts_of(batch), shingle)]
             yield set_out({"cid": (batch.column("cid"), pa.string()), "leading": (found, pa.list_(pa.int64()))})
 
-    one = texts.join(nodes.select("cid", F.col("first_key").alias("doc_key")), ["cid", "doc_key"]).dropDuplicates(["cid", "doc_key"])
-    first = checkpointed(one.select("cid", "text").mapInArrow(run, "cid string, leading array<long>"))
+    first = texts.select("cid", "text").mapInArrow(run, "cid string, leading array<long>").groupBy("cid").agg(F.first("leading").alias("leading"))
     comps = nodes.select("cid", "n").join(tied, "cid", "left").select("cid", "n", F.xxhash64(F.coalesce("root", "cid")).alias("comp"))
-    rows = first.join(comps, "cid").select("cid", "n", "comp", F.explode("leading").alias("key"))
+    rows = checkpointed(first.join(comps, "cid")).select("cid", "n", "comp", F.explode("leading").alias("key"))
     open_ = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    met_ = checkpointed(rows.join(open_, "key"))
-    left, right = met_.toDF("key", "a", "n_a", "comp_a"), met_.toDF("key", "b", "n_b", "comp_b")
+    met = checkpointed(rows.join(open_, "key").select("cid", "n", "comp", "key"))
+    left, right = met.toDF("a", "n_a", "comp_a", "key"), met.toDF("b", "n_b", "comp_b", "key")
+    left, right = left.select("key", "a", "n_a", "comp_a"), right.select("key", "b", "n_b", "comp_b")
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9))
-    return checkpointed(pairs.select("a", "b").distinct())
+    both = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    least = F.lit(share / (1 + share)) * (F.col("n_a") + F.col("n_b"))
+    behind = F.ceil(share * F.greatest("n_a", "n_b") - 1e-9) - 1
+    return checkpointed(both.where(F.col("common") >= least - behind - 1e-6).select("a", "b"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id that links lead to) of every row of docs.
-
-    Equal texts are one text before anything is compared. Texts without words, null ones too, are alike;
-    a text of fewer words than a shingle is one shingle. Rows with a null doc_id take part and get their
-    group's id (null if no row of the group has one); repeated rows are kept; an empty table gives an
-    empty result; further columns are not read.
-    """
+def grouped_rows(docs: DataFrame, shingle: int, share: float) -> DataFrame:
+    """doc_id, cid (of the text), root (of the group) of every row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"cid": F.md5("text"), "doc_key": F.coalesce("doc_id", F.lit(-1).cast("long"))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             sets = shingle_sets(texts_of(batch), shingle)
             raw, keys = prints(sets)
             yield set_out({
@@ -387,38 +319,40 @@ def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Dat
             })
 
     rows = checkpointed(texts.mapInArrow(run, "doc_id long, doc_key long, cid string, n long, fp binary, keys array<long>"))
-    nodes = rows.groupBy("cid").agg(F.min("doc_key").alias("first_key"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("cid").agg(F.min("doc_key").alias("first_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     keyed = nodes.select("cid", "n", "fp", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = checkpointed(keyed.join(shared, ["band", "key"]))
+    blocks = keyed.join(shared, ["band", "key"])
+    parts = blocks.withColumn("part", F.pmod(F.xxhash64("cid", "band"), F.ceil(F.col("size") / F.lit(PART)).cast("long")))
 
-    first = blocks.withColumns({"part": dealt(F.ceil(F.col("size") / F.lit(PART)).cast("long")), "side": F.lit(0), "comp": F.col("cid")})
-    tried = checkpointed(nearest_pairs(gathered(first, ["band", "key", "part"]), share))
-    items = sets_of(tried.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), texts, nodes, shingle)
-    links = checkpointed(similar(tried, items, share))
+    tried = checkpointed(nearest_pairs(parts, share))
+    links = checkpointed(similar(tried, texts, nodes, shingle, share))
     tied = components(links).withColumnRenamed("node", "cid")
-    known = blocks.join(tied, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root", "size")
+    missed = missed_pairs(texts, nodes, tied, shingle, share)
+    tied = components(checkpointed(links.union(similar(missed, texts, nodes, shingle, share)))).withColumnRenamed("node", "cid")
+    return rows.select("doc_id", "cid").join(tied, "cid", "left").select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
 
-    place = ["band", "key", "kind", "i", "j"]
-    asked = checkpointed(texts_met(gathered(tiles(known), place), share))
-    whole = sets_of(asked, texts, nodes, shingle).join(nodes.select("cid", "keys"), "cid")
-    late = checked_pairs(gathered(tiles(known.join(whole, "cid"), ["items", "keys"]), place, ["items", "keys", "band"]), share)
-    links = checkpointed(links.union(late))
-    tied = components(links).withColumnRenamed("node", "cid")
 
-    missed = missed_pairs(texts, nodes, tied, shingle, share)
-    items = sets_of(missed.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), texts, nodes, shingle)
-    tied = components(checkpointed(links.union(similar(missed, items, share))))
+def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id that links lead to) of every row of docs.
 
-    grouped = nodes.select("cid", "first_doc").join(tied.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    found = grouped.join(grouped.groupBy("root").agg(F.min("first_doc").alias("component_id")), "root").select("cid", "component_id")
-    return rows.select("doc_id", "cid").join(found, "cid").select("doc_id", "component_id")
+    Equal texts are one text before anything is compared. Texts without words, null ones too, are alike;
+    a text of fewer words than a shingle is one shingle. Rows with a null doc_id take part and get their
+    group's id (null if no row of the group has one); repeated rows are kept; an empty table gives an
+    empty result; further columns are not read.
+    """
+    rows = checkpointed(grouped_rows(docs, shingle, share))
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of docs of which no near-duplicate has a smaller doc_id, one for each doc_id; all columns stay.
-    Rows with a null doc_id can't be told apart and stay."""
-    gone = similar_groups(docs, shingle, share).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_apart", apart).dropDuplicates(["doc_id", "_apart"]).drop("_apart")
+    """One row of docs of each group of near-duplicates, all columns: that with the smallest doc_id (nulls last), of these the one whose text's digest is least.
+
+    Rows that share a doc_id but not their text are documents of their own. Of repeated rows one stays;
+    an empty table gives an empty result."""
+    rows = grouped_rows(docs, shingle, share)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")
+    chosen = checkpointed(rows.groupBy("root").agg(F.min(order).alias("one")).select("one.doc_id", "one.cid"))
+    keyed = docs.withColumns({"_cid": F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_id": F.col("doc_id").cast("long")})
+    kept = keyed.join(chosen, keyed["_id"].eqNullSafe(chosen["doc_id"]) & (keyed["_cid"] == chosen["cid"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_cid"]).drop("_id", "_cid")
