@@ -136,7 +136,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     bands = [sum(255 << 8 * k for k in range(8) if k not in pair) for pair in FREE]
     signed = [m - (1 << 64) if m >> 63 else m for m in bands]
     keys = F.array(*[F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for k, m in enumerate(signed)])
-    keyed = fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.combo", "key.rest")
+    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps Spark from joining small partitions that are about to grow 28-fold
+    keyed = fps.repartition(wide, "fp").select("fp", F.explode(keys).alias("key")).select("fp", "key.combo", "key.rest")
     grouped = keyed.groupBy("combo", "rest").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("combo", "fps")  # at most 65,536 in each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +165,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     more than one text; the largest group that meets in a task has 65,536 fingerprints.
     """
     rows = cut(fingerprints(docs, shingle, seed))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    tied = components(fingerprint_links(distinct.select("fp"), radius))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    tied = components(cut(fingerprint_links(distinct.select("fp"), radius)))
     nodes = distinct.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     roots = nodes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     found = nodes.join(roots, "root").select("fp", "component_id")
