@@ -122,7 +122,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4
     take no part; a row that comes twice counts once; a query's own vec_id is no candidate of it; an empty
     table gives an empty result; further columns are not read.
 
-    The codebook is fitted on at most `sample` vectors; every vector is indexed. Equal vectors are one
+    The codebook is fitted on at most `sample` distinct vectors; every vector is indexed. Equal vectors are one
     entry with its k + 1 smallest ids, of which no more can be in a result. Index blocks meet query blocks,
     each of bounded size, so that a task holds one of both.
     """
@@ -138,7 +138,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4
     rows = rows.where(F.size("embedding") == dim)
     first = Window.partitionBy("embedding").orderBy("vec_id")
     entries = rows.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    chosen = rows.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()
+    chosen = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()  # distinct, so that no common vector fills the sample
     book = spark.sparkContext.broadcast(Codebook(np.stack(chosen["embedding"].to_numpy()).astype(np.float64).reshape(-1, dim)))  # 16 centres for each two dimensions
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

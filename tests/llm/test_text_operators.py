@@ -376,3 +376,22 @@ def test_vector_search(spark):
             assert [v for _, v, _ in own] == best.tolist()  # copies: ties go to the smaller id
     assert hit / total > 0.95 and len(rows) == total
     assert nearest(frame.limit(0)).count() == 0
+
+
+def test_vector_search_with_a_common_vector(spark):
+    """A third of all rows are one vector: recall of the others stays, since it is one entry of index and sample."""
+    rng = np.random.default_rng(9)
+    own = rng.normal(size=(10_000, 24)).astype(np.float32)
+    data = [(i, v.tolist()) for i, v in enumerate(own)] + [(20_000 + i, [0.1] * 24) for i in range(5000)]
+    rows = nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids = np.array([i for i, _ in data])
+    matrix = np.concatenate([own, np.tile(np.float32(0.1), (5000, 24))]).astype(float)
+    hit = total = 0
+    for q in range(0, 10_000, 500):
+        score = matrix @ own[q].astype(float)
+        keep = ids != q
+        hit, total = hit + len(found[q] & set(ids[keep][np.lexsort((ids[keep], -score[keep]))][:20].tolist())), total + 20
+    assert hit / total >= 0.95 and {r["query_id"] for r in rows} == {i for i in ids.tolist() if i % 20 == 0}
