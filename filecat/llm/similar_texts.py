@@ -1,9 +1,8 @@
 """Near-duplicates by the share of word shingles in common, found with wide SimHash fingerprints compared bit-sliced.
 
 A pair is linked if its sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints
-have 512 bits; at that similarity two differ in 78 bits on average and in more than 106 once in 5,000
-pairs. Texts meet in blocks, one for each of 14 bands of four shingle minima (a pair of similarity 0.8
-shares none of them once in 1,500 pairs). In a block bits lie vertically, 64 fingerprints to a word, and
+have 512 bits; at that similarity two differ in 78 bits on average. Texts meet in blocks, one for each of
+6 bands of four shingle minima (24 pairs of 25 of similarity 0.8 share one). In a block bits lie vertically, 64 fingerprints to a word, and
 carry-save counters add up 64 distances at a time, until all of a word's exceed the radius. What is left
 is decided by the shingle sets themselves.
 
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filecat.llm.common import cut as checkpointed
@@ -34,9 +33,11 @@ from filecat.llm.common import set_out, slices, texts_of
 from filecat.llm.components import components
 from filecat.llm.words import BASE, cut, hashes, mixed, rolling
 
-BITS, RADIUS, BANDS, ROWS = 512, 106, 14, 4
+BITS, RADIUS, BANDS, ROWS = 512, 106, 6, 4
 #: Rows of a part, on average.
 PART = 512
+#: So many digests of texts are sent to every task at most.
+FEW = 1 << 18
 #: Texts are made to shingles in slices of so many bytes.
 SLICE = 2 << 20
 #: Buckets of shingles whose counts tell which are rare.
@@ -241,13 +242,15 @@ def sets_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int)
             found = [np.sort(s.view(np.int64)) for s in shingle_sets(texts_of(batch), shingle)]
             yield set_out({"cid": (batch.column("cid"), pa.string()), "items": (found, pa.list_(pa.int64()))})
 
-    one = texts.join(asked.join(nodes.select("cid", F.col("first_key").alias("doc_key")), "cid"), ["cid", "doc_key"]).dropDuplicates(["cid", "doc_key"])
+    asked = asked.join(nodes.select("cid", F.col("first_key").alias("doc_key")), "cid")
+    few = asked.count() <= FEW  # then the texts themselves need no shuffle
+    one = texts.join(F.broadcast(asked) if few else asked, ["cid", "doc_key"]).dropDuplicates(["cid", "doc_key"])
     return checkpointed(one.select("cid", "text").mapInArrow(sets, "cid string, items array<long>"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, share: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least share."""
-    items = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), texts, nodes, shingle)
+    items = sets_of(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), texts, nodes, shingle)
     left, right = items.select(F.col("cid").alias("a"), F.col("items").alias("x")), items.select(F.col("cid").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("common") >= share * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
@@ -291,12 +294,12 @@ def missed_pairs(texts: DataFrame, nodes: DataFrame, tied: DataFrame, shingle: i
             yield set_out({"cid": (batch.column("cid"), pa.string()), "leading": (found, pa.list_(pa.int64()))})
 
     first = texts.select("cid", "text").mapInArrow(run, "cid string, leading array<long>").groupBy("cid").agg(F.first("leading").alias("leading"))
-    comps = nodes.select("cid", "n").join(tied, "cid", "left").select("cid", "n", F.xxhash64(F.coalesce("root", "cid")).alias("comp"))
-    rows = checkpointed(first.join(comps, "cid")).select("cid", "n", "comp", F.explode("leading").alias("key"))
-    open_ = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    met = checkpointed(rows.join(open_, "key").select("cid", "n", "comp", "key"))
+    comps = nodes.select("cid", "n").join(tied, "cid", "left").select("cid", "n", F.xxhash64("cid").alias("node"), F.xxhash64(F.coalesce("root", "cid")).alias("comp"))
+    rows = first.join(comps, "cid").select("node", "comp", F.explode("leading").alias("key"))
+    here = Window.partitionBy("key")
+    open_ = rows.withColumns({"low": F.min("comp").over(here), "high": F.max("comp").over(here)}).where("low <> high").select("node", "key")
+    met = checkpointed(open_.join(comps, "node").select("cid", "n", "comp", "key"))  # nodes with one hash only meet more often
     left, right = met.toDF("a", "n_a", "comp_a", "key"), met.toDF("b", "n_b", "comp_b", "key")
-    left, right = left.select("key", "a", "n_a", "comp_a"), right.select("key", "b", "n_b", "comp_b")
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9))
     both = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
     least = F.lit(share / (1 + share)) * (F.col("n_a") + F.col("n_b"))
@@ -319,10 +322,10 @@ def grouped_rows(docs: DataFrame, shingle: int, share: float) -> DataFrame:
             })
 
     rows = checkpointed(texts.mapInArrow(run, "doc_id long, doc_key long, cid string, n long, fp binary, keys array<long>"))
-    nodes = rows.groupBy("cid").agg(F.min("doc_key").alias("first_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    keyed = nodes.select("cid", "n", "fp", F.posexplode("keys").alias("band", "key"))
+    nodes = checkpointed(rows.groupBy("cid").agg(F.min("doc_key").alias("first_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    keyed = nodes.select("cid", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = keyed.join(shared, ["band", "key"])
+    blocks = keyed.join(shared, ["band", "key"]).join(nodes.select("cid", "n", "fp"), "cid")
     parts = blocks.withColumn("part", F.pmod(F.xxhash64("cid", "band"), F.ceil(F.col("size") / F.lit(PART)).cast("long")))
 
     tried = checkpointed(nearest_pairs(parts, share))
