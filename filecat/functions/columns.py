@@ -35,8 +35,13 @@ def preview_route(mime: Column | str) -> Column:
     """native: shown as it is; generated: needs a rendering; unsupported."""
     m = col(mime)
     native = F.startswith(m, F.lit("image/")) | F.startswith(m, F.lit("video/")) | F.startswith(m, F.lit("audio/")) | (m == "application/pdf")
-    raw = m.isin("image/x-nikon-nef", "image/x-adobe-dng")
-    return F.when(raw | m.isin(OFFICE), "generated").when(native, "native").otherwise("unsupported")
+    return F.when(native, "native").when(m.isin(OFFICE), "generated").otherwise("unsupported")
+
+
+def has_artifacts(mime: Column | str) -> Column:
+    """Whether thumbnails and previews are made of files of this type."""
+    m = F.coalesce(col(mime), F.lit("application/octet-stream"))
+    return F.startswith(m, F.lit("image/")) | F.startswith(m, F.lit("video/")) | m.isin("application/pdf", "application/msword") | F.contains(m, F.lit("wordprocessingml"))
 
 
 def extractor_for(mime: Column | str) -> Column:
@@ -93,7 +98,7 @@ def format_size(size: Column | str, kind: Column | str) -> Column:
     for unit, power in (("KB", 3), ("MB", 6), ("GB", 9), ("TB", 12)):
         one = 10**power
         tenths, whole = F.expr("0").cast("long") + F.floor((b + one // 20) / F.lit(one // 10)), F.floor((b + one // 2) / F.lit(one))
-        text = F.when(tenths < 100, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))).otherwise(whole.cast("string"))
+        text = F.when(b < 10 * one, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))).otherwise(whole.cast("string"))
         text = F.concat(text, F.lit(f" {unit}"))
         out = out.when(b < one * 1000, text) if unit != "TB" else out.otherwise(text)
     return out

@@ -81,6 +81,12 @@ def rows_for(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_semi")
 
 
+def media_streams(streams: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The streams of the nodes (node_id) with their place, nth from 1, in the order of stream_index."""
+    order = Window.partitionBy("node_id").orderBy("stream_index")
+    return rows_for(streams, nodes, "node_id").withColumn("nth", F.row_number().over(order))
+
+
 def favorite_flags(page: DataFrame, favorites: DataFrame) -> DataFrame:
     own = favorites.select(F.col("node_id").alias("id"), F.lit(True).alias("favorite")).distinct()
     return page.join(own, "id", "left").withColumn("favorite", F.coalesce("favorite", F.lit(False)))

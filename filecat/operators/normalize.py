@@ -22,20 +22,36 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _string(v: Column) -> Column:
+    """Text that is not empty, or a number as text."""
+    string = F.try_variant_get(v, "$", "string")
+    return F.when((_kind(v) == "STRING") & (string != ""), string).when(_kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), string)
+
+
 def _text(v: Column) -> Column:
     """Text that is not blank, or a number as text."""
-    string = F.try_variant_get(v, "$", "string")
-    number = _kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)")
-    return F.when((_kind(v) == "STRING") & (F.trim(string) != ""), string).when(number, string)
+    return F.when(F.trim(_string(v)) != "", _string(v))
 
 
-def _int(v: Column) -> Column:
-    """A JSON integer, or text that reads as one, within 32 bits."""
+def _long(v: Column) -> Column:
+    """A JSON integer, or text that reads as one."""
     text = F.try_variant_get(v, "$", "string")
-    long = F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")).when((_kind(v) == "STRING") & text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")).when((_kind(v) == "STRING") & text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+
+
+def _narrow(long: Column) -> Column:
+    """A number within 32 bits."""
     return F.when(long.between(-(1 << 31), (1 << 31) - 1), long.cast("int"))
 
 
+def _int(v: Column) -> Column:
+    return _narrow(_long(v))
+
+
+def _is_object(v: Column) -> Column:
+    return F.startswith(_kind(v), F.lit("OBJECT"))
+
+
 def _double(v: Column) -> Column:
     text = F.try_variant_get(v, "$", "string")
     return F.when(_kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$", "double")).when((_kind(v) == "STRING") & text.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
@@ -46,45 +62,53 @@ def _warnings(*tests: tuple[Column, str]) -> Column:
 
 
 def normalize_exif(payloads: DataFrame) -> DataFrame:
-    """node_id and typed columns of payloads (node_id, payload variant): an array whose first entry counts."""
+    """node_id and typed columns of payloads (node_id, payload variant): an array whose first entry counts. Payloads of another shape have no row: they are failed records."""
     p = F.col("payload")
-    at = lambda *keys: chosen(p, [f"$[0].{k}" for k in keys])
-    rows = payloads.select(
+    at = lambda *keys: chosen(p, [f"$[0]['{k}']" for k in keys])
+    rows = payloads.where(_is_object(F.try_variant_get(p, "$[0]", "variant"))).select(
         "node_id", _int(at("ImageWidth", "ExifImageWidth", "SourceImageWidth")).alias("width"), _int(at("ImageHeight", "ExifImageHeight", "SourceImageHeight")).alias("height"), _int(at("Orientation")).alias("orientation"),
         _text(at("DateTimeOriginal", "CreateDate", "MediaCreateDate")).alias("capture_text"), _text(at("Make")).alias("camera_make"), _text(at("Model")).alias("camera_model"),
-        _double(at("GPSLatitude")).alias("lat"), _double(at("GPSLongitude")).alias("lon"), _text(at("ColorSpace")).alias("color_space"),
+        _double(at("GPSLatitude")).alias("lat"), _double(at("GPSLongitude")).alias("lon"), _text(at("ColorSpace", "ICC_Profile:ColorSpaceData")).alias("color_space"),
     )
     both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     warnings = _warnings(
-        (F.col("width").isNull() | F.col("height").isNull(), "image dimensions are missing"), ((F.col("width") == 0) | (F.col("height") == 0), "image dimensions are zero"),
-        (F.col("lat").isNull() != F.col("lon").isNull(), "only one GPS coordinate"), (F.col("orientation").isNotNull() & ~F.col("orientation").between(1, 8), "orientation is out of range"),
+        (F.col("width").isNull() | F.col("height").isNull(), "image dimensions are missing"), ((F.col("width") * F.col("height").cast("long")) == 0, "image dimensions are zero"),
+        (F.col("lat").isNull() != F.col("lon").isNull(), "only one GPS coordinate is present"), (F.col("orientation").isNotNull() & ~F.col("orientation").between(1, 8), "orientation is outside the EXIF range 1 through 8"),
     )
     when = F.coalesce(*(F.try_to_timestamp("capture_text", F.lit(f)) for f in ("yyyy:MM:dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss.S", "yyyy:MM:dd HH:mm:ssXXX", "yyyy:MM:dd HH:mm:ss.SXXX"))).cast("timestamp_ntz")
     return rows.select("node_id", "width", "height", "orientation", when.alias("capture_time"), "camera_make", "camera_model", F.when(both, F.col("lat")).alias("gps_latitude"), F.when(both, F.col("lon")).alias("gps_longitude"), "color_space", warnings.alias("warnings"))
 
 
 def normalize_ffprobe(payloads: DataFrame) -> DataFrame:
-    """node_id, container_format, duration_ms, total_bitrate, streams, warnings."""
+    """node_id, container_format, duration_ms, total_bitrate, streams, warnings. What is no object among the streams is left out; a payload that is no object has no row."""
     p = F.col("payload")
-    seconds = _double(chosen(p, ["$.format.duration"]))
-    ms = lambda s: F.when((s >= 0) & (s < 9e15) & ~F.isnan(s), F.rint(s * 1000).cast("long"))
+
+    def ms(v: Column) -> Column:
+        seconds = _double(v)
+        return F.when((seconds >= 0) & (seconds < 9e15) & ~F.isnan(seconds), F.rint(seconds * 1000).cast("long"))
+
     streams = F.coalesce(F.try_variant_get(p, "$.streams", "array<variant>"), F.array().cast("array<variant>"))
 
     def stream(v: Column) -> Column:
+        at = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
         kind = F.try_variant_get(v, "$.codec_type", "string")
         return F.struct(
-            F.coalesce(F.try_variant_get(v, "$.index", "int"), F.lit(0)).alias("stream_index"), F.when(kind.isin("video", "audio", "subtitle"), kind).otherwise("other").alias("stream_type"),
-            F.coalesce(F.try_variant_get(v, "$.codec_name", "string"), F.lit("unknown")).alias("codec"), F.try_variant_get(v, "$.width", "int").alias("width"), F.try_variant_get(v, "$.height", "int").alias("height"),
-            ms(F.try_variant_get(v, "$.duration", "double")).alias("duration_ms"), F.try_variant_get(v, "$.bit_rate", "bigint").alias("bitrate_bps"), F.try_variant_get(v, "$.r_frame_rate", "string").alias("frame_rate"), F.try_variant_get(v, "$.tags.language", "string").alias("language"),
+            F.coalesce(_int(at("index")), F.lit(0)).alias("stream_index"), F.when(kind.isin("video", "audio", "subtitle"), kind).otherwise("other").alias("stream_type"), F.coalesce(_string(at("codec_name")), F.lit("unknown")).alias("codec"),
+            _int(at("width")).alias("width"), _int(at("height")).alias("height"), ms(at("duration")).alias("duration_ms"), _long(at("bit_rate")).alias("bitrate_bps"), _string(at("avg_frame_rate")).alias("frame_rate"), _string(at("tags.language")).alias("language"),
         )
 
-    rows = payloads.select("node_id", F.try_variant_get(p, "$.format.format_name", "string").alias("container_format"), ms(seconds).alias("duration_ms"), F.try_variant_get(p, "$.format.bit_rate", "bigint").alias("total_bitrate"), F.transform(streams, stream).alias("streams"))
-    return rows.withColumn("warnings", _warnings((F.size("streams") == 0, "no streams"), (F.col("duration_ms").isNull(), "container duration is missing")))
+    of = lambda k: F.try_variant_get(p, f"$.format.{k}", "variant")
+    rows = payloads.where(_is_object(p)).select("node_id", _string(of("format_name")).alias("container_format"), ms(of("duration")).alias("duration_ms"), _long(of("bit_rate")).alias("total_bitrate"), F.transform(F.filter(streams, _is_object), stream).alias("streams"))
+    return rows.withColumn("warnings", _warnings((F.size("streams") == 0, "ffprobe returned no media streams"), (F.col("duration_ms").isNull(), "container duration is missing")))
+
+
+def first_video(streams: Column) -> Column:
+    return F.get(F.filter(streams, lambda s: s["stream_type"] == "video"), F.lit(0))
 
 
 def first_video_stream(probed: DataFrame) -> DataFrame:
     """node_id, width, height of the first stream of type video."""
-    video = F.get(F.filter("streams", lambda s: s["stream_type"] == "video"), F.lit(0))
+    video = first_video(F.col("streams"))
     return probed.select("node_id", video["width"].alias("width"), video["height"].alias("height"))
 
 
@@ -97,31 +121,44 @@ def media_streams_from_probe(probed: DataFrame, streams: DataFrame | None = None
 
 
 def normalize_tika(payloads: DataFrame) -> DataFrame:
-    """node_id, title, author, creation_date, modification_date, page_count, word_count, warnings of an object, or of the first of an array."""
+    """node_id, title, author, creation_date, modification_date, page_count, word_count, warnings of an object, or of the first of an array; other payloads have no row."""
     p = F.col("payload")
+    is_array = lambda v: F.startswith(_kind(v), F.lit("ARRAY"))
+    first_of = lambda v, test: F.get(F.filter(F.try_variant_get(v, "$", "array<variant>"), test), F.lit(0))
+
+    def at(*keys: str) -> Column:
+        return chosen(F.col("object"), [f"$['{k}']" for k in keys])
+
+    def text(v: Column) -> Column:
+        """As above, and of an array its first text, blank or not."""
+        return F.when(is_array(v), F.try_variant_get(first_of(v, lambda x: _kind(x) == "STRING"), "$", "string")).otherwise(_text(v))
 
-    def first(keys: list[str]) -> Column:
-        paths = [f"{root}['{k}']" for k in keys for root in ("$", "$[0]")]
-        v = chosen(p, paths)
-        return F.when(F.startswith(_kind(v), F.lit("ARRAY")), F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
+    def long(v: Column) -> Column:
+        """As above, and of an array its first entry if that is text."""
+        head = F.get(F.try_variant_get(v, "$", "array<variant>"), F.lit(0))
+        return F.when(is_array(v), F.when(_kind(head) == "STRING", _long(head))).otherwise(_long(v))
 
-    rows = payloads.select(
-        "node_id", _text(first(["dc:title", "title"])).alias("title"), _text(first(["dc:creator", "Author", "meta:author"])).alias("author"), _text(first(["dcterms:created", "Creation-Date"])).alias("creation_date"),
-        _text(first(["dcterms:modified", "Last-Modified"])).alias("modification_date"), _int(first(["xmpTPg:NPages", "NPages", "meta:page-count"])).alias("page_count"), _int(first(["meta:word-count", "Word-Count"])).alias("word_count"),
+    rows = payloads.withColumn("object", F.when(_is_object(p), p).otherwise(F.try_variant_get(p, "$[0]", "variant"))).where(_is_object(F.col("object")))
+    rows = rows.select(
+        "node_id", text(at("dc:title", "title")).alias("title"), text(at("dc:creator", "Author", "meta:author")).alias("author"), text(at("dcterms:created", "Creation-Date", "created")).alias("creation_date"),
+        text(at("dcterms:modified", "Last-Modified", "modified")).alias("modification_date"), _narrow(long(at("xmpTPg:NPages", "meta:page-count"))).alias("page_count"), long(at("meta:word-count", "Word-Count")).alias("word_count"),
     )
-    return rows.withColumn("warnings", _warnings((F.col("page_count") == 0, "page count is zero"), (F.col("title").isNull() & F.col("author").isNull(), "title and author are missing")))
+    return rows.withColumn("warnings", _warnings((F.col("page_count") == 0, "document page count is zero"), (F.col("title").isNull() & F.col("author").isNull(), "document title and author are missing")))
+
+
+def _identity() -> Column:
+    return F.to_json(F.struct(F.col("mime_type").alias("mime"), F.col("byte_size").alias("size"), F.col("checksum_sha256").alias("checksum")))
 
 
 def identity_record(files: DataFrame) -> DataFrame:
     """Rows of metadata_records for files (node_id, mime_type, byte_size, checksum_sha256), one each."""
-    payload = F.to_json(F.struct(F.col("mime_type").alias("mime"), F.col("byte_size").alias("size"), F.col("checksum_sha256").alias("checksum")))
-    return files.select("node_id", F.lit("mime").alias("extractor_name"), F.lit("libmagic-v1").alias("extractor_version"), F.lit("completed").alias("status"), payload.alias("raw_payload"), F.array().cast("array<string>").alias("warnings"))
+    return files.select("node_id", F.lit("mime").alias("extractor_name"), F.lit("libmagic-v1").alias("extractor_version"), F.lit("completed").alias("status"), _identity().alias("raw_payload"), F.array().cast("array<string>").alias("warnings"))
 
 
 def generic_record(files: DataFrame) -> DataFrame:
-    """Records of files that no extractor reads."""
+    """Records of files that no extractor reads: they keep what identifies the file."""
     rows = files.where(extractor_for("mime_type") == "generic")
-    return rows.select("node_id", F.lit("generic").alias("extractor_name"), F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.lit("unsupported").alias("status"), F.lit("{}").alias("raw_payload"), F.array(F.concat(F.lit("no extractor for "), F.col("mime_type"))).alias("warnings"))
+    return rows.select("node_id", F.lit("generic").alias("extractor_name"), F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.lit("unsupported").alias("status"), _identity().alias("raw_payload"), F.array(F.lit("no specialized extractor supports this MIME type")).alias("warnings"))
 
 
 def parsed_records(payloads: DataFrame) -> DataFrame:
@@ -135,7 +172,8 @@ def node_metadata(objects: DataFrame, exif: DataFrame, probe: DataFrame, tika: D
     """One row for each finalized object: its MIME and kind, and the columns of the extractor for that kind."""
     base = objects.where("upload_state = 'finalized'").select("node_id", F.col("mime_type").alias("detected_mime"), media_kind("mime_type").alias("media_kind"))
     image = exif.select("node_id", *(F.col(c).alias(f"e_{c}") for c in ("width", "height", "orientation", "capture_time", "camera_make", "camera_model", "gps_latitude", "gps_longitude")))
-    video = first_video_stream(probe).select("node_id", F.col("width").alias("p_width"), F.col("height").alias("p_height")).join(probe.select("node_id", F.col("duration_ms").alias("p_duration")), "node_id")
+    stream = first_video(F.col("streams"))
+    video = probe.select("node_id", stream["width"].alias("p_width"), stream["height"].alias("p_height"), F.col("duration_ms").alias("p_duration"))
     document = tika.select("node_id", "title", "author", "page_count", F.try_to_timestamp("creation_date").cast("timestamp_ntz").alias("document_created_at"), F.try_to_timestamp("modification_date").cast("timestamp_ntz").alias("document_modified_at"))
     rows = base.join(image, "node_id", "left").join(video, "node_id", "left").join(document, "node_id", "left")
     is_, media = (lambda k: F.col("media_kind") == k), F.col("media_kind").isin("video", "audio")

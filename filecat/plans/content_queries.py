@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filecat.functions import columns as C
+from filecat.operators import listing as L
 from filecat.operators import normalize as N
 from filecat.plans.read_queries import registered as _registered
 from filecat.sources import inventory as S
@@ -44,41 +45,49 @@ EXIF = """SELECT concat('o', p_partkey) AS node_id, concat('[{', CASE p_partkey
  CASE WHEN p_partkey % 3 = 0 THEN concat('"ExifImageWidth":', p_size + 1, ',') ELSE '' END, CASE WHEN p_partkey % 13 = 0 THEN '"ImageHeight":0,' ELSE concat('"ImageHeight":', p_size * 2, ',') END,
  CASE WHEN p_partkey % 4 = 0 THEN '"DateTimeOriginal":"1998:01:02 03:04:05",' WHEN p_partkey % 4 = 1 THEN '"CreateDate":"1999:02:03 04:05:06",' ELSE '' END,
  CASE WHEN p_partkey % 6 IN (0, 1) THEN '"GPSLatitude":48.5,' ELSE '' END, CASE WHEN p_partkey % 6 IN (0, 2) THEN '"GPSLongitude":-3.25,' ELSE '' END,
- '"Make":"', p_brand, '","Model":', CASE WHEN p_partkey % 5 = 0 THEN '"  "' ELSE CAST(p_size AS STRING) END, ',"Orientation":', p_partkey % 10, '}]') AS raw FROM part"""
+ CASE p_partkey % 3 WHEN 1 THEN '"ColorSpace":"sRGB",' WHEN 2 THEN '"ICC_Profile:ColorSpaceData":"RGB ",' ELSE '' END, '"Make":"', p_brand, '","Model":', CASE WHEN p_partkey % 5 = 0 THEN '"  "' ELSE CAST(p_size AS STRING) END, ',"Orientation":', p_partkey % 10, '}]') AS raw FROM part"""
 EXIF_SQL = """exif AS (SELECT p_partkey, concat('o', p_partkey) AS node_id, CAST(CASE p_partkey % 7 WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 END WHEN 1 THEN NULL ELSE p_size END AS INTEGER) AS width, CAST(CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE p_size * 2 END AS INTEGER) AS height, CAST(p_partkey % 10 AS INTEGER) AS orientation,
-  CASE p_partkey % 4 WHEN 0 THEN epoch_us(TIMESTAMP '1998-01-02 03:04:05') WHEN 1 THEN epoch_us(TIMESTAMP '1999-02-03 04:05:06') END AS capture_us, p_brand AS camera_make, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS VARCHAR) END AS camera_model, CASE WHEN p_partkey % 6 = 0 THEN CAST(48.5 AS DOUBLE) END AS gps_latitude, CASE WHEN p_partkey % 6 = 0 THEN CAST(-3.25 AS DOUBLE) END AS gps_longitude FROM part)"""
+  CASE p_partkey % 4 WHEN 0 THEN epoch_us(TIMESTAMP '1998-01-02 03:04:05') WHEN 1 THEN epoch_us(TIMESTAMP '1999-02-03 04:05:06') END AS capture_us, p_brand AS camera_make, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS VARCHAR) END AS camera_model, CASE WHEN p_partkey % 6 = 0 THEN CAST(48.5 AS DOUBLE) END AS gps_latitude, CASE WHEN p_partkey % 6 = 0 THEN CAST(-3.25 AS DOUBLE) END AS gps_longitude, CASE p_partkey % 3 WHEN 1 THEN 'sRGB' WHEN 2 THEN 'RGB ' END AS color_space FROM part)"""
 
 
 def exif(cat) -> DataFrame:
     return N.normalize_exif(cat.sql(EXIF).select("node_id", F.try_parse_json("raw").alias("payload")))
 
 
-@registered("SELECT node_id, width, height, orientation, capture_us, camera_make, camera_model, gps_latitude, gps_longitude FROM exif", EXIF_SQL)
+@registered("SELECT node_id, width, height, orientation, capture_us, camera_make, camera_model, gps_latitude, gps_longitude, color_space FROM exif", EXIF_SQL)
 def normalize_exif(cat):
-    return exif(cat).select("node_id", "width", "height", "orientation", C.micros("capture_time").alias("capture_us"), "camera_make", "camera_model", "gps_latitude", "gps_longitude")
+    return exif(cat).select("node_id", "width", "height", "orientation", C.micros("capture_time").alias("capture_us"), "camera_make", "camera_model", "gps_latitude", "gps_longitude", "color_space")
 
 
-@registered("SELECT node_id, concat_ws('; ', CASE WHEN width IS NULL OR height IS NULL THEN 'image dimensions are missing' END, CASE WHEN width = 0 OR height = 0 THEN 'image dimensions are zero' END, CASE WHEN p_partkey % 6 IN (1, 2) THEN 'only one GPS coordinate' END, CASE WHEN orientation NOT BETWEEN 1 AND 8 THEN 'orientation is out of range' END) AS warnings FROM exif", EXIF_SQL)
+@registered("SELECT node_id, concat_ws('; ', CASE WHEN width IS NULL OR height IS NULL THEN 'image dimensions are missing' WHEN width = 0 OR height = 0 THEN 'image dimensions are zero' END, CASE WHEN p_partkey % 6 IN (1, 2) THEN 'only one GPS coordinate is present' END, CASE WHEN orientation NOT BETWEEN 1 AND 8 THEN 'orientation is outside the EXIF range 1 through 8' END) AS warnings FROM exif", EXIF_SQL)
 def exif_warnings(cat):
     return exif(cat).select("node_id", F.array_join("warnings", "; ").alias("warnings"))
 
 
 PROBE = """SELECT concat('o', o_orderkey) AS node_id, concat('{"format":{"format_name":"mov"', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(',"duration":"', o_orderkey % 1000, '.', 125 * (o_orderkey % 7), '"') END, ',"bit_rate":', o_orderkey % 100000, '},"streams":[',
- CASE o_orderkey % 4 WHEN 0 THEN '' ELSE concat('{"index":0,"codec_type":"audio","codec_name":"aac"},{"index":1,"codec_type":"video","width":', o_orderkey % 640, ',"height":', o_orderkey % 480, ',"r_frame_rate":"25/1","tags":{"language":"en"}},{"index":2,"codec_type":"data"}') END, ']}') AS raw FROM orders"""
+ CASE o_orderkey % 4 WHEN 0 THEN '' ELSE concat('{"index":0,"codec_type":"audio","codec_name":"aac"},{"index":1,"codec_type":"video","width":', o_orderkey % 640, ',"height":"', o_orderkey % 480, '","codec_name":"","duration":"', o_orderkey % 50, '.5","bit_rate":"', o_orderkey, '","r_frame_rate":"50/1","avg_frame_rate":"25/1","tags":{"language":"en"}},{"index":2,"codec_type":"data"},7') END, ']}') AS raw FROM orders"""
 
 
 def probe(cat) -> DataFrame:
     return N.normalize_ffprobe(cat.sql(PROBE).select("node_id", F.try_parse_json("raw").alias("payload")))
 
 
-@registered("SELECT concat('o', o_orderkey) AS node_id, 'mov' AS container_format, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(round_even(CAST(concat(o_orderkey % 1000, '.', 125 * (o_orderkey % 7)) AS DOUBLE) * 1000, 0) AS BIGINT) END AS duration_ms, o_orderkey % 100000 AS total_bitrate, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 3 END AS INTEGER) AS streams, concat_ws('; ', CASE WHEN o_orderkey % 4 = 0 THEN 'no streams' END, CASE WHEN o_orderkey % 5 = 0 THEN 'container duration is missing' END) AS warnings FROM orders")
+@registered("SELECT concat('o', o_orderkey) AS node_id, 'mov' AS container_format, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(round_even(CAST(concat(o_orderkey % 1000, '.', 125 * (o_orderkey % 7)) AS DOUBLE) * 1000, 0) AS BIGINT) END AS duration_ms, o_orderkey % 100000 AS total_bitrate, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 3 END AS INTEGER) AS streams, concat_ws('; ', CASE WHEN o_orderkey % 4 = 0 THEN 'ffprobe returned no media streams' END, CASE WHEN o_orderkey % 5 = 0 THEN 'container duration is missing' END) AS warnings FROM orders")
 def normalize_ffprobe(cat):
     return probe(cat).select("node_id", "container_format", "duration_ms", "total_bitrate", F.size("streams").alias("streams"), F.array_join("warnings", "; ").alias("warnings"))
 
 
-@registered("SELECT concat('o', o_orderkey) AS node_id, CAST(k AS INTEGER) AS stream_index, CASE k WHEN 0 THEN 'audio' ELSE 'video' END AS stream_type, CASE k WHEN 0 THEN 'aac' ELSE 'unknown' END AS codec, CASE WHEN k = 1 THEN CAST(o_orderkey % 640 AS INTEGER) END AS width, CASE WHEN k = 1 THEN 'en' END AS language FROM orders CROSS JOIN (VALUES (0), (1)) v(k) WHERE o_orderkey % 4 <> 0")
+STREAMS = "SELECT concat('o', o_orderkey) AS node_id, CAST(k AS INTEGER) AS stream_index, CASE k WHEN 0 THEN 'audio' ELSE 'video' END AS stream_type, CASE k WHEN 0 THEN 'aac' ELSE 'unknown' END AS codec, CASE WHEN k = 1 THEN CAST(o_orderkey % 640 AS INTEGER) END AS width, CASE WHEN k = 1 THEN CAST(o_orderkey % 480 AS INTEGER) END AS height, CASE WHEN k = 1 THEN CAST(o_orderkey % 50 * 1000 + 500 AS BIGINT) END AS duration_ms, CASE WHEN k = 1 THEN CAST(o_orderkey AS BIGINT) END AS bitrate_bps, CASE WHEN k = 1 THEN '25/1' END AS frame_rate, CASE WHEN k = 1 THEN 'en' END AS language FROM orders CROSS JOIN (VALUES (0), (1)) v(k) WHERE o_orderkey % 4 <> 0"
+
+
+@registered(STREAMS)
 def media_streams_from_probe(cat):
-    return N.media_streams_from_probe(probe(cat)).select("node_id", "stream_index", "stream_type", "codec", "width", "language")
+    return N.media_streams_from_probe(probe(cat))
+
+
+@registered(f"SELECT s.*, CAST(row_number() OVER (PARTITION BY node_id ORDER BY stream_index) AS INTEGER) AS nth FROM ({STREAMS}) s WHERE node_id IN (SELECT node_id FROM favorites)")
+def media_streams(cat):
+    return L.media_streams(N.media_streams_from_probe(probe(cat)), cat.favorites)
 
 
 @registered("SELECT concat('o', o_orderkey) AS node_id, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 640 AS INTEGER) END AS width, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 480 AS INTEGER) END AS height FROM orders")
@@ -86,18 +95,19 @@ def first_video_stream(cat):
     return N.first_video_stream(probe(cat))
 
 
-TIKA = """SELECT concat('o', c_custkey) AS node_id, concat(CASE WHEN c_custkey % 2 = 0 THEN '[' ELSE '' END, '{', CASE c_custkey % 3 WHEN 0 THEN concat('"dc:title":"', c_name, '",') WHEN 1 THEN concat('"dc:title":null,"title":"', c_name, '",') ELSE concat('"title":["', c_name, '","x"],') END,
- CASE WHEN c_custkey % 5 < 3 THEN concat('"Author":"', c_mktsegment, '",') ELSE '' END, '"xmpTPg:NPages":', CASE WHEN c_custkey % 4 = 0 THEN '"0"' ELSE CAST(c_custkey AS STRING) END, '}', CASE WHEN c_custkey % 2 = 0 THEN ']' ELSE '' END) AS raw FROM customer"""
-TIKA_SQL = "tika AS (SELECT c_custkey, concat('o', c_custkey) AS node_id, CASE WHEN c_custkey % 3 <> 1 THEN c_name END AS title, CASE WHEN c_custkey % 5 < 3 THEN c_mktsegment END AS author, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey END AS INTEGER) AS page_count FROM customer)"
+TIKA = """SELECT concat('o', c_custkey) AS node_id, concat(CASE WHEN c_custkey % 2 = 0 THEN '[' ELSE '' END, '{', CASE c_custkey % 3 WHEN 0 THEN concat('"dc:title":"', c_name, '",') WHEN 1 THEN concat('"dc:title":null,"title":"', c_name, '",') ELSE concat('"title":[7,"', c_name, '","x"],') END,
+ CASE WHEN c_custkey % 5 < 3 THEN concat('"Author":"', c_mktsegment, '",') ELSE '' END, CASE WHEN c_custkey % 7 < 3 THEN '"created":"2001-02-03T04:05:06",' ELSE '' END, CASE WHEN c_custkey % 7 > 4 THEN '"modified":"2002-03-04T05:06:07",' ELSE '' END, '"NPages":99,"meta:word-count":', CASE WHEN c_custkey % 2 = 0 THEN '["6000000000"]' ELSE '"12"' END,
+ ',"xmpTPg:NPages":', CASE WHEN c_custkey % 4 = 0 THEN '"0"' ELSE CAST(c_custkey AS STRING) END, '}', CASE WHEN c_custkey % 2 = 0 THEN ']' ELSE '' END) AS raw FROM customer"""
+TIKA_SQL = "tika AS (SELECT c_custkey, concat('o', c_custkey) AS node_id, CASE WHEN c_custkey % 3 <> 1 THEN c_name END AS title, CASE WHEN c_custkey % 5 < 3 THEN c_mktsegment END AS author, CASE WHEN c_custkey % 7 < 3 THEN '2001-02-03T04:05:06' END AS creation_date, CASE WHEN c_custkey % 7 > 4 THEN '2002-03-04T05:06:07' END AS modification_date, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey END AS INTEGER) AS page_count, CAST(CASE WHEN c_custkey % 2 = 0 THEN 6000000000 ELSE 12 END AS BIGINT) AS word_count FROM customer)"
 
 
 def tika(cat) -> DataFrame:
     return N.normalize_tika(cat.sql(TIKA).select("node_id", F.try_parse_json("raw").alias("payload")))
 
 
-@registered("SELECT node_id, title, author, page_count, concat_ws('; ', CASE WHEN page_count = 0 THEN 'page count is zero' END, CASE WHEN title IS NULL AND author IS NULL THEN 'title and author are missing' END) AS warnings FROM tika", TIKA_SQL)
+@registered("SELECT node_id, title, author, creation_date, modification_date, page_count, word_count, concat_ws('; ', CASE WHEN page_count = 0 THEN 'document page count is zero' END, CASE WHEN title IS NULL AND author IS NULL THEN 'document title and author are missing' END) AS warnings FROM tika", TIKA_SQL)
 def normalize_tika(cat):
-    return tika(cat).select("node_id", "title", "author", "page_count", F.array_join("warnings", "; ").alias("warnings"))
+    return tika(cat).select("node_id", "title", "author", "creation_date", "modification_date", "page_count", "word_count", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @registered(
@@ -110,11 +120,17 @@ def node_metadata(cat):
     return N.node_metadata(cat.file_objects, exif(cat), probe(cat), tika(cat)).select("node_id", "detected_mime", "media_kind", "width", "orientation", "has_gps", "document_title", "page_count")
 
 
-@registered("SELECT node_id, CASE WHEN mime_type = 'application/octet-stream' THEN 'generic' ELSE 'mime' END AS extractor_name, CASE WHEN mime_type = 'application/octet-stream' THEN 'unsupported' ELSE 'completed' END AS status, CASE WHEN mime_type = 'application/octet-stream' THEN 1 ELSE 0 END AS warnings FROM file_objects WHERE node_id IS NOT NULL")
+@registered("SELECT node_id, CASE WHEN mime_type = 'application/octet-stream' THEN 'generic' ELSE 'mime' END AS extractor_name, CASE WHEN mime_type = 'application/octet-stream' THEN 'adapter-v1' ELSE 'libmagic-v1' END AS extractor_version, CASE WHEN mime_type = 'application/octet-stream' THEN 'unsupported' ELSE 'completed' END AS status, concat('{\"mime\":\"', mime_type, '\",\"size\":', byte_size, ',\"checksum\":\"', sha256(storage_key), '\"}') AS raw_payload, CASE WHEN mime_type = 'application/octet-stream' THEN 'no specialized extractor supports this MIME type' ELSE '' END AS warnings FROM file_objects WHERE node_id IS NOT NULL")
 def identity_records(cat):
     files = cat.file_objects.where("node_id IS NOT NULL").withColumn("checksum_sha256", F.sha2("storage_key", 256))
     known = N.identity_record(files.where(C.extractor_for("mime_type") != "generic"))
-    return known.unionByName(N.generic_record(files)).select("node_id", "extractor_name", "status", F.size("warnings").alias("warnings"))
+    return known.unionByName(N.generic_record(files)).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@registered("SELECT concat('d', doc_id) AS node_id, 'tika' AS extractor_name, 'failed' AS status, '{\"error\":\"payload is not JSON\"}' AS raw_payload, 'payload is not JSON' AS warnings FROM documents UNION ALL SELECT concat('o', o_orderkey), 'ffprobe', 'completed', concat('{\"format\":{},\"n\":', o_orderkey, '}'), '' FROM orders")
+def parsed_records(cat):
+    rows = cat.sql("SELECT concat('d', doc_id) AS node_id, 'tika' AS extractor_name, concat('no JSON: ', text) AS raw FROM documents UNION ALL SELECT concat('o', o_orderkey), 'ffprobe', concat('{\"format\":{},\"n\":', o_orderkey, '}') FROM orders")
+    return N.parsed_records(rows).select("node_id", "extractor_name", "status", "raw_payload", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @registered("SELECT source_id, source_path FROM import_entries WHERE page_id % 3 <> 0 AND state <> 'imported'")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filecat.functions.columns import is_safe_relative, preview_route, projected_percent
+from filecat.functions.columns import has_artifacts, is_safe_relative, projected_percent
 from filecat.operators import rollups as R
 from filecat.operators import tree as T
 from filecat.operators.listing import destination_conflicts, restore_parent
@@ -247,17 +247,18 @@ def expire_sessions(sessions: DataFrame, now: Column) -> tuple[DataFrame, DataFr
 
 
 def upsert_import_entries(entries: DataFrame, found: DataFrame, now: Column) -> DataFrame:
-    """T-21. found: source_id, source_path, source_size, source_modified_at. New ones are discovered; imported ones that are found again
-    start anew; failed ones stay failed until a retry."""
+    """T-21. found: source_id, source_path, source_size, source_modified_at (of several rows for one path the latest counts). New ones are
+    discovered; size and time of what is found again are renewed; imported ones start anew, without node and checksum; failed ones stay failed until a retry."""
     key = ["source_id", "source_path"]
-    seen = found.dropDuplicates(key).select(*key, F.col("source_size").alias("_size"), F.lit(True).alias("_seen"))
+    seen = found.groupBy(*key).agg(F.max(F.struct("source_modified_at", "source_size")).alias("s")).select(*key, F.col("s.source_size").alias("_size"), F.col("s.source_modified_at").alias("_at"), F.lit(True).alias("_seen"))
     rows = entries.join(seen, key, "full_outer")
     new, again = F.col("id").isNull(), F.col("_seen").isNotNull()
-    state = F.when(new, "discovered").when(again & (F.col("state") == "imported"), "discovered").otherwise(F.col("state"))
-    changed = {"id": F.coalesce("id", _new_id(*key)), "state": state, "source_size": F.coalesce("_size", "source_size"), "created_at": F.when(new, now).otherwise(F.col("created_at")), "updated_at": F.when(again, now).otherwise(F.col("updated_at"))}
-    if "resulting_node_id" in entries.columns:
-        changed["resulting_node_id"] = F.when(state != "discovered", F.col("resulting_node_id"))
-    return rows.withColumns(changed).select(entries.columns)
+    anew = again & (F.col("state") == "imported")
+    changed = {
+        "id": F.coalesce("id", _new_id(*key)), "state": F.when(new | anew, "discovered").otherwise(F.col("state")), "source_size": F.when(again, F.col("_size")).otherwise(F.col("source_size")), "source_modified_at": F.when(again, F.col("_at")).otherwise(F.col("source_modified_at")),
+        "source_checksum": F.when(~F.coalesce(anew, F.lit(False)), F.col("source_checksum")), "resulting_node_id": F.when(~F.coalesce(anew, F.lit(False)), F.col("resulting_node_id")), "created_at": F.when(new, now).otherwise(F.col("created_at")), "updated_at": F.when(again, now).otherwise(F.col("updated_at")),
+    }
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in entries.columns))
 
 
 def stability(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -304,10 +305,24 @@ def plan_artifacts(files: DataFrame, artifacts: DataFrame, jobs: DataFrame) -> D
     have = artifacts.select(F.col("node_id").alias("id"), "artifact_type", F.col("state").alias("have"))
     busy = jobs.where(F.col("state").isin(*R.ACTIVE) & (F.col("job_type") == "preview_generation")).select(F.col("target_node_id").alias("id"), F.lit(True).alias("busy")).distinct()
     rows = wanted.join(have, ["id", "artifact_type"], "left").join(busy, "id", "left")
-    plan = F.when(preview_route("mime_type") == "unsupported", "unsupported").when(F.col("have") == "ready", "serve").when(F.col("have") == "generating", "wait").when(F.col("busy"), "queued").otherwise("generate")
+    plan = F.when(~has_artifacts("mime_type"), "unsupported").when(F.col("have") == "ready", "serve").when(F.col("have") == "generating", "wait").when(F.col("busy"), "queued").otherwise("generate")
     return rows.select("id", "artifact_type", plan.alias("plan"))
 
 
+def new_artifacts(planned: DataFrame, now: Column) -> DataFrame:
+    """Rows of derived_artifacts to put in place of those with the same node and type: what is to be generated begins empty, under a new key."""
+    rows = planned.where("plan IN ('generate', 'queued')")
+    key = F.md5(F.concat_ws("/", "id", "artifact_type", now.cast("string")))
+    return rows.select(F.concat_ws("-", F.lit("a"), "id", "artifact_type").alias("id"), F.col("id").alias("node_id"), "artifact_type", F.lit("application/octet-stream").alias("format"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), key.alias("storage_key"), F.lit(0).cast("long").alias("byte_size"), F.lit("preview-v1").alias("generator_version"), F.lit("generating").alias("state"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def new_preview_jobs(planned: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """id, job_type, target_node_id, state, priority, created_at of one job for each node that waits for an artifact and has no active one."""
+    busy = jobs.where(F.col("state").isin(*R.ACTIVE) & (F.col("job_type") == "preview_generation")).select(F.col("target_node_id").alias("id"))
+    nodes = planned.where("plan IN ('generate', 'queued', 'wait')").select("id").distinct().join(busy, "id", "left_anti")
+    return nodes.select(_new_id("id").alias("id"), F.lit("preview_generation").alias("job_type"), F.col("id").alias("target_node_id"), F.lit("pending").alias("state"), F.lit(0).alias("priority"), now.alias("created_at"))
+
+
 def replace_rows(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """T-27. Rows with those of the same key replaced by the new ones."""
     return rows.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

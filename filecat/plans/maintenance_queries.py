@@ -114,9 +114,9 @@ def purge_counts(cat):
     return rows
 
 
-@registered("SELECT job_type, target_node_id, 0 AS priority FROM (SELECT DISTINCT job_type, target_node_id FROM job_requests WHERE event_id % 3 = 0) r WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.job_type = r.job_type AND j.target_node_id = r.target_node_id AND j.state IN ('pending', 'leased'))")
+@registered("SELECT job_type, target_node_id, 0 AS priority FROM (SELECT DISTINCT job_type, target_node_id FROM job_requests) r WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.job_type = r.job_type AND j.target_node_id = r.target_node_id AND j.state IN ('pending', 'leased'))")
 def plan_work(cat):
-    return M.plan_work(cat.jobs, cat.job_requests.where("event_id % 3 = 0")).select("job_type", "target_node_id", "priority")
+    return M.plan_work(cat.jobs, cat.job_requests).select("job_type", "target_node_id", "priority")
 
 
 @registered(f"SELECT t.node_id AS target_node_id, 5 AS priority FROM trash_entries t JOIN nodes n ON n.id = t.node_id AND n.lifecycle_state = 'trashed' WHERE t.scheduled_purge_at <= TIMESTAMP '{NOW}' AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.target_node_id = t.node_id AND j.job_type = 'permanent_deletion' AND j.state IN ('pending', 'leased')) ORDER BY t.scheduled_purge_at, t.node_id LIMIT 50")
@@ -182,12 +182,19 @@ def expire_sessions(cat):
     return M.expire_sessions(cat.upload_sessions, C.at(NOW))[0].select("id", "state")
 
 
-FOUND = "SELECT source_id, CASE WHEN page_id % 4 = 0 THEN concat(source_path, '.new') ELSE source_path END AS source_path, source_size + 1 AS source_size FROM import_entries WHERE page_id % 4 < 3"
+FOUND = "SELECT source_id, CASE WHEN page_id % 4 = 0 THEN concat(source_path, '.new') ELSE source_path END AS source_path, source_size + 1 AS source_size, CASE WHEN page_id % 8 <> 1 THEN updated_at END AS source_modified_at FROM import_entries WHERE page_id % 4 < 3"
+AGAIN = "page_id % 4 IN (1, 2)"
 
 
-@registered("SELECT source_id, source_path, CASE WHEN page_id % 4 IN (1, 2) THEN source_size + 1 ELSE source_size END AS source_size, CASE WHEN page_id % 4 IN (1, 2) AND state = 'imported' THEN 'discovered' ELSE state END AS state FROM import_entries UNION ALL SELECT source_id, concat(source_path, '.new'), source_size + 1, 'discovered' FROM import_entries WHERE page_id % 4 = 0")
+@registered(
+    f"""SELECT source_id, source_path, CASE WHEN {AGAIN} THEN source_size + 1 ELSE source_size END AS source_size, CASE WHEN {AGAIN} AND state = 'imported' THEN 'discovered' ELSE state END AS state, CASE WHEN {AGAIN} THEN CASE WHEN page_id % 8 <> 1 THEN epoch_us(updated_at) END ELSE epoch_us(created_at) END AS modified_us,
+  CASE WHEN NOT ({AGAIN} AND state = 'imported') THEN sha256(source_path) END AS source_checksum, CASE WHEN NOT ({AGAIN} AND state = 'imported') THEN concat('n', page_id) END AS resulting_node_id FROM import_entries
+  UNION ALL SELECT source_id, concat(source_path, '.new'), source_size + 1, 'discovered', epoch_us(updated_at), NULL, NULL FROM import_entries WHERE page_id % 4 = 0"""
+)
 def upsert_import_entries(cat):
-    return M.upsert_import_entries(cat.import_entries, cat.sql(FOUND), C.at(NOW_EVENTS)).select("source_id", "source_path", "source_size", "state")
+    entries = cat.import_entries.withColumns({"source_modified_at": F.col("created_at"), "source_checksum": F.sha2("source_path", 256), "resulting_node_id": F.concat(F.lit("n"), "page_id")})
+    rows = M.upsert_import_entries(entries, cat.sql(FOUND), C.at(NOW_EVENTS))
+    return rows.select("source_id", "source_path", "source_size", "state", C.micros("source_modified_at").alias("modified_us"), "source_checksum", "resulting_node_id")
 
 
 @registered("SELECT source_path, page_id % 3 <> 0 AND page_id % 5 <> 0 AS stable FROM import_entries")
@@ -214,14 +221,29 @@ def finalize_imports(cat):
     return M.finalize_imports(cat.nodes, cat.sql(IMPORTS), "root", C.at(NOW))[1].select("id", "outcome")
 
 
-@registered(
-    "SELECT n.id, t.artifact_type, CASE WHEN o.mime = 'application/octet-stream' THEN 'unsupported' WHEN a.state = 'ready' THEN 'serve' WHEN a.state = 'generating' THEN 'wait' WHEN EXISTS (SELECT 1 FROM jobs j WHERE j.target_node_id = n.id AND j.job_type = 'preview_generation' AND j.state IN ('pending', 'leased')) THEN 'queued' ELSE 'generate' END AS plan FROM nodes n JOIN order_nodes o ON n.id = concat('o', o.o_orderkey) CROSS JOIN (VALUES ('thumbnail'), ('preview')) t(artifact_type) LEFT JOIN derived_artifacts a ON a.node_id = n.id AND a.artifact_type = t.artifact_type WHERE n.lifecycle_state = 'active'"
-)
-def plan_artifacts(cat):
+ARTIFACTS = "planned AS (SELECT n.id, t.artifact_type, CASE WHEN o.mime = 'application/octet-stream' OR o.mime LIKE 'audio/%' THEN 'unsupported' WHEN a.state = 'ready' THEN 'serve' WHEN a.state = 'generating' THEN 'wait' WHEN EXISTS (SELECT 1 FROM jobs j WHERE j.target_node_id = n.id AND j.job_type = 'preview_generation' AND j.state IN ('pending', 'leased')) THEN 'queued' ELSE 'generate' END AS plan FROM nodes n JOIN order_nodes o ON n.id = concat('o', o.o_orderkey) CROSS JOIN (VALUES ('thumbnail'), ('preview')) t(artifact_type) LEFT JOIN derived_artifacts a ON a.node_id = n.id AND a.artifact_type = t.artifact_type WHERE n.lifecycle_state = 'active')"
+
+
+def _planned(cat):
     files = cat.sql("SELECT concat('o', o_orderkey) AS id, mime AS mime_type FROM order_nodes WHERE state = 'active'")
     return M.plan_artifacts(files, cat.derived_artifacts, cat.jobs)
 
 
+@registered("SELECT * FROM planned", ARTIFACTS)
+def plan_artifacts(cat):
+    return _planned(cat)
+
+
+@registered("SELECT id AS node_id, artifact_type, 'application/octet-stream' AS format, CAST(0 AS BIGINT) AS byte_size, 'preview-v1' AS generator_version, 'generating' AS state FROM planned WHERE plan IN ('generate', 'queued')", ARTIFACTS)
+def new_artifacts(cat):
+    return M.new_artifacts(_planned(cat), C.at(NOW)).select("node_id", "artifact_type", "format", "byte_size", "generator_version", "state")
+
+
+@registered("SELECT DISTINCT id AS target_node_id, 'preview_generation' AS job_type, 'pending' AS state, CAST(0 AS INTEGER) AS priority FROM planned WHERE plan IN ('generate', 'wait', 'queued') AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.target_node_id = planned.id AND j.job_type = 'preview_generation' AND j.state IN ('pending', 'leased'))", ARTIFACTS)
+def new_preview_jobs(cat):
+    return M.new_preview_jobs(_planned(cat), cat.jobs, C.at(NOW)).select("target_node_id", "job_type", "state", "priority")
+
+
 @registered("SELECT node_id, extractor_name, CASE WHEN extractor_name = 'tika' THEN 'adapter-v9' ELSE extractor_version END AS extractor_version FROM metadata_records")
 def upsert_metadata_records(cat):
     new = cat.metadata_records.where("extractor_name = 'tika'").withColumn("extractor_version", F.lit("adapter-v9"))
@@ -306,7 +328,7 @@ def jobs_for(cat):
     return rows_for(cat.jobs, cat.favorites.select(F.col("node_id").alias("target_node_id")), "target_node_id").select("id", "target_node_id", "state")
 
 
-@registered("SELECT id FROM nodes WHERE lifecycle_state = 'active' AND parent_id IS NOT NULL AND id NOT IN (SELECT node_id FROM favorites WHERE node_id LIKE '%1') AND id IN (SELECT node_id FROM favorites)")
+@registered("SELECT id FROM nodes WHERE lifecycle_state = 'active' AND parent_id IS NOT NULL AND id NOT IN (SELECT concat('o', o_orderkey) FROM orders WHERE o_orderstatus = 'F') AND id IN (SELECT node_id FROM favorites)")
 def remove_favorites(cat):
-    gone = cat.favorites.where("node_id LIKE '%1'").select(F.col("node_id").alias("id"))
+    gone = cat.sql("SELECT concat('o', o_orderkey) AS id FROM orders WHERE o_orderstatus = 'F'")
     return M.remove_favorites(cat.favorites, gone).select(F.col("node_id").alias("id"))

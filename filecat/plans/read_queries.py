@@ -84,9 +84,9 @@ def list_children(cat):
     return L.list_children(cat.nodes, cat.sql("SELECT id FROM nodes WHERE id LIKE 'n%'")).select("id", "parent_id", "name")
 
 
-@registered("SELECT id, name, lifecycle_state FROM nodes WHERE id IN (SELECT concat('c', o_custkey) FROM orders WHERE o_orderkey % 7 = 0)")
+@registered("SELECT id, name, lifecycle_state FROM nodes WHERE id IN (SELECT concat('c', o_custkey) FROM orders)")
 def nodes_by_id(cat):
-    return L.nodes_by_id(cat.nodes, cat.sql("SELECT concat('c', o_custkey) AS id FROM orders WHERE o_orderkey % 7 = 0")).select("id", "name", "lifecycle_state")
+    return L.nodes_by_id(cat.nodes, cat.sql("SELECT concat('c', o_custkey) AS id FROM orders")).select("id", "name", "lifecycle_state")
 
 
 @registered("SELECT c.id, CAST((c.c + 1) % 25 AS INTEGER) AS nation, EXISTS (SELECT 1 FROM nodes n WHERE n.lifecycle_state = 'active' AND n.parent_id = concat('n', (c.c + 1) % 25) AND n.name = c.name) AS name_taken FROM (SELECT concat('c', c_custkey) AS id, c_nationkey AS c, folder_name AS name FROM customer_nodes) c")
@@ -259,7 +259,7 @@ def one_active_per_key(cat):
 # --- scalar functions
 
 
-@registered("SELECT o_orderkey, media_kind, extractor, CASE WHEN mime IN ('image/x-nikon-nef', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document') THEN 'generated' WHEN mime LIKE 'image/%' OR mime LIKE 'video/%' OR mime LIKE 'audio/%' OR mime = 'application/pdf' THEN 'native' ELSE 'unsupported' END AS route FROM order_nodes")
+@registered("SELECT o_orderkey, media_kind, extractor, CASE WHEN mime = 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' THEN 'generated' WHEN mime LIKE 'image/%' OR mime LIKE 'video/%' OR mime LIKE 'audio/%' OR mime = 'application/pdf' THEN 'native' ELSE 'unsupported' END AS route FROM order_nodes")
 def scalar_media_kind(cat):
     return cat.order_nodes.select("o_orderkey", C.media_kind("mime").alias("media_kind"), C.extractor_for("mime").alias("extractor"), C.preview_route("mime").alias("route"))
 
@@ -287,11 +287,12 @@ def scalar_content_range(cat):
 
 
 @registered(
-    """SELECT id, CASE WHEN kind = 'folder' OR b IS NULL THEN '—' WHEN b < 1000 THEN concat(b, ' B') WHEN b < 1000000 THEN concat(CASE WHEN (b + 50) // 100 < 100 THEN concat((b + 50) // 100 // 10, '.', (b + 50) // 100 % 10) ELSE concat((b + 500) // 1000) END, ' KB')
-  ELSE concat(CASE WHEN (b + 50000) // 100000 < 100 THEN concat((b + 50000) // 1000000, '.', (b + 50000) // 100000 % 10) ELSE concat((b + 500000) // 1000000) END, ' MB') END AS shown FROM (SELECT n.id, n.kind, f.byte_size AS b FROM nodes n LEFT JOIN file_objects f ON f.node_id = n.id) x"""
+    """SELECT id, CASE WHEN kind = 'folder' OR b IS NULL THEN '—' WHEN b < 1000 THEN concat(b, ' B') WHEN b < 1000000 THEN concat(CASE WHEN b < 10000 THEN concat((b + 50) // 100 // 10, '.', (b + 50) // 100 % 10) ELSE concat((b + 500) // 1000) END, ' KB')
+  ELSE concat(CASE WHEN b < 10000000 THEN concat((b + 50000) // 1000000, '.', (b + 50000) // 100000 % 10) ELSE concat((b + 500000) // 1000000) END, ' MB') END AS shown FROM (SELECT n.id, n.kind, f.byte_size AS b FROM nodes n LEFT JOIN file_objects f ON f.node_id = n.id UNION ALL SELECT concat('small', o_orderkey), 'file', CAST(o_orderkey % 12000 AS BIGINT) FROM orders) x"""
 )
 def scalar_format_size(cat):
-    rows = cat.nodes.join(cat.file_objects.select(F.col("node_id").alias("id"), "byte_size"), "id", "left")
+    rows = cat.nodes.join(cat.file_objects.select(F.col("node_id").alias("id"), "byte_size"), "id", "left").select("id", "kind", "byte_size")
+    rows = rows.union(cat.sql("SELECT concat('small', o_orderkey), 'file', CAST(o_orderkey % 12000 AS BIGINT) FROM orders"))
     return rows.select("id", C.format_size("byte_size", "kind").alias("shown"))
 
 
@@ -345,7 +346,7 @@ def drop_nested_selection(cat):
     return T.drop_nested_selection(cat.nodes, cat.sql(SELECTED))
 
 
-MOVES = "SELECT concat('n', n_nationkey) AS id, concat('c', c_custkey) AS target_id FROM nation CROSS JOIN customer WHERE c_custkey % 11 = 0 UNION ALL SELECT concat('r', r_regionkey), concat('n', n_nationkey) FROM region CROSS JOIN nation UNION ALL SELECT concat('n', n_nationkey), concat('n', n_nationkey) FROM nation"
+MOVES = "SELECT concat('n', (c_nationkey + c_custkey % 3) % 25) AS id, concat('c', c_custkey) AS target_id FROM customer UNION ALL SELECT concat('r', n_regionkey), concat('n', n_nationkey) FROM nation UNION ALL SELECT concat('r', (n_regionkey + 1) % 5), concat('n', n_nationkey) FROM nation UNION ALL SELECT concat('n', n_nationkey), concat('n', n_nationkey) FROM nation"
 
 
 @registered("SELECT m.id, m.target_id, list_contains(p.ids, m.id) AS cycle FROM m JOIN paths p ON p.id = m.target_id", PATHS + f", m AS ({MOVES})")
@@ -368,3 +369,33 @@ def resolve_paths(cat):
 def storage_keys_for_deletion(cat):
     tree = T.trashed_subtree(cat.nodes, cat.sql("SELECT node_id AS id FROM trash_entries"))
     return L.storage_keys_for_deletion(tree, cat.file_objects, cat.derived_artifacts).withColumn("artifact_keys", F.array_join("artifact_keys", ","))
+
+
+PATHS = "CASE page_id % 6 WHEN 0 THEN concat('.hidden/', source_path) WHEN 1 THEN concat('a/../', source_path) WHEN 2 THEN concat('/', source_path) WHEN 3 THEN concat('x/.', source_path) WHEN 4 THEN '' ELSE source_path END"
+
+
+@registered(f"SELECT id, p LIKE '.%' OR p LIKE '%/.%' AS is_hidden, p <> '' AND p NOT LIKE '/%' AND concat('/', p, '/') NOT LIKE '%/../%' AS is_safe, array_to_string(string_split(p, '/')[1:-2], '/') AS dirs, string_split(p, '/')[-1] AS name FROM (SELECT id, {PATHS} AS p FROM import_entries) x")
+def scalar_paths(cat):
+    parts = F.col("s")
+    rows = cat.sql(f"SELECT id, {PATHS} AS p FROM import_entries").withColumn("s", C.split_dir_name("p"))
+    return rows.select("id", C.is_hidden("p").alias("is_hidden"), C.is_safe_relative("p").alias("is_safe"), F.array_join(parts["dirs"], "/").alias("dirs"), parts["name"].alias("name"))
+
+
+@registered(
+    """SELECT o_orderkey, CASE WHEN ms IS NULL THEN '—' ELSE concat((ms + 500) // 1000 // 60, ':', lpad(CAST((ms + 500) // 1000 % 60 AS VARCHAR), 2, '0')) END AS shown, ms // 10 AS seek_ms, CASE WHEN p >= 90 THEN 'error' WHEN p >= 80 THEN 'warning' ELSE 'none' END AS severity, replace(uuid, '-', '') AS storage_key, name <> '' AS is_valid,
+  CAST(CASE WHEN greatest(w, h) <= 256 THEN w ELSE greatest(1, (w * 512 + greatest(w, h)) // (greatest(w, h) * 2)) END AS INTEGER) AS width, CAST(CASE WHEN greatest(w, h) <= 256 THEN h ELSE greatest(1, (h * 512 + greatest(w, h)) // (greatest(w, h) * 2)) END AS INTEGER) AS height
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderkey * 137 % 9000000 AS BIGINT) END AS ms, o_orderkey % 101 AS p, concat(o_orderkey, '-aa-', o_custkey) AS uuid, CASE WHEN o_orderkey % 8 > 0 THEN o_orderstatus ELSE '' END AS name, CAST(o_orderkey % 700 + 1 AS BIGINT) AS w, CAST(o_orderkey % 900 + 1 AS BIGINT) AS h FROM orders) x"""
+)
+def scalar_display(cat):
+    rows = cat.sql("SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderkey * 137 % 9000000 AS BIGINT) END AS ms, o_orderkey % 101 AS p, concat(o_orderkey, '-aa-', o_custkey) AS uuid, CASE WHEN o_orderkey % 8 > 0 THEN o_orderstatus ELSE '' END AS name, CAST(o_orderkey % 700 + 1 AS BIGINT) AS w, CAST(o_orderkey % 900 + 1 AS BIGINT) AS h FROM orders")
+    box = C.fit_box("w", "h")
+    return rows.select("o_orderkey", C.format_duration("ms").alias("shown"), C.thumbnail_seek_ms("ms").alias("seek_ms"), C.storage_severity("p").alias("severity"), C.storage_key("uuid").alias("storage_key"), C.valid_name("name").alias("is_valid"), box["width"].alias("width"), box["height"].alias("height"))
+
+
+@registered("SELECT 'session' AS what, id FROM upload_sessions WHERE target_folder_id IN (SELECT parent_id FROM nodes n JOIN favorites f ON f.node_id = n.id) UNION ALL SELECT 'object', id FROM file_objects WHERE node_id IN (SELECT node_id FROM favorites) UNION ALL SELECT 'source', CAST(id AS VARCHAR) FROM import_sources WHERE id IN (SELECT source_id FROM import_entries WHERE state = 'failed')")
+def lookups_for(cat):
+    folders = cat.nodes.join(cat.favorites.select(F.col("node_id").alias("id")), "id", "left_semi").select(F.col("parent_id").alias("target_folder_id")).distinct()
+    failed = cat.import_entries.where("state = 'failed'").select(F.col("source_id").alias("id")).distinct()
+    found = (("session", L.rows_for(cat.upload_sessions, folders, "target_folder_id")), ("object", L.rows_for(cat.file_objects, cat.favorites, "node_id")), ("source", L.rows_for(cat.import_sources, failed, "id")))
+    own = [rows.select(F.lit(what).alias("what"), F.col("id").cast("string").alias("id")) for what, rows in found]
+    return own[0].union(own[1]).union(own[2])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filecat.plans.cuts import shared_dir
 from filecat.plans.derived import Catalog, duck_sql
 from filecat.streaming import streams as X
 
@@ -18,8 +18,7 @@ ORACLES: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def replayed(spark: SparkSession, log: DataFrame, stream: Callable[[DataFrame], DataFrame], files: int, mode: str = "update") -> DataFrame:

@@ -87,7 +87,7 @@ def test_scalar_functions(spark):
     one = spark.range(1)
     guard = one.select(*(C.projected_percent(F.lit(1000), F.lit(u), F.lit(i)) for u, i in ((850, 0), (850, 50), (910, 0)))).first()
     assert tuple(guard) == (85, 90, 91)
-    sizes = [(999, "999 B"), (1000, "1.0 KB"), (9949, "9.9 KB"), (9950, "10 KB"), (123456789, "123 MB"), (None, "—")]
+    sizes = [(999, "999 B"), (1000, "1.0 KB"), (9949, "9.9 KB"), (9950, "10.0 KB"), (9999, "10.0 KB"), (10_000, "10 KB"), (123456789, "123 MB"), (None, "—")]
     frame = spark.createDataFrame(sizes, "b long, want string")
     assert all(r["want"] == r["got"] for r in frame.select("want", C.format_size("b", F.lit("file")).alias("got")).collect())
     texts = one.select(C.format_duration(F.lit(59500)), C.safe_filename(F.lit('a"b\\c\r\n')), C.storage_key(F.lit("a-b")), C.is_hidden(F.lit("a/.b/c")), C.is_safe_relative(F.lit("a/../b")), C.fit_box(F.lit(1024), F.lit(512))).first()
@@ -107,7 +107,7 @@ def test_first_key_wins_even_if_null(spark):
     raw = '[{"ImageWidth":null,"ExifImageWidth":5,"ImageHeight":"7","GPSLatitude":1.5,"Orientation":9,"Make":" "}]'
     row = N.normalize_exif(spark.createDataFrame([("n", raw)], "node_id string, raw string").select("node_id", F.try_parse_json("raw").alias("payload"))).first()
     assert (row["width"], row["height"], row["camera_make"], row["gps_latitude"]) == (None, 7, None, None)
-    assert row["warnings"] == ["image dimensions are missing", "only one GPS coordinate", "orientation is out of range"]
+    assert row["warnings"] == ["image dimensions are missing", "only one GPS coordinate is present", "orientation is outside the EXIF range 1 through 8"]
     bad = N.parsed_records(spark.createDataFrame([("n", "x", "{")], "node_id string, extractor_name string, raw string")).first()
     assert bad["status"] == "failed"
 
