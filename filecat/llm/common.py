@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filecat.plans.cuts import shared_dir
+
 #: Texts are handled in slices of about this many bytes, so temporary arrays stay small.
 SLICE_BYTES = 4 << 20
 
@@ -34,15 +36,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder the cluster names in spark.checkpoint.dir; sets one only where none is named."""
+    """Keeps the folder the cluster names in spark.checkpoint.dir; sets one only where none is named, in local mode."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
