@@ -14,7 +14,7 @@ as it has texts and bands.
 Blocks and radius miss some pairs, so a last pass misses none: a pair with the share in common has in
 common some of the shingles that come first in each set, in an order of all shingles. Rare ones come
 first; they are told by counts of a fixed number of buckets, which steer the work and not the result.
-Texts of unlike components that meet in as many of these as their sizes ask for are decided by their
+Texts of unlike components that meet in one of these where their sizes allow it are decided by their
 sets, whatever their prints.
 """
 
@@ -281,12 +281,16 @@ def leading(own: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
 
 
 def missed_pairs(texts: DataFrame, nodes: DataFrame, tied: DataFrame, shingle: int, share: float) -> DataFrame:
-    """a < b: all pairs of texts of unlike components that may be similar, by number of shingles and of leading ones in common.
+    """a < b: all pairs of texts of unlike components that may be similar, by number of shingles and by where their leading ones meet.
 
-    Sets of n and m shingles that have the share in common have share / (1 + share) * (n + m) of them at
-    least in common. Of these, at most the shingles behind the leading ones of one of the two are not
-    leading in both: so many fewer leading ones in common at least."""
+    Sets of n and m shingles that have the share in common have o = share / (1 + share) * (n + m) of them
+    in common at least. So the first that they share has o - 1 more behind it in both: it is among the
+    first n - o + 1 of one and the first m - o + 1 of the other. In the smaller set that is less than the
+    leading ones, since o is least if both are equally large: only those first are looked up.
+    The meetings there and what lies behind the last of them must then suffice for o.
+    """
     counts = bucket_counts(texts, shingle)
+    part = share / (1 + share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -295,16 +299,23 @@ def missed_pairs(texts: DataFrame, nodes: DataFrame, tied: DataFrame, shingle: i
 
     first = texts.select("cid", "text").mapInArrow(run, "cid string, leading array<long>").groupBy("cid").agg(F.first("leading").alias("leading"))
     comps = nodes.select("cid", "n").join(tied, "cid", "left").select("cid", "n", F.xxhash64("cid").alias("node"), F.xxhash64(F.coalesce("root", "cid")).alias("comp"))
-    rows = first.join(comps, "cid").select("node", "comp", F.explode("leading").alias("key"))
-    here = Window.partitionBy("key")
-    open_ = rows.withColumns({"low": F.min("comp").over(here), "high": F.max("comp").over(here)}).where("low <> high").select("node", "key")
-    met = checkpointed(open_.join(comps, "node").select("cid", "n", "comp", "key"))  # nodes with one hash only meet more often
-    left, right = met.toDF("a", "n_a", "comp_a", "key"), met.toDF("b", "n_b", "comp_b", "key")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9))
-    both = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
-    least = F.lit(share / (1 + share)) * (F.col("n_a") + F.col("n_b"))
-    behind = F.ceil(share * F.greatest("n_a", "n_b") - 1e-9) - 1
-    return checkpointed(both.where(F.col("common") >= least - behind - 1e-6).select("a", "b"))
+    rows = first.join(comps, "cid").select("node", "comp", "n", F.posexplode("leading").alias("at", "key"))
+    sought = F.col("at") <= F.col("n") - F.ceil(2 * part * F.col("n") - 1e-6)  # as the smaller set of a pair
+    here, own = Window.partitionBy("key"), F.when(sought, F.col("comp"))
+    bounds = {"low": F.min("comp").over(here), "high": F.max("comp").over(here), "own_low": F.min(own).over(here), "own_high": F.max(own).over(here)}
+    meets = F.when(sought, F.col("low") != F.col("high")).otherwise((F.col("own_low") != F.col("comp")) | (F.col("own_high") != F.col("comp")))
+    met = checkpointed(rows.withColumns(bounds).where(meets).select("node", "comp", "n", "at", "key"))
+    left, right = met.where(sought).toDF("a", "comp_a", "n_a", "at_a", "key"), met.toDF("b", "comp_b", "n_b", "at_b", "key")
+    least = F.ceil(part * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))
+    alike = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") >= share * F.col("n_b") - 1e-6)
+    pairs = left.join(right, "key").where(smaller & alike & (F.col("at_a") <= F.col("n_a") - least) & (F.col("at_b") <= F.col("n_b") - least))
+    both = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    left_over = checkpointed(both.where(F.col("common") + behind >= least).select("a", "b"))
+    names = comps.select("cid", "node")  # texts whose cids have one hash are all asked for
+    named = left_over.join(names.toDF("x", "a"), "a").join(names.toDF("y", "b"), "b")
+    return checkpointed(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def grouped_rows(docs: DataFrame, shingle: int, share: float) -> DataFrame:
