@@ -342,9 +342,12 @@ def grouped_rows(docs: DataFrame, shingle: int, share: float) -> DataFrame:
     tried = checkpointed(nearest_pairs(parts, share))
     links = checkpointed(similar(tried, texts, nodes, shingle, share))
     tied = components(links).withColumnRenamed("node", "cid")
-    missed = missed_pairs(texts, nodes, tied, shingle, share)
-    tied = components(checkpointed(links.union(similar(missed, texts, nodes, shingle, share)))).withColumnRenamed("node", "cid")
-    return rows.select("doc_id", "cid").join(tied, "cid", "left").select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
+    more = similar(missed_pairs(texts, nodes, tied, shingle, share), texts, nodes, shingle, share)
+    # later links tie groups to one another
+    ends = more.join(tied.toDF("a", "from"), "a", "left").join(tied.toDF("b", "to"), "b", "left")
+    groups = components(checkpointed(ends.select(F.coalesce("from", "a").alias("a"), F.coalesce("to", "b").alias("b")))).toDF("first_root", "last_root")
+    of = rows.select("doc_id", "cid").join(tied, "cid", "left").withColumn("first_root", F.coalesce("root", "cid"))
+    return of.join(groups, "first_root", "left").select("doc_id", "cid", F.coalesce("last_root", "first_root").alias("root"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
