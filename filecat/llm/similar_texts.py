@@ -42,6 +42,8 @@ FEW = 1 << 18
 SLICE = 2 << 20
 #: Buckets of shingles whose counts tell which are rare.
 BUCKETS = 1 << 16
+#: Cells whose counts bound what two sets have in common.
+CELLS = 256
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LANES = np.uint64(0x0101010101010101)
 #: One for each word of a fingerprint, and an odd one for each minimum.
@@ -235,22 +237,30 @@ def nearest_pairs(parts: DataFrame, share: float) -> DataFrame:
 
 
 def sets_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """cid, items (sorted hashes of the distinct shingles) of the texts asked for."""
+    """cid, items (sorted hashes of the distinct shingles), cells (how many of them are in each cell) of the texts asked for."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             found = [np.sort(s.view(np.int64)) for s in shingle_sets(texts_of(batch), shingle)]
-            yield set_out({"cid": (batch.column("cid"), pa.string()), "items": (found, pa.list_(pa.int64()))})
+            cells = [np.bincount(s % CELLS, minlength=CELLS).astype(np.int32) for s in found]
+            yield set_out({"cid": (batch.column("cid"), pa.string()), "items": (found, pa.list_(pa.int64())), "cells": (cells, pa.list_(pa.int32()))})
 
     asked = asked.join(nodes.select("cid", F.col("first_key").alias("doc_key")), "cid")
     few = asked.count() <= FEW  # then the texts themselves need no shuffle
     one = texts.join(F.broadcast(asked) if few else asked, ["cid", "doc_key"]).dropDuplicates(["cid", "doc_key"])
-    return checkpointed(one.select("cid", "text").mapInArrow(sets, "cid string, items array<long>"))
+    return checkpointed(one.select("cid", "text").mapInArrow(sets, "cid string, items array<long>, cells array<int>"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, share: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least share."""
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least share.
+
+    Two sets have no more in common than the lesser counts of their cells add up to: sets are sent only
+    to pairs for which that suffices."""
     items = sets_of(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), texts, nodes, shingle)
+    counted = pairs.join(items.select(F.col("cid").alias("a"), F.col("cells").alias("p"), F.size("items").alias("n_p")), "a")
+    counted = counted.join(items.select(F.col("cid").alias("b"), F.col("cells").alias("q"), F.size("items").alias("n_q")), "b")
+    most = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)
+    pairs = checkpointed(counted.where((1 + share) * most >= share * (F.col("n_p") + F.col("n_q")) - 1e-6).select("a", "b"))
     left, right = items.select(F.col("cid").alias("a"), F.col("items").alias("x")), items.select(F.col("cid").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("common") >= share * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
