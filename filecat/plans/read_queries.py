@@ -371,13 +371,13 @@ def storage_keys_for_deletion(cat):
     return L.storage_keys_for_deletion(tree, cat.file_objects, cat.derived_artifacts).withColumn("artifact_keys", F.array_join("artifact_keys", ","))
 
 
-PATHS = "CASE page_id % 6 WHEN 0 THEN concat('.hidden/', source_path) WHEN 1 THEN concat('a/../', source_path) WHEN 2 THEN concat('/', source_path) WHEN 3 THEN concat('x/.', source_path) WHEN 4 THEN '' ELSE source_path END"
+ODD_PATHS = "CASE page_id % 6 WHEN 0 THEN concat('.hidden/', source_path) WHEN 1 THEN concat('a/../', source_path) WHEN 2 THEN concat('/', source_path) WHEN 3 THEN concat('x/.', source_path) WHEN 4 THEN '' ELSE source_path END"
 
 
-@registered(f"SELECT id, p LIKE '.%' OR p LIKE '%/.%' AS is_hidden, p <> '' AND p NOT LIKE '/%' AND concat('/', p, '/') NOT LIKE '%/../%' AS is_safe, array_to_string(string_split(p, '/')[1:-2], '/') AS dirs, string_split(p, '/')[-1] AS name FROM (SELECT id, {PATHS} AS p FROM import_entries) x")
+@registered(f"SELECT id, p LIKE '.%' OR p LIKE '%/.%' AS is_hidden, p <> '' AND p NOT LIKE '/%' AND concat('/', p, '/') NOT LIKE '%/../%' AS is_safe, array_to_string(string_split(p, '/')[1:-2], '/') AS dirs, string_split(p, '/')[-1] AS name FROM (SELECT id, {ODD_PATHS} AS p FROM import_entries) x")
 def scalar_paths(cat):
     parts = F.col("s")
-    rows = cat.sql(f"SELECT id, {PATHS} AS p FROM import_entries").withColumn("s", C.split_dir_name("p"))
+    rows = cat.sql(f"SELECT id, {ODD_PATHS} AS p FROM import_entries").withColumn("s", C.split_dir_name("p"))
     return rows.select("id", C.is_hidden("p").alias("is_hidden"), C.is_safe_relative("p").alias("is_safe"), F.array_join(parts["dirs"], "/").alias("dirs"), parts["name"].alias("name"))
 
 
