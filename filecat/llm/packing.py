@@ -70,26 +70,44 @@ class Configurations:
         return out
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row operations alone.
+
+    LAPACK and BLAS keep threads of their own; in a process that has started a JVM by forking these may wait for
+    each other without end, so the driver calls neither. The basis has at most as many rows as there are groups."""
+    n = len(basis)
+    rows = np.concatenate([basis.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        top = k + int(np.abs(rows[k:, k]).argmax())
+        if top != k:
+            rows[[k, top]] = rows[[top, k]]
+        rows[k] /= rows[k, k]
+        by = rows[:, k].copy()
+        by[k] = 0
+        rows -= np.multiply.outer(by, rows[k])
+    return rows[:, n:]
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 300) -> list[tuple[int, np.ndarray]]:
     """(times, how many of each size): the linear programme's solution by column generation, rounded down."""
     basis, inverse = np.diag((room // sizes).astype(float)), np.diag(1 / (room // sizes))
     search = Configurations(sizes, room)
     for k in range(rounds):
         if k % 100 == 99:
-            inverse = np.linalg.inv(basis)  # against rounding errors
-        amount, worth = inverse @ demand, inverse.sum(axis=0)
+            inverse = inverted(basis)  # against rounding errors
+        amount, worth = (inverse * demand).sum(axis=1), inverse.sum(axis=0)
         new = search.best(np.maximum(worth, 0))
-        if worth @ new <= 1 + 1e-7:
+        if (worth * new).sum() <= 1 + 1e-7:
             break
-        step = inverse @ new
+        step = (inverse * new).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, np.maximum(amount, 0) / step, np.inf)
         out = int(ratio.argmin())
         basis[:, out] = new
         inverse[out] /= step[out]
         step[out] = 0
-        inverse -= np.outer(step, inverse[out])
-    amount = np.linalg.solve(basis, demand)
+        inverse -= np.multiply.outer(step, inverse[out])
+    amount = (inverted(basis) * demand).sum(axis=1)
     return [(n, basis[:, k]) for k in range(len(sizes)) if (n := int(amount[k] + 1e-9)) > 0]
 
 

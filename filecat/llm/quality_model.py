@@ -69,6 +69,11 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix product without BLAS, whose threads may hang in a driver that has started a JVM."""
+    return np.einsum("ij,jk->ik" if b.ndim == 2 else "ij,j->i", a, b)
+
+
 class Model:
     """h = tanh(x W + b); attention ~ exp(v · (tanh(h V) * sigmoid(h U))); score = sigmoid(c · Σ attention h + d)."""
 
@@ -81,14 +86,14 @@ class Model:
     def forward(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict]:
         p = self.p
         x = (x - self.mean) / self.scale
-        h = np.tanh(x @ p["W"] + p["b"])
-        t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        raw = (t * g) @ p["v"]
+        h = np.tanh(product(x, p["W"]) + p["b"])
+        t, g = np.tanh(product(h, p["V"])), 1 / (1 + np.exp(-product(h, p["U"])))
+        raw = product(t * g, p["v"])
         e = np.exp(np.clip(raw, -30, 30))
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         a = e / np.add.reduceat(e, bounds[:-1])[owner]
         z = np.add.reduceat(a[:, None] * h, bounds[:-1], axis=0)
-        score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(product(z, p["c"]) + p["d"], -30, 30)))
         return score, {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "owner": owner}
 
     def gradient(self, bounds: np.ndarray, delta: np.ndarray, s: dict) -> dict[str, np.ndarray]:
@@ -99,9 +104,9 @@ class Model:
         draw = s["a"] * (da - np.add.reduceat(s["a"] * da, bounds[:-1])[o])
         dtg = draw[:, None] * p["v"]
         dt, dg = dtg * s["g"] * (1 - s["t"] ** 2), dtg * s["t"] * s["g"] * (1 - s["g"])
-        dh = s["a"][:, None] * dz[o] + dt @ p["V"].T + dg @ p["U"].T
+        dh = s["a"][:, None] * dz[o] + product(dt, p["V"].T) + product(dg, p["U"].T)
         dx = dh * (1 - s["h"] ** 2)
-        return {"W": s["x"].T @ dx, "b": dx.sum(0), "V": s["h"].T @ dt, "U": s["h"].T @ dg, "v": (s["t"] * s["g"]).T @ draw, "c": s["z"].T @ delta, "d": delta.sum(keepdims=True)}
+        return {"W": product(s["x"].T, dx), "b": dx.sum(0), "V": product(s["h"].T, dt), "U": product(s["h"].T, dg), "v": product((s["t"] * s["g"]).T, draw), "c": product(s["z"].T, delta), "d": delta.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, bounds: np.ndarray, label: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
         """Both labels weigh alike in all."""

@@ -145,7 +145,9 @@ def test_packing(odd, none):
     assert pack(none, WORDS).count() == 0
 
 
-def test_plan_is_near_the_bound():
+def test_plan_is_near_the_bound(spark):
+    """Planned beside a live session: a driver must not wait for threads of a linear algebra library."""
+    spark.range(1).count()
     rng = np.random.default_rng(0)
     for low, high in ((1, 2048), (500, 1200), (900, 1000), (1, 50)):
         histogram = Counter(rng.integers(low, high, 5000).tolist())
