@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filecat.llm.bpe_codec import bpe_round_trip
 from filecat.llm.common import ship, table
+from filecat.llm.line_dedup import dedupe_lines
+from filecat.llm.manifest import manifest, without_line_ends
 from filecat.llm.oracles import ORACLES
 from filecat.llm.packing import pack
 from filecat.llm.private_data import private_spans
@@ -18,6 +20,7 @@ from filecat.llm.sharding import shards
 from filecat.llm.simhash import near_duplicates
 from filecat.llm.substring_dedup import remove_duplicates
 from filecat.llm.token_count import token_counts
+from filecat.llm.turn_repair import damaged, repair
 from filecat.llm.vector_search import nearest
 
 
@@ -61,6 +64,19 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), conversations)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_lines(table(spark, sf_dir, "documents"), least=20, documents=3).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), fanout=3, height=6, tampered=without_line_ends())
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
