@@ -30,7 +30,7 @@ def _string(v: Column) -> Column:
 
 def _text(v: Column) -> Column:
     """Text that is not blank, or a number as text."""
-    return F.when(F.trim(_string(v)) != "", _string(v))
+    return F.when(_string(v).rlike(r"(?U)\S"), _string(v))  # white space of all of Unicode
 
 
 def _long(v: Column) -> Column:
@@ -54,7 +54,7 @@ def _is_object(v: Column) -> Column:
 
 def _double(v: Column) -> Column:
     text = F.try_variant_get(v, "$", "string")
-    return F.when(_kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$", "double")).when((_kind(v) == "STRING") & text.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    return F.when(_kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$", "double")).when((_kind(v) == "STRING") & text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
 
 
 def _warnings(*tests: tuple[Column, str]) -> Column:

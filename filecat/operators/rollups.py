@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filecat.operators.scans import max_before
+
 ACTIVE = ("pending", "leased")
 #: Job types in the order in which they are served, whatever their priority.
 PRECEDENCE = ["permanent_deletion", "trash_cleanup", "metadata_extraction", "preview_generation"]
@@ -47,14 +49,22 @@ def batch_duplicate_names(moves: DataFrame) -> DataFrame:
     return moves.withColumn("_n", F.count("*").over(Window.partitionBy("target_id", "name"))).where("_n > 1").drop("_n")
 
 
-def scan_summary(outcomes: DataFrame) -> DataFrame:
-    """One row of counts; entries that are unchanged but unstable are in none of them."""
-    return outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("discovered", "imported", "failed", "skipped")))
+def scan_summary(outcomes: DataFrame, report: DataFrame | None = None) -> DataFrame:
+    """One row of counts; entries that are unchanged but unstable are in none of them. With the inventory's report also what it skipped."""
+    counts = outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("discovered", "imported", "failed", "skipped")))
+    if report is None:
+        return counts
+    return counts.crossJoin(report.select(F.col("hidden_entries_skipped").alias("skipped_hidden"), F.col("special_entries_skipped").alias("skipped_special")))  # two rows
 
 
 def recovery_summary(results: DataFrame) -> DataFrame:
-    failed = F.when(F.col("outcome") != "ok", F.struct("id", "message"))
-    return results.agg(F.count("*").alias("attempted"), F.count_if(F.col("outcome") == "ok").alias("completed"), F.array_sort(F.collect_list(failed)).alias("failures"))
+    """One row: attempted, completed and failed entries."""
+    return results.agg(F.count("*").alias("attempted"), F.count_if(F.col("outcome") == "ok").alias("completed"), F.count_if(F.col("outcome") != "ok").alias("failed"))
+
+
+def recovery_failures(results: DataFrame) -> DataFrame:
+    """id, message of each entry that could not be recovered."""
+    return results.where(F.col("outcome") != "ok").select("id", "message")
 
 
 def next_jobs(jobs: DataFrame, per_type: int = 1) -> DataFrame:
@@ -121,9 +131,14 @@ def overlapping_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def range_overlaps(chunks: DataFrame, reqs: DataFrame) -> DataFrame:
-    """request_id, overlaps of reqs (request_id, session_id, start, end): whether the session has a byte of the range."""
-    there = chunks.select("session_id", "start_byte", "end_byte")
-    hit = reqs.join(there, "session_id").where("start_byte <= end AND end_byte >= start").select("request_id", F.lit(True).alias("overlaps")).distinct()
+    """request_id, overlaps of reqs (request_id, session_id, start, end): whether the session has a byte of the range.
+
+    It has one exactly if, of the chunks that begin at or before the range's end, the furthest end reaches its
+    start: a running maximum over chunks and requests in one order, dealt out by ranges of it. Chunks with a null end are none."""
+    there = chunks.where("session_id IS NOT NULL AND start_byte IS NOT NULL").select("session_id", F.col("start_byte").alias("_at"), F.lit(0).alias("_kind"), F.col("end_byte").alias("_end"), F.lit(None).cast(reqs.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast("long").alias("start"))
+    asked = reqs.where("session_id IS NOT NULL").select("session_id", F.col("end").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), "request_id", F.col("start").cast("long").alias("start"))
+    seen = max_before(there.unionByName(asked), ["session_id"], ["_at", "_kind"], "_end", "_reach").where("_kind = 1")
+    hit = seen.where(F.col("_reach") >= F.col("start")).select("request_id", F.lit(True).alias("overlaps")).distinct()
     return reqs.join(hit, "request_id", "left").select("request_id", F.coalesce("overlaps", F.lit(False)).alias("overlaps"))
 
 

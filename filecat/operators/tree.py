@@ -30,7 +30,7 @@ def _walk(first: DataFrame, step, max_depth: int) -> DataFrame:
 def descend(nodes: DataFrame, starts: DataFrame, state: str | None = "active", max_depth: int = MAX_DEPTH) -> DataFrame:
     """root_id, id, depth of the starts (column id) and all below them, by nodes of that state alone."""
     own = nodes if state is None else nodes.where(F.col("lifecycle_state") == state)
-    own = own.select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
+    own = cut(own.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")))  # each level reads it
     first = starts.select("id").distinct().join(own.select(F.col("child").alias("id")), "id", "left_semi").select(F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"))
     return _walk(first, lambda level: level.join(own, level["id"] == own["parent"]).select("root_id", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")), max_depth)
 
@@ -50,14 +50,14 @@ def trashed_subtree(nodes: DataFrame, starts: DataFrame) -> DataFrame:
 
 def ancestor_pairs(nodes: DataFrame, ids: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """node_id, ancestor_id, distance, of any state."""
-    up = nodes.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
+    up = cut(nodes.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("parent")))
     first = ids.select("id").distinct().join(up, F.col("id") == up["child"]).select(F.col("id").alias("node_id"), F.col("parent").alias("ancestor_id"), F.lit(1).alias("distance"))
     return _walk(first, lambda level: level.join(up, level["ancestor_id"] == up["child"]).select("node_id", F.col("parent").alias("ancestor_id"), (F.col("distance") + 1).alias("distance")), max_depth)
 
 
 def ancestors(nodes: DataFrame, ids: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """node_id, ancestor_id, distance: the chain from each id (itself at 0) up through active folders; it ends where one is not."""
-    folders = nodes.where("kind = 'folder' AND lifecycle_state = 'active'").select(F.col("id").alias("at"), F.col("parent_id").alias("above"))
+    folders = cut(nodes.where("kind = 'folder' AND lifecycle_state = 'active'").select(F.col("id").alias("at"), F.col("parent_id").alias("above")))
     first = ids.select("id").distinct().join(folders, F.col("id") == folders["at"]).select(F.col("id").alias("node_id"), F.col("at").alias("ancestor_id"), F.lit(0).alias("distance"), "above")
     step = lambda level: level.drop("ancestor_id").join(folders.withColumnRenamed("above", "next"), F.col("above") == F.col("at")).select("node_id", F.col("at").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"), F.col("next").alias("above"))
     return _walk(first, step, max_depth).select("node_id", "ancestor_id", "distance")
@@ -65,6 +65,7 @@ def ancestors(nodes: DataFrame, ids: DataFrame, max_depth: int = MAX_DEPTH) -> D
 
 def with_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """id, path_ids, path_names, path_states, depth of every node that the root leads to; names and states without the root's."""
+    nodes = cut(nodes.select("id", "parent_id", "name", "lifecycle_state"))
     own = nodes.select(F.col("id").alias("child"), "parent_id", "name", "lifecycle_state")
     none = F.array().cast("array<string>")
     first = nodes.where("parent_id is null").select("id", F.array("id").alias("path_ids"), none.alias("path_names"), none.alias("path_states"), F.lit(0).alias("depth"))

@@ -120,10 +120,13 @@ def node_metadata(cat):
     return N.node_metadata(cat.file_objects, exif(cat), probe(cat), tika(cat)).select("node_id", "detected_mime", "media_kind", "width", "orientation", "has_gps", "document_title", "page_count")
 
 
-@registered("SELECT node_id, CASE WHEN mime_type = 'application/octet-stream' THEN 'generic' ELSE 'mime' END AS extractor_name, CASE WHEN mime_type = 'application/octet-stream' THEN 'adapter-v1' ELSE 'libmagic-v1' END AS extractor_version, CASE WHEN mime_type = 'application/octet-stream' THEN 'unsupported' ELSE 'completed' END AS status, concat('{\"mime\":\"', mime_type, '\",\"size\":', byte_size, ',\"checksum\":\"', sha256(storage_key), '\"}') AS raw_payload, CASE WHEN mime_type = 'application/octet-stream' THEN 'no specialized extractor supports this MIME type' ELSE '' END AS warnings FROM file_objects WHERE node_id IS NOT NULL")
+_IDENTITY = "concat('{\"mime\":\"', mime_type, '\",\"size\":', byte_size, ',\"checksum\":\"', sha256(storage_key), '\"}') AS raw_payload"
+
+
+@registered(f"SELECT node_id, 'mime' AS extractor_name, 'libmagic-v1' AS extractor_version, 'completed' AS status, {_IDENTITY}, '' AS warnings FROM file_objects WHERE node_id IS NOT NULL UNION ALL SELECT node_id, 'generic', 'adapter-v1', 'unsupported', {_IDENTITY}, 'no specialized extractor supports this MIME type' FROM file_objects WHERE node_id IS NOT NULL AND mime_type = 'application/octet-stream'")
 def identity_records(cat):
     files = cat.file_objects.where("node_id IS NOT NULL").withColumn("checksum_sha256", F.sha2("storage_key", 256))
-    known = N.identity_record(files.where(C.extractor_for("mime_type") != "generic"))
+    known = N.identity_record(files)
     return known.unionByName(N.generic_record(files)).withColumn("warnings", F.array_join("warnings", "; "))
 
 

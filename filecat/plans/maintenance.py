@@ -6,13 +6,19 @@ want the same name or key, the one with the smaller request id wins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filecat.functions.columns import has_artifacts, is_safe_relative, projected_percent
+from filecat.functions.intervals import Ranges
 from filecat.operators import rollups as R
 from filecat.operators import tree as T
 from filecat.operators.listing import destination_conflicts, restore_parent
+from filecat.plans.cuts import cut
+
 
 def days(ts: Column, n: int) -> Column:
     return ts + F.make_interval(days=F.lit(n))
@@ -65,6 +71,7 @@ def update_folders(nodes: DataFrame, reqs: DataFrame, now: Column) -> tuple[Data
 
 def move_conflicts(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     """batch, id, conflict of the moves (batch, id, target_id) that can't be made: not_found, cycle or name_conflict, one for each id."""
+    nodes = cut(nodes.select("id", "parent_id", "name", "kind", "lifecycle_state"))  # read once, for a check and a walk
     own = nodes.where("kind = 'folder' AND lifecycle_state = 'active'").select("id", "name")
     rows = moves.join(own, "id", "left").join(_folders(nodes, "target_id"), "target_id", "left").join(T.cycle_check(nodes, moves.select("id", "target_id").distinct()), ["id", "target_id"], "left")
     duplicate = R.batch_duplicate_names(rows).select("batch", "id", F.lit(True).alias("twice")).distinct()
@@ -90,12 +97,13 @@ def trash_nodes(nodes: DataFrame, entries: DataFrame, favorites: DataFrame, reqs
 
     A batch that names the root or anything that isn't active does nothing. Entries are for the topmost ids alone."""
     reqs = reqs.select("batch", "id").distinct()
-    active = nodes.where("lifecycle_state = 'active'").select("id", F.lit(True).alias("there"))
+    narrow = cut(nodes.select("id", "parent_id", "lifecycle_state"))  # read once, for two walks
+    active = narrow.where("lifecycle_state = 'active'").select("id", F.lit(True).alias("there"))
     state = reqs.join(active, "id", "left").groupBy("batch").agg(F.max(F.col("id") == root).alias("root"), F.count_if(F.col("there").isNull()).alias("missing"))
     results = state.select("batch", F.when(F.col("root"), "root_refused").when(F.col("missing") > 0, "not_found").otherwise("ok").alias("outcome"))
     wanted = reqs.join(results.where("outcome = 'ok'"), "batch").select("id").distinct()
-    top = T.drop_nested_selection(nodes, wanted)
-    gone = T.active_subtree(nodes, top)
+    top = cut(T.drop_nested_selection(narrow, wanted))
+    gone = T.active_subtree(narrow, top)
     mark = gone.select("id", F.lit(True).alias("_gone"))
     out = nodes.join(mark, "id", "left").withColumns({"lifecycle_state": F.when(F.col("_gone"), "trashed").otherwise(F.col("lifecycle_state")), "updated_at": F.when(F.col("_gone"), now).otherwise(F.col("updated_at"))}).select(nodes.columns)
     new = nodes.join(top, "id", "left_semi").select(_new_id(F.lit("trash"), "id").alias("id"), F.col("id").alias("node_id"), F.col("parent_id").alias("original_parent_id"), now.alias("trashed_at"), days(now, 30).alias("scheduled_purge_at"))
@@ -208,17 +216,29 @@ def admit_uploads(nodes: DataFrame, sessions: DataFrame, reqs: DataFrame, total:
     return rows.select("request_id", outcome.alias("outcome"), F.when(outcome == "ok", days(now, 1)).alias("expires_at"))
 
 
+def _first_come(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by session and arrival those whose range is still free. Only the current session's merged ranges are held."""
+    session, taken = None, Ranges()
+    for batch in batches:
+        keep = []
+        for own, start, end in zip(*(batch.column(c).to_pylist() for c in ("session_id", "start_byte", "end_byte"))):
+            if own != session:
+                session, taken = own, Ranges()
+            keep.append(taken.add(start, end))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def apply_chunks(sessions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T-16. Accepted chunks of active sessions, first come first kept; and id, received of every session.
 
-    Sessions without an overlap need no order; only the others fold their chunks in order of arrival."""
+    Sessions without an overlap need no order; the others pass their chunks in order of arrival by a set of
+    sorted ranges: a binary search for each chunk, and no session is a cell of a table."""
     live = chunks.join(sessions.where("state = 'active'").select(F.col("id").alias("session_id")), "session_id", "left_semi")
     mixed = R.overlapping_chunks(live).select("session_id").distinct()
     plain = live.join(mixed, "session_id", "left_anti").select("session_id", "id", "start_byte", "end_byte")
-    arrival = F.array_sort(F.collect_list(F.struct("created_at", "id", "start_byte", "end_byte")))
-    none = F.array().cast("array<struct<id:string,start_byte:bigint,end_byte:bigint>>")
-    keep = lambda acc, c: F.when(F.exists(acc, lambda a: (a["start_byte"] <= c["end_byte"]) & (a["end_byte"] >= c["start_byte"])), acc).otherwise(F.array_append(acc, F.struct(c["id"].alias("id"), c["start_byte"].alias("start_byte"), c["end_byte"].alias("end_byte"))))
-    folded = live.join(mixed, "session_id", "left_semi").groupBy("session_id").agg(F.aggregate(arrival, none, keep).alias("kept")).select("session_id", F.inline("kept"))
+    arrived = live.join(mixed, "session_id", "left_semi").select("session_id", "id", "start_byte", "end_byte", "created_at")
+    sorted_ = arrived.repartition("session_id").sortWithinPartitions("session_id", "created_at", "id", "start_byte", "end_byte").drop("created_at")
+    folded = sorted_.mapInArrow(_first_come, "session_id string, id string, start_byte long, end_byte long")
     accepted = plain.unionByName(folded)
     sums = accepted.groupBy(F.col("session_id").alias("id")).agg(F.sum(F.col("end_byte") - F.col("start_byte") + 1).alias("received"))
     return accepted, sessions.select("id").join(sums, "id", "left").withColumn("received", F.coalesce("received", F.lit(0).cast("long")))
@@ -293,10 +313,11 @@ def finalize_imports(nodes: DataFrame, entries: DataFrame, destination: str, now
     return made, done.select("id", "outcome", "node_id").unionByName(rest)
 
 
-def recover_interrupted(nodes: DataFrame, entries: DataFrame, destination: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """T-25. T-24 over entries that were being imported; new nodes, outcomes and a row of the summary."""
+def recover_interrupted(nodes: DataFrame, entries: DataFrame, destination: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """T-25. T-24 over entries that were being imported; new nodes, outcomes, a row of the summary, and the failures (id, message)."""
     made, done = finalize_imports(nodes, entries.where("state = 'importing'"), destination, now)
-    return made, done, R.recovery_summary(done.withColumn("message", F.col("outcome")))
+    results = done.withColumn("message", F.col("outcome"))
+    return made, done, R.recovery_summary(results), R.recovery_failures(results)
 
 
 def plan_artifacts(files: DataFrame, artifacts: DataFrame, jobs: DataFrame) -> DataFrame:

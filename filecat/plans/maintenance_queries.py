@@ -295,7 +295,7 @@ FILES = "SELECT concat('e', o_orderkey) AS id, concat('in/', o_orderkey % 40, '/
 @registered("SELECT count(*) AS attempted, count(*) FILTER (WHERE nth = 1) AS completed, count(*) FILTER (WHERE nth > 1) AS failures FROM (SELECT row_number() OVER (PARTITION BY source_path ORDER BY id) AS nth FROM e WHERE state = 'importing') x", f"e AS ({FILES})")
 def recover_interrupted(cat):
     summary = M.recover_interrupted(cat.nodes, cat.sql(FILES), "root", C.at(NOW))[2]
-    return summary.select("attempted", "completed", F.size("failures").cast("long").alias("failures"))
+    return summary.select("attempted", "completed", F.col("failed").alias("failures"))
 
 
 @registered("SELECT DISTINCT source_path FROM import_entries WHERE page_id % 3 <> 0 EXCEPT SELECT source_path FROM import_entries WHERE state = 'imported'")

@@ -11,6 +11,7 @@ from filecat.functions import columns as C
 from filecat.operators import listing as L
 from filecat.operators import rollups as R
 from filecat.operators import tree as T
+from filecat.operators.scans import places
 from filecat.plans.derived import NOW, NOW_EVENTS, Catalog, duck_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,10 +126,10 @@ def downloadable_files(cat):
     return L.downloadable_files(cat.nodes, cat.file_objects).select("id", "name", "byte_size", "storage_key")
 
 
-@registered("SELECT t.node_id, n.name, epoch_us(t.trashed_at) AS trashed_us, CAST(row_number() OVER (ORDER BY t.trashed_at DESC, n.name, t.node_id) AS BIGINT) AS place FROM trash_entries t JOIN nodes n ON n.id = t.node_id AND n.lifecycle_state = 'trashed' QUALIFY place <= 200")
+@registered("SELECT t.node_id, n.name, epoch_us(t.trashed_at) AS trashed_us, CAST(row_number() OVER (ORDER BY t.trashed_at DESC, n.name, t.node_id) AS BIGINT) AS place FROM trash_entries t JOIN nodes n ON n.id = t.node_id AND n.lifecycle_state = 'trashed'")
 def list_trash(cat):
-    first = L.list_trash(cat.trash_entries, cat.nodes).limit(200)
-    return first.select("node_id", "name", C.micros("trashed_at").alias("trashed_us"), F.row_number().over(L.Window.orderBy(F.desc("trashed_at"), "name", "node_id")).cast("long").alias("place"))
+    listed = places(L.list_trash(cat.trash_entries, cat.nodes), [F.desc("trashed_at"), F.asc("name"), F.asc("node_id")], "place")
+    return listed.select("node_id", "name", C.micros("trashed_at").alias("trashed_us"), "place")
 
 
 @registered("SELECT v.node_id, n.name, epoch_us(v.created_at) AS created_us FROM favorites v JOIN nodes n ON n.id = v.node_id AND n.lifecycle_state = 'active'")

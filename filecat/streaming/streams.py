@@ -1,7 +1,10 @@
 """The catalog's event logs as streams. Each stream gives, over a complete log, what its batch plan gives.
 
-Stateful operators keep their state with transformWithStateInPandas (RocksDB); rows of one batch are
-ordered by event time within a key, since a shuffle does not keep the order of arrival.
+Logs come late and out of order, so the stateful operators hold a key's events until the watermark has
+passed them and then apply them in the order of their own times: what has been applied is never revised,
+however the log was cut into batches. Each key has one timer, armed anew whenever its next moment changes
+(an event that waits, the end of a lease or of a session). State ends with the thing it describes.
+State is kept with transformWithStateInPandas (RocksDB).
 """
 
 from __future__ import annotations
@@ -13,103 +16,211 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from filecat.functions.intervals import Ranges
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The log's columns: a session's chunks, with the session's own end.
 CHUNKS = "session_id string, id string, start_byte long, end_byte long, created_us long, expires_us long"
-PROGRESS = "session_id string, received long, chunks long, rejected long"
-JOBS = "job_id string, seq long, event string, at_us long, max_attempts int"
-JOB_STATE = "job_id string, state string, attempts long, seq long"
+PROGRESS = "session_id string, received long, chunks long, rejected long, state string"
+#: A job's events: claimed and renewed (with the end of the lease), ok, error.
+JOBS = "job_id string, seq long, event string, at_us long, lease_us long, max_attempts int"
+JOB_STATE = "job_id string, state string, attempts long, seq long, lease_us long"
+
+
+#: A key of rows that only move time on. (A filter for them would be pushed below the watermark, which then would not see them.)
+HEARTBEAT = ""
 
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _records(batches: Iterator[pd.DataFrame], order: list[str]) -> list[dict]:
-    frames = list(batches)
-    return pd.concat(frames).sort_values(order).to_dict("records") if frames else []
+class InOrder(StatefulProcessor):
+    """Holds events (tuples that begin with their time in microseconds) until the watermark has passed them."""
 
-
-class UploadProgress(StatefulProcessor):
-    """X2: ranges of a session, first come first kept; chunks after the session's end are too late."""
+    waiting_schema = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ranges = handle.getListState("ranges", "start_byte long, end_byte long")
-        self.sums = handle.getValueState("sums", "received long, chunks long, rejected long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+
+    def held(self) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def hold(self, events: list[tuple]) -> None:
+        if events:
+            self.waiting.put(events)
+        elif self.waiting.exists():
+            self.waiting.clear()
+
+    def arm(self, moments: list[int]) -> None:
+        """One timer, at the first of these moments (microseconds): it fires once the watermark has reached it."""
+        first = -(-min(moments) // 1000) if moments else None
+        armed = list(self.handle.listTimers())
+        for at in armed:
+            if at != first:
+                self.handle.deleteTimer(at)
+        if first is not None and first not in armed:
+            self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.ranges.get()] if self.ranges.exists() else []
-        received, chunks, rejected = self.sums.get() if self.sums.exists() else (0, 0, 0)
-        new = []
-        for r in _records(rows, ["created_us", "id"]):
-            late = r["created_us"] >= r["expires_us"]
-            if late or any(a <= r["end_byte"] and b >= r["start_byte"] for a, b in held):
-                rejected += 1
-                continue
-            held.append((r["start_byte"], r["end_byte"]))
-            new.append(held[-1])
-            received += r["end_byte"] - r["start_byte"] + 1
-            chunks += 1
-        if new:
-            self.ranges.appendList(new)
-        self.sums.update((received, chunks, rejected))
-        yield pd.DataFrame({"session_id": [key[0]], "received": [received], "chunks": [chunks], "rejected": [rejected]})
+        frames = [f for f in rows if len(f)]
+        if key[0] == HEARTBEAT:
+            return
+        new = [t for f in frames for t in self.events(f)]
+        yield from self.advance(key[0], new, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.advance(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
 
-class JobState(StatefulProcessor):
-    """X3: a job's events folded into its state: claimed, ok, error, and reaped (the end of its lease)."""
+class UploadProgress(InOrder):
+    """X2: what a session has received. First come, first kept; a chunk at or after the session's end is gone.
+
+    States of a row: active (events that still wait counted in as they stand), expired (the last row: the
+    watermark has passed the end, state is gone), and gone (chunks that came for an ended session, no state)."""
+
+    waiting_schema = "created_us long, id string, start_byte long, end_byte long, expires_us long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "state string, attempts long, seq long")
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "received long, chunks long, rejected long, expires_us long, starts array<long>, ends array<long>")
+
+    def events(self, frame: pd.DataFrame) -> list[tuple]:
+        return list(zip(*(frame[c].tolist() for c in ("created_us", "id", "start_byte", "end_byte", "expires_us"))))
+
+    def advance(self, session, new: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
+        gone = sum(e[0] >= e[4] for e in new)
+        if gone:
+            yield self.row(session, 0, 0, gone, "gone")
+        events = sorted(set(self.held()) | {e for e in new if e[0] < e[4]})  # an event sent again is one event
+        if not events and not self.kept.exists():
+            return
+        now = self.kept.get() if self.kept.exists() else (0, 0, 0, events[0][4], [], [])
+        ranges = Ranges(now[4], now[5])
+        sums = self.fold(ranges, [e for e in events if e[0] <= passed], now[:3])
+        wait, end = [e for e in events if e[0] > passed], now[3]
+        if end <= passed and not wait:
+            self.hold([])
+            self.kept.clear()
+            self.arm([])
+            yield self.row(session, *sums, "expired")
+            return
+        self.kept.update((*sums, end, ranges.starts, ranges.ends))
+        self.hold(wait)
+        self.arm([end, *(e[0] for e in wait)])
+        yield self.row(session, *self.fold(ranges, wait, sums), "active")
+
+    @staticmethod
+    def fold(ranges: Ranges, events: list[tuple], sums: tuple) -> tuple[int, int, int]:
+        received, chunks, rejected = sums
+        for _, _, start, end, _ in events:
+            if ranges.add(start, end):
+                received, chunks = received + end - start + 1, chunks + 1
+            else:
+                rejected += 1
+        return received, chunks, rejected
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, attempts, seq = self.now.get() if self.now.exists() else ("pending", 0, -1)
-        for r in _records(rows, ["seq"]):
-            state, attempts = job_step(state, attempts, r["event"], r["max_attempts"])
-            seq = max(seq, r["seq"])
-        self.now.update((state, attempts, seq))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [state], "attempts": [attempts], "seq": [seq]})
+    @staticmethod
+    def row(session, received: int, chunks: int, rejected: int, state: str) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [session], "received": [received], "chunks": [chunks], "rejected": [rejected], "state": [state]})
 
-    def close(self) -> None:
-        pass
 
+class JobState(InOrder):
+    """X3: a job's events folded into its state by the rules of T-12; the timer at its lease's end is T-13.
+
+    A lease ends strictly before now, so an outcome at that very moment still counts. Events may be sent
+    again and may be late as long as the watermark allows; a finished job's state stays for `keep` after its
+    last event, so that late repeats find it, and then goes."""
+
+    waiting_schema = "at_us long, seq long, event string, lease_us long, max_attempts int"
 
-def job_step(state: str, attempts: int, event: str, most: int) -> tuple[str, int]:
+    def __init__(self, keep_us: int):
+        self.keep_us = keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.now = handle.getValueState("now", "state string, attempts long, seq long, lease_us long, at_us long")
+
+    def events(self, frame: pd.DataFrame) -> list[tuple]:
+        lease = [None if pd.isna(x) else int(x) for x in frame["lease_us"]]
+        return list(zip(frame["at_us"].tolist(), frame["seq"].tolist(), frame["event"].tolist(), lease, frame["max_attempts"].tolist()))
+
+    def advance(self, job, new: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
+        before = tuple(self.now.get()) if self.now.exists() else ("pending", 0, -1, None, 0)
+        events = sorted(set(self.held()) | {e for e in new if e[1] > before[2]})
+        now = before
+        for at, seq, event, lease, most in (e for e in events if e[0] <= passed):
+            now = job_step(reaped(now, at), at, seq, event, lease, most)
+        now, wait = reaped(now, passed), [e for e in events if e[0] > passed]
+        if now[0] in ("completed", "failed") and not wait and now[4] + self.keep_us <= passed:
+            self.hold([])
+            if self.now.exists():
+                self.now.clear()
+            self.arm([])
+        else:
+            self.now.update(now)
+            self.hold(wait)
+            ends = [now[3] + 1] if now[0] == "leased" else [now[4] + self.keep_us] if now[0] in ("completed", "failed") else []
+            self.arm([*ends, *(e[0] for e in wait)])
+        if now != before:
+            yield pd.DataFrame({"job_id": [job], "state": [now[0]], "attempts": [now[1]], "seq": [now[2]], "lease_us": pd.array([now[3]], "Int64")})
+
+    # a job that waits for a claim has no end of its own, so its few numbers stay
+
+
+def reaped(now: tuple, at: int) -> tuple:
+    """T-13: a lease that ended strictly before this moment leaves the job pending, whatever its attempts."""
+    state, attempts, seq, lease, last = now
+    return ("pending", attempts, seq, None, last) if state == "leased" and lease is not None and lease < at else now
+
+
+def job_step(now: tuple, at: int, seq: int, event: str, lease: int | None, most: int) -> tuple:
+    """T-11's claim, a renewal of the lease, and T-12's outcomes; what does not fit the state changes nothing but seq."""
+    state, attempts, _, until, _ = now
     if event == "claimed" and state == "pending":
-        return "leased", attempts + 1
-    if state == "leased" and event in ("ok", "error", "reaped"):
-        return ("completed" if event == "ok" else "failed" if event == "error" and attempts >= most else "pending"), attempts
-    return state, attempts
+        return "leased", attempts + 1, seq, lease, at
+    if state == "leased" and event == "renewed":
+        return state, attempts, seq, lease, at
+    if state == "leased" and event in ("ok", "error"):
+        return "completed" if event == "ok" else "failed" if attempts >= most else "pending", attempts, seq, None, at
+    return state, attempts, seq, until, at
+
+
+def _timed(rows: DataFrame, column: str, late: str) -> DataFrame:
+    return rows.withColumn("at", F.timestamp_micros(column)).withWatermark("at", late)
 
 
-def stream_upload_progress(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("session_id").transformWithStateInPandas(UploadProgress(), PROGRESS, "Update", "none")
+def stream_upload_progress(chunks: DataFrame, late: str = "1 hour") -> DataFrame:
+    """X2 over chunks (CHUNKS); late: how much later than others a chunk may come. Rows of the session HEARTBEAT move time alone."""
+    return _timed(chunks, "created_us", late).groupBy("session_id").transformWithStateInPandas(UploadProgress(), PROGRESS, "Update", "EventTime")
 
 
-def stream_job_state(events: DataFrame) -> DataFrame:
-    return events.groupBy("job_id").transformWithStateInPandas(JobState(), JOB_STATE, "Update", "none")
+def stream_job_state(events: DataFrame, late: str = "1 hour", keep: int = 86_400) -> DataFrame:
+    """X3 over events (JOBS); keep: seconds for which a finished job's state stays. Rows of the job HEARTBEAT move time alone."""
+    return _timed(events, "at_us", late).groupBy("job_id").transformWithStateInPandas(JobState(keep * 1_000_000), JOB_STATE, "Update", "EventTime")
 
 
-def stream_inventory(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """X1: files of an inventory listing as they appear; each trigger sees the new ones alone."""
-    return spark.readStream.schema(schema).parquet(folder)
+def stream_inventory(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    """X1: files of an inventory listing as they appear; each trigger sees the new ones alone. Its sink is streaming.sinks.EntrySink."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
-def stream_retention(trash: DataFrame, restored: DataFrame, days: int = 30) -> DataFrame:
+def stream_retention(trash: DataFrame, restored: DataFrame, days: int = 30, late: str = "1 hour") -> DataFrame:
     """X4: node_id, purge_at of trashed nodes that no restore follows before they are due.
 
     An outer join in event time: the purge is out once the restores' watermark has passed its moment."""
-    late = "1 hour"
     t = trash.withWatermark("trashed_at", late).withColumn("purge_at", F.col("trashed_at") + F.make_dt_interval(F.lit(days)))
     r = restored.withWatermark("restored_at", late).select(F.col("node_id").alias("back"), "restored_at")
     return t.join(r, F.expr(f"node_id = back AND restored_at >= trashed_at AND restored_at < trashed_at + INTERVAL {days} DAYS"), "leftOuter").where("back IS NULL").select("node_id", "purge_at")
 
 
 def dedupe_chunks(chunks: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """X5: each exact range of a session once within the time a session lives."""
+    """X5: each exact range of a session once within the time a session lives; a range that comes again after that is a new one."""
     return chunks.withWatermark("created_at", ttl).dropDuplicatesWithinWatermark(["session_id", "start_byte", "end_byte"])
 
 

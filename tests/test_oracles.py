@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from filecat.plans import content_queries, maintenance_queries, read_queries, stream_queries
+from filecat.plans import content_queries, maintenance_queries, read_queries, source_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
-PARTS = (read_queries, content_queries, maintenance_queries, stream_queries)
+PARTS = (read_queries, content_queries, maintenance_queries, source_queries, stream_queries)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

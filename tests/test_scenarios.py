@@ -1,6 +1,7 @@
 """Small scenarios whose results are known."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +10,12 @@ from filecat import schemas
 from filecat.functions import columns as C
 from filecat.operators import listing as L
 from filecat.operators import normalize as N
+from filecat.operators import paths as P
 from filecat.operators import rollups as R
 from filecat.operators import tree as T
 from filecat.plans import maintenance as M
 from filecat.sources import inventory as S
+from filecat.sources import snapshots
 
 NODES = "id string, parent_id string, name string, kind string, lifecycle_state string, created_at timestamp_ntz, updated_at timestamp_ntz"
 
@@ -57,7 +60,8 @@ def test_tree_of_files_is_scanned(spark, tmp_path):
     listing = S.read_tree(spark, str(tmp_path))
     assert ids(S.file_inventory(listing, "s"), "source_path") == ["_kept.txt", "note.txt", "photos/2024/image.jpg"]
     report = S.inventory_report(listing).first()
-    assert (report["files_discovered"], report["hidden_entries_skipped"], report["special_entries_skipped"], report["directories"]) == (3, 1, 1, ["photos", "photos/2024"])
+    assert (report["files_discovered"], report["directories_discovered"], report["hidden_entries_skipped"], report["special_entries_skipped"]) == (3, 2, 1, 1)
+    assert [r["source_path"] for r in S.inventory_folders(listing).collect()] == ["photos", "photos/2024"]
     small = S.content_facts(spark.read.format("binaryFile").load(str(tmp_path / "note.txt")))
     large = S.large_content_facts(small.select("path"), block=3)
     assert small.collect() == large.collect()
@@ -96,7 +100,7 @@ def test_scalar_functions(spark):
 
 @pytest.mark.parametrize("content, mime", [
     (b"\xff\xd8\xff\xe0", "image/jpeg"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"%PDF-1.7", "application/pdf"), (b"\0\0\0\x18ftypmp42", "video/mp4"), (b"ID3\x03", "audio/mpeg"),
-    (b"PK\x03\x04 [Content_Types].xml word/document.xml", S.DOCX), (b"PK\x03\x04", "application/zip"), (b"<!DOCTYPE html><p>", "text/html"), (b"plain", "text/plain"), (b"", "application/octet-stream"), (b"\xfe\xfe", "application/octet-stream"),
+    (b"PK\x03\x04 [Content_Types].xml word/document.xml", "application/zip"), (b"PK\x03\x04", "application/zip"), (b"<!DOCTYPE html><p>", "text/html"), (b"plain", "text/plain"), (b"", "application/octet-stream"), (b"\xfe\xfe", "application/octet-stream"),
 ])
 def test_mime_of_bytes(spark, content, mime):
     rows = spark.createDataFrame([(bytearray(content),)], "c binary")
@@ -136,8 +140,68 @@ def test_constraints_are_counted(spark):
 
 
 def test_snapshot_round_trip(spark, tmp_path):
+    """All tables come back; a later save is a new version; a write that broke off is invisible; a step of a walk leaves `nodes` where it is."""
+    folder = str(tmp_path / "catalog")
+    assert snapshots.load(spark, folder) == {}
     tables = {t: spark.createDataFrame([], schemas.schema(t)) for t in schemas.TABLES}
-    S.save_snapshot(tables, str(tmp_path / "snap"))
-    assert set(S.load_catalog(spark, str(tmp_path / "snap"))) == set(schemas.TABLES)
+    n = nodes(spark, *((f"f{i}", "root" if i < 5 else f"f{i % 5}", f"n{i}", "folder", "active") for i in range(200)))
+    first = snapshots.save(spark, tables | {"nodes": n}, folder, "first")
+    found = snapshots.load(spark, folder)
+    assert set(found) == set(schemas.TABLES) and sorted(map(tuple, found["nodes"].select(n.columns).collect()), key=str) == sorted(map(tuple, n.collect()), key=str)
     with pytest.raises(Exception):
-        S.save_snapshot(tables, str(tmp_path / "snap"))
+        snapshots.save(spark, {"nodes": found["nodes"], "jobs": spark.range(3).select(F.assert_true(F.col("id") < 1).alias("x"))}, folder, "broken")
+    assert snapshots.newest(spark, folder)["version"] == first and not snapshots.committed(spark, folder, "broken")
+    snapshots.save(spark, {"nodes": found["nodes"].where("id <> 'f7'")}, folder, "second")
+    assert snapshots.load(spark, folder)["nodes"].count() == 200 and snapshots.load(spark, folder, first)["nodes"].count() == 201
+    held = snapshots.load(spark, folder)["nodes"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        level = spark.createDataFrame([("f1",), ("f2",)], "start string")
+        step = level.join(held.select("id", "parent_id"), F.col("start") == F.col("parent_id"))
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and step.count() == 77
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+def test_path_index_follows_moves(spark):
+    """The index after a batch of moves, some of them below each other, is the index of the moved tree; lookups equal the walks."""
+    rng = random.Random(6)
+    rows = [(f"f{i}", "root" if i < 6 else f"f{rng.randint(max(0, i - 30), i - 1)}", f"n{i}", "folder", "trashed" if i % 9 == 0 else "active") for i in range(300)]
+    rows += [(f"d{i}", f"d{i - 1}" if i else "root", f"d{i}", "folder", "active") for i in range(70)] + [("lost", "nowhere", "x", "file", "active")]
+    n = nodes(spark, *rows)
+    index = P.path_index(n)
+    walked = T.with_paths(n)
+    shown = lambda found: {r["id"]: tuple(r["path_ids"]) for r in found.collect()}
+    assert shown(index) == shown(walked)
+    assert {tuple(r) for r in P.virtual_paths(index).collect()} == {tuple(r) for r in T.virtual_path(walked).collect()}
+    selected = spark.createDataFrame([(f"f{i}",) for i in range(0, 300, 7)] + [("d3",), ("d60",), ("lost",)], "id string")
+    assert ids(P.unnested(index, selected)) == ids(T.drop_nested_selection(n, selected))
+    moves = spark.createDataFrame([("f10", "d30"), ("d40", "f11"), ("d2", "f3"), ("f12", "root"), ("f10", "f10"), ("d1", "d69")], "id string, target_id string")
+    cycle = lambda found: sorted((r["id"], r["target_id"], r["cycle"]) for r in found.collect())
+    assert cycle(P.cycles(index, moves)) == cycle(T.cycle_check(n, moves))
+    good = spark.createDataFrame([("f10", "d30"), ("d2", "f3"), ("f12", "root"), ("d40", "f12")], "id string, target_id string")
+    after = n.join(good, "id", "left").withColumn("parent_id", F.coalesce("target_id", "parent_id"))
+    assert shown(P.moved(index, good)) == shown(P.path_index(after)) == shown(T.with_paths(after))
+    reqs = spark.createDataFrame([("1", "d0/./d1/../d1", "/"), ("2", "/n1", "/x"), ("3", "no", "/")], "request_id string, path string, cwd string")
+    assert {tuple(r) for r in P.resolve(index, reqs).collect()} == {tuple(r) for r in T.resolve_paths(n, reqs).collect()}
+    with pytest.raises(ValueError):
+        P.moved(index, spark.createDataFrame([("d0", "f3"), ("f3", "d5")], "id string, target_id string")).count()
+    with pytest.raises(ValueError):
+        P.path_index(nodes(spark, ("x", "y", "", "folder", "active"), ("y", "x", "", "folder", "active")), max_depth=16)
+
+
+def test_ranges_of_a_large_session(spark):
+    """J9 over 200,000 chunks and 2,000 requests of one session, and against the plain join on a small one."""
+    large = spark.range(200_000).selectExpr("'s' AS session_id", "id * 10 AS start_byte", "id * 10 + id % 7 AS end_byte")
+    reqs = spark.range(2000).selectExpr("concat('q', id) AS request_id", "'s' AS session_id", "id * 997 + 7 AS start", "id * 997 + 9 AS end")
+    want = {f"q{i}": any(k * 10 <= i * 997 + 9 and k * 10 + k % 7 >= i * 997 + 7 for k in range((i * 997) // 10 - 1, (i * 997) // 10 + 3)) for i in range(2000)}
+    assert {r["request_id"]: r["overlaps"] for r in R.range_overlaps(large, reqs).collect()} == want
+    rng = random.Random(2)
+    chunks = [(rng.choice("ab"), a := rng.randint(0, 500), a + rng.choice([0, 3, 200])) for _ in range(30)] + [(None, 0, 900)]
+    asked = [(f"q{i}", rng.choice(["a", "b", "c", None]), a := rng.randint(0, 700), a + rng.randint(0, 20)) for i in range(200)]
+    got = R.range_overlaps(spark.createDataFrame(chunks, "session_id string, start_byte long, end_byte long"), spark.createDataFrame(asked, "request_id string, session_id string, start long, end long"))
+    assert {r["request_id"]: r["overlaps"] for r in got.collect()} == {q: any(s is not None and s == c[0] and c[1] <= e and c[2] >= b for c in chunks) for q, s, b, e in asked}
