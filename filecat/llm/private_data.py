@@ -11,6 +11,8 @@ All of it is DataFrame functions: patterns with possessive loops, which neither
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +32,53 @@ WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 #: So many terms are sent to every task at most.
 FEW = 1 << 18
 KINDS = (*PATTERNS, "term")
+#: Running sums are made in blocks of so many spans; a text's disclosing terms are dealt out to so many lists.
+BLOCK, BUCKETS = 256, 64
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it, in its lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, first: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each value what `add` makes of all before it, beginning with first.
+
+    An accumulator that grows by a cell for each value would copy all before it; here cells are made within
+    blocks of BLOCK values, and one for each block."""
+
+    def within(block: Column, begin: Column) -> Column:
+        empty = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(block, empty, step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda block: F.aggregate(block, first, add))
+        return F.flatten(F.zip_with(blocks, within(ends, first), within))
+
+    last = lambda x: F.greatest(F.ceil(F.size(x) / BLOCK).cast("int") - 1, F.lit(0))
+    return let(values, lambda x: let(F.transform(F.sequence(F.lit(0), last(x)), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK))), joined))
+
+
+def spans(found: Column, between: Column) -> Column:
+    """Start and end in code points (end exclusive), and value, of what was found between the gaps, of which there is one more."""
+    pairs = F.zip_with(between, found, lambda gap, v: F.struct(F.char_length(gap).alias("gap"), F.coalesce(v, F.lit("")).alias("value")))
+
+    def placed(own: Column) -> Column:
+        begin = running(F.transform(own, lambda p: p["gap"] + F.char_length(p["value"])), F.lit(0), lambda x, y: x + y)
+        place = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + F.char_length(p["value"])).alias("end"), p["value"].alias("value"))
+        return F.zip_with(own, begin, place)
+
+    return F.slice(let(pairs, placed), F.lit(1), F.size(found)).cast(SPAN)
+
+
 def matches(text: Column, pattern: str, needed: str | None = None) -> Column:
     """Leftmost matches that do not overlap: start and end in code points (end exclusive), and value."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if needed:
         found = F.when(F.contains(text, F.lit(needed)), found).otherwise(F.array().cast("array<string>"))
-    between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["0"])
-        end = start + F.char_length(pair["1"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["1"].alias("value")))).cast(SPAN).alias("out"))
-
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("0"), m.alias("1")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return let(found, lambda f: F.when(F.size(f) > 0, spans(f, F.split(text, pattern, -1))).otherwise(F.array().cast(SPAN)))
 
 
 def luhn(digits: Column) -> Column:
@@ -90,49 +121,53 @@ def noted(found: DataFrame) -> DataFrame:
 
 
 def shown(rows: DataFrame, keys: list[str], name: str, support: int) -> DataFrame:
-    """keys and the number of rows that have them, of those that at least `support` different texts show."""
-    by_text = rows.groupBy(*keys, "content").agg(F.count("*").alias("n"))
-    return by_text.groupBy(*keys).agg(F.sum("n").alias(name), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support).drop("n_texts")
+    """keys and the number of rows (sum of n) that have them, of those that at least `support` different texts show; rows: keys, n of each text."""
+    return rows.groupBy(*keys).agg(F.sum("n").alias(name), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support).drop("n_texts")
+
+
+#: What tells the sets of texts apart that entities occur in: two hashes of all their members.
+CLASS = ["c1", "c2", "n_entity"]
 
 
 def disclosing(notes: DataFrame, threshold: float, support: int) -> DataFrame:
-    """entity, term of pairs whose disclosure passes the threshold; all counts are of whole rows, over all rows."""
-    own = notes.select("k1", "k2", "content", F.explode("entities").alias("entity"))
-    entity = shown(own, ["entity"], "n_entity", support)  # an entity of fewer texts has no pair of enough
-    kept = own.select("k1", "k2", "entity").distinct().join(entity.select("entity"), "entity").groupBy("k1", "k2").agg(F.collect_set("entity").alias("kept"))
-    pairs = notes.where("terms <> ''").join(kept, ["k1", "k2"]).select("content", "terms", F.explode("kept").alias("entity")).select("content", "entity", F.explode(F.split("terms", " ")).alias("term"))
-    both = shown(pairs, ["entity", "term"], "n_both", support)
+    """The terms of pairs of an entity and a term whose disclosure passes the threshold; all counts are of whole rows, over all rows.
+
+    Entities that occur in the same texts stand in the same relation to every term, so pairs are counted for
+    such classes of entities: a list of addresses that some texts share is one class, however long it is."""
+    own = notes.select("content", F.explode("entities").alias("entity")).groupBy("entity", "content").agg(F.count("*").alias("n"))
+    member = lambda seed: F.bit_xor(F.xxhash64("content", F.lit(seed)))
+    entity = own.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts"), member(1).alias("c1"), member(2).alias("c2")).where(F.col("n_texts") >= support)  # an entity of fewer texts has no pair of enough
+    held = own.join(entity, "entity").select("content", *CLASS).distinct()
+    words = notes.where("terms <> '' AND size(entities) > 0").groupBy("content").agg(F.first("terms").alias("terms"), F.count("*").alias("n"))
+    pairs = words.join(held, "content").select(*CLASS, "n", F.explode(F.split("terms", " ")).alias("term"))
+    both = shown(pairs, [*CLASS, "term"], "n_both", support)
     term = notes.where("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = notes.select(F.count("*").cast("double").alias("n"))
-    known = both.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total is one row
+    known = both.join(term, "term").crossJoin(F.broadcast(total))  # total is one row
     information = F.log2(F.col("n") / F.col("n_entity"))
     shared = F.log2(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return known.where((information > 0) & (shared >= threshold * information)).select("entity", "term")
+    return known.where((information > 0) & (shared >= threshold * information)).select("term")
 
 
 def told_terms(notes: DataFrame, threshold: float, support: int) -> DataFrame:
     """k1, k2, told: the disclosing terms that a row has, whether or not it has an entity."""
     terms = notes.where("terms <> ''").select("k1", "k2", F.explode(F.split("terms", " ")).alias("term"))
-    known = cut(disclosing(notes, threshold, support).select("term").distinct())
+    known = cut(disclosing(notes, threshold, support).distinct())
     few = known.count() <= FEW  # then the words of all texts need no shuffle
     return terms.join(F.broadcast(known) if few else known, "term").groupBy("k1", "k2").agg(F.collect_set("term").alias("told"))
 
 
 def term_spans(text: Column, told: Column) -> Column:
-    """The places of the words in told, in order."""
-    free = masked(text)
-    words, between = F.regexp_extract_all(free, F.lit(WORD), F.lit(0)), F.split(free, WORD, -1)
-    # zipped, since a lambda would split the text anew for every word; the last gap has no word
-    pairs = F.zip_with(words, between, lambda w, gap: F.struct(F.char_length(gap).alias("gap"), F.coalesce(w, F.lit("")).alias("w")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """The places of the words in told, in order. Told words are dealt out to BUCKETS lists, of which each word of the text looks in one."""
+    free, bucket = masked(text), (lambda w: F.pmod(F.hash(w), F.lit(BUCKETS)))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.filter(told, lambda t: bucket(t) == k))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end, term = start + F.char_length(pair["w"]), F.lower(pair["w"])
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), term.alias("value")))).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(F.array_contains(told, term), more).otherwise(acc["out"]).alias("out"))
+    def marked(lists: Column) -> Column:
+        words = F.regexp_extract_all(free, F.lit(WORD), F.lit(0))
+        all_ = F.transform(spans(words, F.split(free, WORD, -1)), lambda s: F.struct(s["start"], s["end"], F.lower(s["value"]).alias("value")))
+        return F.filter(all_, lambda s: F.array_contains(F.get(lists, bucket(s["value"])), s["value"]))
 
-    return F.when(told.isNotNull(), F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(told.isNotNull(), let(dealt, marked)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def with_terms(found: DataFrame, threshold: float, support: int) -> DataFrame:
@@ -151,9 +186,9 @@ def private_spans(docs: DataFrame, threshold: float = 0.9, support: int = 2) ->
 
     A null text counts as empty and has no span. Rows with a null doc_id take part; repeated rows are
     kept, count as documents and have the same spans; an empty table gives an empty result; further
-    columns are not read. Work grows with the texts: two passes for the patterns, one sum over all words,
-    one over the words of texts with an entity that other texts have, joins on entity and term, which
-    Spark splits where one is hot.
+    columns are not read. Of terms with equal disclosure all are marked. Work grows with the texts: two passes
+    for the patterns, one sum over all words, one over the words of texts with an entity that other texts have,
+    for each class of entities with the same texts; joins on text and term, which Spark splits where one is hot.
     """
     rows = with_terms(base_spans(docs), threshold, support)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
@@ -163,15 +198,22 @@ def private_spans(docs: DataFrame, threshold: float = 0.9, support: int = 2) ->
 def sanitised(docs: DataFrame, threshold: float = 0.9, support: int = 2, carried: list[str] = ()) -> DataFrame:
     """doc_id, text, carried columns of every row of docs; spans give way to their kind in brackets.
 
-    Where spans overlap, the one that begins first names the whole; a null text becomes the empty one."""
+    Where spans overlap, the one that begins first names the whole; a null text becomes the empty one; repeated
+    rows and rows without doc_id are kept; an empty table gives an empty result."""
     rows = with_terms(base_spans(docs, carried), threshold, support)
     all_ = F.sort_array(F.concat(*(F.transform(k, (lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put")))(k)) for k in KINDS)))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # four bytes for each code point, so that a piece is found without counting those before it
+    piece = lambda wide, at, end: F.decode(F.substring(wide, 4 * at + 1, 4 * (end - at)), "UTF-32")
+
+    def put(wide: Column) -> Column:
+        def built(own: Column) -> Column:
+            reached = running(F.transform(own, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+            new = F.filter(F.zip_with(own, reached, lambda s, at: F.struct(s["start"].alias("start"), s["put"].alias("put"), at.alias("at"))), lambda s: s["start"] >= s["at"])
+            end = F.array_max(F.transform(own, lambda s: s["end"]))
+            pieces = F.transform(new, lambda s: F.concat(piece(wide, s["at"], s["start"]), s["put"]))
+            return F.concat(F.array_join(pieces, ""), piece(wide, end, F.char_length("text")))
 
-    def step(acc: Column, s: Column) -> Column:
-        over = s["start"] < acc["at"]
-        out = F.when(over, acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["put"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return let(all_, built)
 
-    put = F.aggregate(all_, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return rows.select("doc_id", F.when(F.size(all_) > 0, put).otherwise(F.col("text")).alias("text"), *carried)
+    whole = F.when(F.size(all_) > 0, let(F.encode("text", "UTF-32"), put)).otherwise(F.col("text"))
+    return rows.select("doc_id", whole.alias("text"), *carried)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -318,6 +319,64 @@ def test_private_data(spark, odd, none):
     assert clean[14] == "mail me: [EMAIL], [IP], [PHONE], [CARD]" and clean[5] == "Two words" and clean[1] == ""
 
 
+def test_texts_of_many_spans(spark):
+    """Work grows with a text's spans, not with their square: two texts of 20,000 addresses each, and their sanitised form."""
+    texts = {d: " ".join(f"u{i}é@mail{i % 7}.example;10.0.{i % 200}.{d}" for i in range(20_000)) for d in (1, 2)}
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()] + [(3, "plain words alone")], SCHEMA)
+    began = time.time()
+    rows = {r["doc_id"]: r for r in private_spans(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in sanitised(docs).collect()}
+    assert time.time() - began < 60
+    for d, text in texts.items():
+        mail = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        ip = [m.span() for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", text)]
+        assert (rows[d]["n_email"], rows[d]["n_ip"]) == (len(mail), len(ip)) and len(ip) == 20_000
+        assert rows[d]["base_sha256"] == digest(",".join([f"email:{a}:{b}" for a, b in mail] + [f"ip:{a}:{b}" for a, b in ip]))
+        out, at = [], 0
+        for a, b, kind in sorted([(a, b, "[EMAIL]") for a, b in mail] + [(a, b, "[IP]") for a, b in ip]):
+            if a >= at:
+                out.append(text[at:a] + kind)
+            at = max(at, b)
+        assert clean[d] == "".join(out) + text[at:]
+
+
+def plain_terms(rows, threshold=0.9, support=2):
+    """The disclosing terms by pointwise mutual information over all rows, and where they stand."""
+    mail, word = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?<![^\W_])[^\W\d_]{3,}(?![^\W_])"
+    notes = [(t, {m.lower() for m in re.findall(mail, t)}, {w.lower() for w in re.findall(word, re.sub(mail, lambda m: re.sub("[A-Za-z]", "0", m.group()), t))}) for _, t in rows]
+    n, own, both, term = len(rows), Counter(), Counter(), Counter()
+    texts, pairs = {}, {}
+    for t, entities, terms in notes:
+        term.update(terms)
+        for e in entities:
+            own[e] += 1
+            texts.setdefault(e, set()).add(t)
+            for w in terms:
+                both[e, w] += 1
+                pairs.setdefault((e, w), set()).add(t)
+    hit = {w for (e, w), c in both.items() if len(pairs[e, w]) >= support and own[e] < n and np.log2(n * c / (own[e] * term[w])) >= threshold * np.log2(n / own[e])}
+    return {d: [m.span() for m in re.finditer(word, re.sub(mail, lambda m: re.sub("[A-Za-z]", "0", m.group()), t)) if m.group().lower() in hit] for d, t in rows}
+
+
+def test_terms_equal_plain_information(spark):
+    """Random texts with shared lists of addresses, repeated rows, ties and terms that tell several entities."""
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(120)]
+    listed = " ".join(f"{w}@list.example" for w in words[:40])
+    rows = []
+    for d in range(160):
+        own = [words[k] for k in rng.integers(0, 120, rng.integers(0, 14))]
+        k = int(rng.integers(0, 50))
+        own += [f"a{k}@x.example", f"name{chr(97 + k % 26)}{chr(97 + k // 26)}"] if d % 2 else []
+        own += [f"b{k}@y.example", f"name{chr(97 + k % 26)}{chr(97 + k // 26)}"] if d % 5 == 0 else []
+        own += [listed, f"club{chr(97 + d % 3)}"] if d % 20 == 0 else []
+        rows.append((d, " ".join(rng.permutation(own)) if len(own) else ""))
+    rows += rows[:5]
+    want = plain_terms(rows)
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("term")] for r in private_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {d: [f"term:{a}:{b}" for a, b in own] for d, own in want.items()} and sum(map(len, got.values())) > 50
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"the surgeon Quillfeather wrote from q@hospital.example number {i}") for i in range(3)] + [(10 + i, f"the surgeon wrote number {i} and more") for i in range(50)]
     found = {r["doc_id"]: r["spans"] for r in private_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
