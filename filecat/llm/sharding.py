@@ -63,6 +63,14 @@ def ranked(rows: DataFrame, by: list[str], part: Column, order: list[str], to: s
     return rows.withColumn("nth", F.row_number().over(own)).join(before, [*by, "part"]).withColumn(to, (F.col("before") + F.col("nth") - 1).cast("long")).drop("part", "nth", "before")
 
 
+def with_hubs(rows: DataFrame, hubs: DataFrame, total: int) -> DataFrame:
+    """rows with their hub's columns. The rows of a hub that holds more than a PARTS-th of all meet it where they are: there are fewer than PARTS such hubs."""
+    hubs = cut(hubs)
+    large = hubs.where(F.col("n") > max(total // PARTS, 1))
+    rest = rows.join(F.broadcast(large.select(*HUB)), HUB, "left_anti").join(hubs.join(F.broadcast(large.select(*HUB)), HUB, "left_anti"), HUB, "left")
+    return rows.join(F.broadcast(large), HUB).unionByName(rest)
+
+
 def shards(docs: DataFrame, count: int = 16, rounds: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs, under the law `rows`.
 
@@ -79,7 +87,7 @@ def shards(docs: DataFrame, count: int = 16, rounds: int = 8) -> DataFrame:
     state = rows.groupBy(*HUB, F.col("first").alias("shard")).agg(F.count("*").alias("n"))
     home, free = label_propagation(state, quota, rounds)
     hubs = state.groupBy(*HUB).agg(F.sum("n").alias("n")).join(home, HUB, "left").where("n > 1")
-    placed = cut(rows.join(hubs.select(*HUB, "n", "shard"), HUB, "left"))
+    placed = cut(with_hubs(rows, hubs.select(*HUB, "n", "shard"), total))
     # what is left: large hubs in a row, then documents without links
     mixed = F.pmod(F.xxhash64("doc_id", "h1"), F.lit(PARTS)).cast("int")
     part = F.when(F.col("n") > 1, F.pmod(F.xxhash64(*HUB), F.lit(PARTS // 16)).cast("int") * 16 + mixed % 16).otherwise(mixed + PARTS)
