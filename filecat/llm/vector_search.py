@@ -2,8 +2,10 @@
 
 Vectors are coded by 16 centres for each pair of dimensions. Centres and codes minimise an anisotropic
 error: the part of the residual along the vector, which moves its large inner products, weighs more
-than the part across it. Queries scan blocks of four-bit codes with small tables, two codes at a time,
-and the best of each block are scored again on the original vectors.
+than the part across it. Vectors are dealt out to cells around further centres, as many as the table has blocks; a query visits the
+cells that its inner products with the centres rank first, so many that on the fitted sample nearly all
+true neighbours lie there. In a cell queries scan blocks of four-bit codes with small tables, two codes at
+a time, and the best of each block are scored again on the original vectors.
 """
 
 from __future__ import annotations
@@ -91,6 +93,42 @@ class Codebook:
         return (each[:, 0::2, :, None] + each[:, 1::2, None, :]).reshape(len(q), self.parts // 2, 256).astype(np.float32)
 
 
+class Cells:
+    """Centres that vectors are dealt out to, and how many of them a query visits.
+
+    Without structure in the vectors neighbours lie in all cells, and then all are visited. `share` of the
+    neighbours of the sample's vectors within the sample lie in visited cells; among more vectors neighbours are
+    nearer, so that fewer lie elsewhere."""
+
+    def __init__(self, sample: np.ndarray, count: int, k: int, share: float = 0.99, rounds: int = 10, seed: int = 7):
+        count = max(1, min(count, len(sample) // 8))
+        rng = np.random.default_rng(seed)
+        self.centres = sample[rng.choice(len(sample), count, replace=False)]
+        for _ in range(rounds if count > 1 else 0):
+            own = self.of(sample)
+            for c in range(count):
+                if (m := own == c).any():
+                    self.centres[c] = sample[m].mean(0)
+        self.visits = count
+        if count > 1:
+            own, asked = self.of(sample), sample[rng.permutation(len(sample))[:512]]
+            score = np.einsum("qd,nd->qn", asked, sample)
+            near = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, : k + 1]
+            rank = np.argsort(np.argsort(-self.products(asked), axis=1), axis=1)
+            self.visits = int(np.quantile(np.take_along_axis(rank, own[near], axis=1), share, method="higher")) + 1
+
+    def products(self, v: np.ndarray) -> np.ndarray:
+        return np.einsum("qd,cd->qc", v, self.centres)
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """The nearest centre of each vector."""
+        return ((self.centres**2).sum(1) - 2 * self.products(v)).argmin(1)
+
+    def visited(self, q: np.ndarray) -> np.ndarray:
+        """The cells that each query visits."""
+        return np.argsort(-self.products(q), axis=1, kind="stable")[:, : self.visits]
+
+
 def rows_of(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -114,7 +152,7 @@ def scan(book: Codebook, codes: np.ndarray, vectors: np.ndarray, queries: np.nda
         yield from ((at + i, best[i], exact[i]) for i in range(len(q)))
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4096, depth: int = 200) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4096, depth: int = 200, share: float = 0.99) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with vec_id divisible by `every` its k rows of largest inner product.
 
     Nearest first, ties to the smaller vec_id; scores in double precision on the original vectors. Rows
@@ -122,9 +160,10 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4
     take no part; a row that comes twice counts once; a query's own vec_id is no candidate of it; an empty
     table gives an empty result; further columns are not read.
 
-    The codebook is fitted on at most `sample` distinct vectors; every vector is indexed. Equal vectors are one
-    entry with its k + 1 smallest ids, of which no more can be in a result. Index blocks meet query blocks,
-    each of bounded size, so that a task holds one of both.
+    The codebook and the cells are fitted on at most `sample` distinct vectors; every vector is indexed. Equal
+    vectors are one entry with its k + 1 smallest ids, of which no more can be in a result. Cells are cut into
+    blocks of bounded size, and so are the queries that visit them: a task holds one of both. The exact way is
+    a depth of BLOCK and `share` 1, which visits every cell and scores all of it.
     """
     spark = embeddings.sparkSession
     v = F.col("embedding")
@@ -139,19 +178,34 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4
     first = Window.partitionBy("embedding").orderBy("vec_id")
     entries = rows.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     chosen = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()  # distinct, so that no common vector fills the sample
-    book = spark.sparkContext.broadcast(Codebook(np.stack(chosen["embedding"].to_numpy()).astype(np.float64).reshape(-1, dim)))  # 16 centres for each two dimensions
+    fitted = np.stack(chosen["embedding"].to_numpy()).astype(np.float64).reshape(-1, dim)
+    entries = cut(entries)
+    cells = Cells(fitted, -(-entries.count() // BLOCK), k, share)
+    if share >= 1:
+        cells.visits = len(cells.centres)
+    book, cells = spark.sparkContext.broadcast(Codebook(fitted)), spark.sparkContext.broadcast(cells)  # 16 centres for each two dimensions; at most sample / 8 centres
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = book.value.encode(rows_of(batch.column("embedding"), dim))
-            yield set_out({"embedding": (batch.column("embedding"), batch.schema.field("embedding").type), "ids": (batch.column("ids"), pa.list_(pa.int64())), "codes": ([c.tobytes() for c in codes], pa.binary())})
+            yield set_out({"embedding": (batch.column("embedding"), batch.schema.field("embedding").type), "ids": (batch.column("ids"), pa.list_(pa.int64())), "codes": ([c.tobytes() for c in codes], pa.binary()), "cell": (cells.value.of(rows_of(batch.column("embedding"), dim)), pa.int32())})
 
     element = rows.schema["embedding"].dataType.elementType.simpleString()
-    indexed = cut(entries.mapInArrow(index, f"embedding array<{element}>, ids array<bigint>, codes binary"))
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
-    blocks, query_blocks = -(-indexed.count() // BLOCK), max(1, -(-queries.count() // QUERY_BLOCK))
-    left = indexed.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(blocks)).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = cells.value.visited(rows_of(batch.column("embedding"), dim))
+            yield set_out({c: (batch.column(c), batch.schema.field(c).type) for c in ("vec_id", "embedding")} | {"cells": (found.tolist(), pa.list_(pa.int32()))})
+
+    indexed = cut(entries.mapInArrow(index, f"embedding array<{element}>, ids array<bigint>, codes binary, cell int"))
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
+    queries = cut(asked.mapInArrow(visit, f"vec_id long, embedding array<{element}>, cells array<int>").select("vec_id", "embedding", F.explode("cells").alias("cell")))
+    held = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # one number for each cell
+    wanted = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
+    parts = F.array(*(F.struct(F.lit(-(-held.get(c, 0) // BLOCK)).alias("blocks"), F.lit(-(-wanted.get(c, 0) // QUERY_BLOCK)).alias("asked")) for c in range(len(cells.value.centres))))
+    part, count_up = F.get(parts, F.col("cell")), (lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
+    left = indexed.withColumn("block", F.pmod(F.xxhash64("embedding"), part["blocks"]).cast("int")).withColumn("query_block", count_up(part["asked"]))
+    right = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id", "embedding"), part["asked"]).cast("int")).withColumn("block", count_up(part["blocks"]))
 
     def search(base: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, float]] = []
@@ -169,6 +223,6 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4
         return pa.table({"query_id": pa.array(query, pa.int64()), "q": pa.array(hashed, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
     right = right.withColumn("q", F.xxhash64("embedding"))
-    found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(search, "query_id long, q long, vec_id long, score double")
+    found = left.groupBy("cell", "block", "query_block").cogroup(right.groupBy("cell", "block", "query_block")).applyInArrow(search, "query_id long, q long, vec_id long, score double")
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
