@@ -1,11 +1,10 @@
-"""Passages that occur elsewhere, found by parsing every text against an index of all texts.
-
-A relative Lempel-Ziv parse copies the longest factor it can from a reference. Here every text is parsed
-against every block of the corpus: a block is what one hash of an index entry leads to, and an entry is
-an anchor, the least hash of the 12-word shingles in some 35-word window. Equal windows have equal
-anchors, so a window without a repeated anchor can't be copied; only around repeated anchors are the
-windows themselves compared, which fixes a factor's boundaries to the word. Factors of 35 words or more
-are the duplicate spans. Copies of one entry within a slice are joined before they are shuffled.
+"""Passages that occur elsewhere, found by counting windows around the anchors that texts share.
+
+This stands in for a relative Lempel-Ziv parse (see the README): nothing is parsed against reference blocks.
+An index entry is an anchor, the least hash of the 12-word shingles in some 35-word window. Equal windows
+have equal anchors, so a window without a repeated anchor can't be copied; around repeated anchors windows
+are counted by a 64 bit hash of their words, without a comparison of the words themselves. Windows that
+occur twice or more are the duplicate spans. Copies of one entry within a slice are joined before they are shuffled.
 """
 
 from __future__ import annotations
