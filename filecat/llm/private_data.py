@@ -29,7 +29,7 @@ PATTERNS = {
 #: A text without this has no match.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
-#: So many terms are sent to every task at most.
+#: So many terms, or hashes of texts, are sent to every task at most.
 FEW = 1 << 18
 KINDS = (*PATTERNS, "term")
 #: Running sums are made in blocks of so many spans; a text's disclosing terms are dealt out to so many lists.
@@ -137,8 +137,10 @@ def disclosing(notes: DataFrame, threshold: float, support: int) -> DataFrame:
     own = notes.select("content", F.explode("entities").alias("entity")).groupBy("entity", "content").agg(F.count("*").alias("n"))
     member = lambda seed: F.bit_xor(F.xxhash64("content", F.lit(seed)))
     entity = own.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_texts"), member(1).alias("c1"), member(2).alias("c2")).where(F.col("n_texts") >= support)  # an entity of fewer texts has no pair of enough
-    held = own.join(entity, "entity").select("content", *CLASS).distinct()
-    words = notes.where("terms <> '' AND size(entities) > 0").groupBy("content").agg(F.first("terms").alias("terms"), F.count("*").alias("n"))
+    held = cut(own.join(entity, "entity").select("content", *CLASS).distinct())
+    texts = held.select("content").distinct()
+    texts = F.broadcast(texts) if texts.count() <= FEW else texts  # few have an entity that others have, and only their words are shuffled
+    words = notes.where("terms <> '' AND size(entities) > 0").join(texts, "content", "left_semi").groupBy("content").agg(F.first("terms").alias("terms"), F.count("*").alias("n"))
     pairs = words.join(held, "content").select(*CLASS, "n", F.explode(F.split("terms", " ")).alias("term"))
     both = shown(pairs, [*CLASS, "term"], "n_both", support)
     term = notes.where("terms <> ''").select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
