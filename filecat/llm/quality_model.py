@@ -150,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 7)
             parts = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield set_out({"doc_id": (batch.column("doc_id"), pa.int64()), "quality": (batch.column("quality"), pa.int32()), "x": (parts, pa.binary())})
 
-    # a doc_id may come more than once; one row of each teaches
-    found = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"]).mapInArrow(encode, "doc_id long, quality int, x binary").orderBy("doc_id").collect()
+    # a doc_id may come more than once; of its texts the least teaches
+    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").cast("int").alias("quality")).mapInArrow(encode, "doc_id long, quality int, x binary").orderBy("doc_id").collect()
     label = np.array([r["quality"] for r in found], float)
     if len(set(label.tolist())) < 2:
         return None
