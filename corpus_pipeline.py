@@ -26,38 +26,38 @@ def _like_documents(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below one half go."""
+    """Documents that the classifier scores below one half go. Null and empty texts are scored as empty; repeated rows and rows without doc_id are judged like others; without labels of both kinds all stay."""
     ship(spark)
     scored = quality_scores(docs.select(COLUMNS), table(spark, sf_dir, "labels"), sample=4000, carried=["text", "lang", "source", "n_chars"])
     return scored.where("predicted = 1").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 or more of five-word shingles in common) stays: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (0.8 or more of five-word shingles in common) stays: the one with the smallest doc_id, or one without doc_id where none has any. Rows of one doc_id but unlike texts all stay."""
     ship(spark)
     return one_of_each(docs.select(COLUMNS), shingle=5, share=0.8).select(COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that occur elsewhere are taken out; a document that loses all its words stays, empty."""
+    """Passages of 35 words or more that occur elsewhere are taken out; a document that loses all its words stays, empty. A null text becomes the empty one; repeated rows are each other's copies; rows without doc_id take part."""
     ship(spark)
     return _like_documents(remove_duplicates(docs.select(COLUMNS), carried=["lang", "source"]), "kept_text")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and terms that give it away, are replaced by their kind."""
+    """Personal data, and terms that give it away, are replaced by their kind. A null text becomes the empty one; repeated rows and rows without doc_id are kept."""
     ship(spark)
     return _like_documents(sanitised(docs.select(COLUMNS), carried=["lang", "source"]))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, in as few sequences of 2048 tokens as the plan finds."""
+    """Every document that is left, in as few sequences of 2048 tokens as the plan finds. A null or empty text is its closing id alone; repeated rows and rows without doc_id are packed like others."""
     ship(spark)
     return pack(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"), room=2048)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("private", private), ("packing", packing)]
-#: A trained model, a fingerprint graph and a tokenizer are beyond SQL; tests hold each stage against a plain version.
+#: A trained model, a similarity graph and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
