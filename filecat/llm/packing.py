@@ -151,8 +151,8 @@ def _at(own: list[tuple[int, int]], place: int) -> list[int]:
 
 
 def best_plan(histogram: dict[int, int], room: int) -> np.ndarray:
-    """The plan with the fewest sequences, of those that call lengths above a quarter or a third of a sequence large."""
-    return min((plan(histogram, room, 128, room // part) for part in (4, 3)), key=lambda p: p[0])[1]
+    """The plan with the fewest sequences, of those that call lengths above a quarter, a third or half of a sequence large."""
+    return min((plan(histogram, room, 128, room // part) for part in (4, 3, 2)), key=lambda p: p[0])[1]
 
 
 def used(open_: dict[int, list[tuple[int, Counter]]]) -> int:
@@ -214,7 +214,7 @@ def plan(histogram: dict[int, int], room: int, groups: int, large: int, share: f
     for times, lengths in runs:
         open_[room - sum(lengths)].append((times, Counter(lengths)))
     best_fit(open_, rest, room)
-    for least in (room // 8, room // 32, room // 128, room // 512):  # sequences that stayed emptier than that are taken apart and filled anew
+    for least in (room // 8, room // 32, room // 128, room // 512, 1):  # sequences that stayed emptier than that are taken apart and filled anew
         apart = {space: open_[space] for space in open_ if space >= least}
         again: Counter = Counter()
         for times, held in (x for own in apart.values() for x in own):
