@@ -2,7 +2,7 @@
 
 Vectors are coded by 16 centres for each pair of dimensions. Centres and codes minimise an anisotropic
 error: the part of the residual along the vector, which moves its large inner products, weighs more
-than the part across it. Vectors are dealt out to cells around further centres, as many as the table has blocks; a query visits the
+than the part across it. Vectors are dealt out to cells around further centres, one for so many vectors each; a query visits the
 cells that its inner products with the centres rank first, so many that on the fitted sample nearly all
 true neighbours lie there. In a cell queries scan blocks of four-bit codes with small tables, two codes at
 a time, and the best of each block are scored again on the original vectors.
@@ -21,23 +21,27 @@ from filecat.llm.common import cut, set_out
 
 #: Rows of an index block and of a query block; what a task holds at once.
 BLOCK, QUERY_BLOCK, CHUNK = 8192, 2048, 64
+#: Vectors of a cell, about, while the sample has eight for each cell.
+CELL = 2048
 
 
 class Codebook:
-    """16 centres for each pair of dimensions (an odd dimension is padded by a zero)."""
+    """16 centres for each pair of dimensions (an odd dimension is padded by a zero) of vectors less their cell's centre.
 
-    def __init__(self, sample: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7):
+    toward: the whole vectors, along which errors weigh more."""
+
+    def __init__(self, sample: np.ndarray, toward: np.ndarray | None = None, threshold: float = 0.2, rounds: int = 8, seed: int = 7):
         self.dim = sample.shape[1]
         self.parts = -(-self.dim // 2)
         self.parts += self.parts % 2
         d = max(2, self.dim)
         self.weight = (d - 1) * threshold**2 / (1 - threshold**2)  # of the parallel error against the orthogonal one
         x = self._split(sample)
+        unit = self._unit(x if toward is None else self._split(toward))
         rng = np.random.default_rng(seed)
         self.centres = np.stack([x[rng.choice(len(x), 16, replace=len(x) < 16), s] for s in range(self.parts)])
         for _ in range(rounds):
-            codes, unit = self._codes(x), self._unit(x)
-            self._fit(x, unit, codes)
+            self._fit(x, unit, self._codes(x, unit))
 
     def _split(self, v: np.ndarray) -> np.ndarray:
         out = np.zeros((len(v), 2 * self.parts))
@@ -48,9 +52,8 @@ class Codebook:
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.sqrt((x**2).sum((1, 2), keepdims=True)), 1e-300)
 
-    def _codes(self, x: np.ndarray, passes: int = 2) -> np.ndarray:
+    def _codes(self, x: np.ndarray, unit: np.ndarray, passes: int = 2) -> np.ndarray:
         """Nearest centres, then better ones part by part under the anisotropic error."""
-        unit = self._unit(x)
         n = np.arange(len(x))
         codes = np.empty((len(x), self.parts), np.uint8)
         along = np.empty((len(x), self.parts))
@@ -82,9 +85,9 @@ class Codebook:
                     self.centres[s, c] = np.linalg.solve(left + 1e-9 * np.eye(2), right)
             along[:, s] = ((x[:, s] - self.centres[s][codes[:, s]]) * unit[:, s]).sum(1)
 
-    def encode(self, v: np.ndarray) -> np.ndarray:
+    def encode(self, v: np.ndarray, toward: np.ndarray) -> np.ndarray:
         """Two codes in each byte."""
-        codes = self._codes(self._split(v))
+        codes = self._codes(self._split(v), self._unit(self._split(toward)))
         return codes[:, 0::2] << 4 | codes[:, 1::2]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -103,7 +106,7 @@ class Cells:
     def __init__(self, sample: np.ndarray, count: int, k: int, share: float = 0.99, rounds: int = 10, seed: int = 7):
         count = max(1, min(count, len(sample) // 8))
         rng = np.random.default_rng(seed)
-        self.centres = sample[rng.choice(len(sample), count, replace=False)]
+        self.centres = sample[rng.choice(len(sample), count, replace=False)] if count > 1 else np.zeros((1, sample.shape[1]))
         for _ in range(rounds if count > 1 else 0):
             own = self.of(sample)
             for c in range(count):
@@ -136,7 +139,9 @@ def rows_of(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def scan(book: Codebook, codes: np.ndarray, vectors: np.ndarray, queries: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its number, the `depth` vectors that the codes rank highest, and their exact scores."""
+    """For each query its number, the `depth` vectors that the codes rank highest, and their exact scores.
+
+    All vectors are of one cell, whose centre adds the same to every score, so codes of what is left rank them."""
     depth = min(depth, len(vectors))
     columns = np.ascontiguousarray(codes.T).astype(np.intp)
     for at in range(0, len(queries), CHUNK):
@@ -180,15 +185,17 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, sample: int = 4
     chosen = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()  # distinct, so that no common vector fills the sample
     fitted = np.stack(chosen["embedding"].to_numpy()).astype(np.float64).reshape(-1, dim)
     entries = cut(entries)
-    cells = Cells(fitted, -(-entries.count() // BLOCK), k, share)
+    cells = Cells(fitted, -(-entries.count() // CELL), k, share)
     if share >= 1:
         cells.visits = len(cells.centres)
-    book, cells = spark.sparkContext.broadcast(Codebook(fitted)), spark.sparkContext.broadcast(cells)  # 16 centres for each two dimensions; at most sample / 8 centres
+    book, cells = spark.sparkContext.broadcast(Codebook(fitted - cells.centres[cells.of(fitted)], fitted)), spark.sparkContext.broadcast(cells)  # 16 centres for each two dimensions; at most sample / 8 centres
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = book.value.encode(rows_of(batch.column("embedding"), dim))
-            yield set_out({"embedding": (batch.column("embedding"), batch.schema.field("embedding").type), "ids": (batch.column("ids"), pa.list_(pa.int64())), "codes": ([c.tobytes() for c in codes], pa.binary()), "cell": (cells.value.of(rows_of(batch.column("embedding"), dim)), pa.int32())})
+            v = rows_of(batch.column("embedding"), dim)
+            own = cells.value.of(v)
+            codes = book.value.encode(v - cells.value.centres[own], v)
+            yield set_out({"embedding": (batch.column("embedding"), batch.schema.field("embedding").type), "ids": (batch.column("ids"), pa.list_(pa.int64())), "codes": ([c.tobytes() for c in codes], pa.binary()), "cell": (own, pa.int32())})
 
     element = rows.schema["embedding"].dataType.elementType.simpleString()
 

@@ -1,0 +1,51 @@
+"""Cells of the vector search: recall with and without structure, fewer visits where there is some, and the exact way."""
+
+import numpy as np
+import pytest
+
+from filecat.llm import vector_search
+from filecat.llm.common import ship
+from filecat.llm.vector_search import Cells, nearest
+
+
+def brute(v, every, k):
+    out = {}
+    for q in range(0, len(v), every):
+        score = v @ v[q]
+        score[q] = -np.inf
+        out[q] = sorted(np.argsort(-score, kind="stable")[:k].tolist())
+    return out
+
+
+def data(kind):
+    rng = np.random.default_rng(5)
+    if kind == "plain":
+        return rng.normal(size=(6000, 12))
+    centres = rng.normal(size=(40, 12)) * 4
+    return centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 12)) * 0.5
+
+
+@pytest.mark.parametrize("kind", ["plain", "clustered"])
+def test_recall_in_cells(spark, monkeypatch, kind):
+    ship(spark)
+    monkeypatch.setattr(vector_search, "BLOCK", 400)
+    monkeypatch.setattr(vector_search, "CELL", 100)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 50)
+    v = data(kind)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    want = brute(v, 20, 10)
+    for share, least in ((0.99, 0.95), (1.0, 1.0)):
+        rows = nearest(df, k=10, every=20, sample=2048, depth=80 if share < 1 else 8192, share=share).collect()
+        found = {}
+        for r in rows:
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert set(found) == set(want) and all(len(x) == 10 for x in found.values())
+        recall = np.mean([len(set(found[q]) & set(want[q])) / 10 for q in want])
+        assert recall >= least
+        assert all(abs(r["score"] - float(v[r["query_id"]] @ v[r["vec_id"]])) < 1e-9 for r in rows)
+
+
+def test_structure_saves_visits():
+    """Of clustered vectors a query visits few cells; of vectors without structure most of them."""
+    few, most = (Cells(data(kind)[:2048], 40, 20).visits for kind in ("clustered", "plain"))
+    assert few <= 20 < most
