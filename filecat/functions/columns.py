@@ -68,15 +68,24 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]+$"), F.expr("1").cast("long") * text.try_cast("long"))
 
 
+def _unsigned(text: Column) -> Column:
+    """Digits as an unsigned number of 64 bits; null for others and for larger ones."""
+    number = text.try_cast("decimal(38,0)")
+    return F.when(text.rlike("^[0-9]+$") & (number <= F.lit(str(2**64 - 1)).cast("decimal(38,0)")), number)
+
+
 def parse_byte_range(header: Column | str, total: Column | str) -> Column:
-    """start, end, length of a single range `bytes=a-b`, `a-` or `-n` of a file of `total` bytes; null if invalid."""
-    h, n = col(header), col(total)
+    """start, end, length of a single range `bytes=a-b`, `a-` or `-n` of a file of `total` bytes; null if invalid, also for numbers beyond 64 bits."""
+    h, n = col(header), col(total).cast("decimal(38,0)")
     ok = h.rlike("^bytes=([0-9]+-[0-9]*|-[0-9]+)$")
-    first, last = _number(F.regexp_extract(h, "^bytes=([0-9]*)-", 1)), _number(F.regexp_extract(h, "-([0-9]*)$", 1))
+    texts = [F.regexp_extract(h, pattern, 1) for pattern in ("^bytes=([0-9]*)-", "-([0-9]*)$")]
+    first, last = map(_unsigned, texts)
+    sound = ((texts[0] == "") | first.isNotNull()) & ((texts[1] == "") | last.isNotNull())
     start = F.when(first.isNull(), F.greatest(n - last, F.lit(0))).otherwise(first)
     end = F.when(first.isNull() | last.isNull(), n - 1).otherwise(F.least(last, n - 1))
-    valid = ok & (n > 0) & (start < n) & (end >= start) & (first.isNotNull() | (last > 0)) & (first.isNull() | last.isNull() | (last >= first))
-    return F.when(valid, F.struct(start.alias("start"), end.alias("end"), (end - start + 1).alias("length")))
+    valid = ok & sound & (n > 0) & (start < n) & (end >= start) & (first.isNotNull() | (last > 0)) & (first.isNull() | last.isNull() | (last >= first))
+    long = lambda c: c.try_cast("bigint")
+    return F.when(valid, F.struct(long(start).alias("start"), long(end).alias("end"), long(end - start + 1).alias("length")))
 
 
 def parse_content_range(header: Column | str) -> Column:

@@ -112,12 +112,17 @@ def normalize_tika(cat):
 
 @registered(
     """SELECT f.node_id, o.mime AS detected_mime, o.media_kind, CASE WHEN o.media_kind = 'image' THEN e.width WHEN o.media_kind IN ('video', 'audio') AND o.o_orderkey % 4 <> 0 THEN CAST(o.o_orderkey % 640 AS INTEGER) END AS width,
-  CASE WHEN o.media_kind = 'image' THEN e.orientation END AS orientation, coalesce(o.media_kind = 'image' AND e.gps_latitude IS NOT NULL, false) AS has_gps, CASE WHEN o.media_kind = 'document' THEN t.title END AS document_title, CASE WHEN o.media_kind = 'document' THEN t.page_count END AS page_count
+  CASE WHEN o.media_kind = 'image' THEN e.orientation END AS orientation, coalesce(o.media_kind = 'image' AND e.gps_latitude IS NOT NULL, false) AS has_gps, CASE WHEN o.media_kind = 'document' THEN t.title END AS document_title, CASE WHEN o.media_kind = 'document' THEN t.page_count END AS page_count,
+  CASE WHEN o.media_kind IN ('video', 'audio') AND o.o_orderkey % 5 <> 0 THEN CAST(round_even(CAST(concat(o.o_orderkey % 1000, '.', 125 * (o.o_orderkey % 7)) AS DOUBLE) * 1000, 0) AS BIGINT) END AS duration_ms, CASE WHEN o.media_kind = 'image' THEN e.height WHEN o.media_kind IN ('video', 'audio') AND o.o_orderkey % 4 <> 0 THEN CAST(o.o_orderkey % 480 AS INTEGER) END AS height,
+  CASE WHEN o.media_kind = 'image' THEN e.capture_us END AS capture_us, CASE WHEN o.media_kind = 'image' THEN e.camera_make END AS camera_make, CASE WHEN o.media_kind = 'image' THEN e.camera_model END AS camera_model, CASE WHEN o.media_kind = 'image' THEN e.gps_latitude END AS gps_latitude, CASE WHEN o.media_kind = 'image' THEN e.gps_longitude END AS gps_longitude,
+  CASE WHEN o.media_kind = 'document' THEN t.author END AS document_author, CASE WHEN o.media_kind = 'document' THEN epoch_us(CAST(t.creation_date AS TIMESTAMP)) END AS created_us, CASE WHEN o.media_kind = 'document' THEN epoch_us(CAST(t.modification_date AS TIMESTAMP)) END AS modified_us
   FROM file_objects f JOIN order_nodes o ON f.node_id = concat('o', o.o_orderkey) LEFT JOIN exif e ON e.node_id = f.node_id LEFT JOIN tika t ON t.node_id = f.node_id WHERE f.upload_state = 'finalized'""",
     f"{EXIF_SQL}, {TIKA_SQL}",
 )
 def node_metadata(cat):
-    return N.node_metadata(cat.file_objects, exif(cat), probe(cat), tika(cat)).select("node_id", "detected_mime", "media_kind", "width", "orientation", "has_gps", "document_title", "page_count")
+    rows = N.node_metadata(cat.file_objects, exif(cat), probe(cat), tika(cat))
+    times = (C.micros(c).alias(n) for c, n in (("capture_time", "capture_us"), ("document_created_at", "created_us"), ("document_modified_at", "modified_us")))
+    return rows.select("node_id", "detected_mime", "media_kind", "width", "height", "duration_ms", "orientation", "has_gps", "gps_latitude", "gps_longitude", "camera_make", "camera_model", "document_title", "document_author", "page_count", *times)
 
 
 _IDENTITY = "concat('{\"mime\":\"', mime_type, '\",\"size\":', byte_size, ',\"checksum\":\"', sha256(storage_key), '\"}') AS raw_payload"

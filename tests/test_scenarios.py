@@ -127,6 +127,13 @@ def test_restore_undoes_trash(spark):
     assert {(r["id"], r["parent_id"], r["lifecycle_state"]) for r in back.collect()} == {(r["id"], r["parent_id"], r["lifecycle_state"]) for r in n.collect()}
 
 
+def test_byte_ranges_beyond_64_bits(spark):
+    """An end beyond the file is its end, up to 64 bits; larger numbers make the range invalid."""
+    cases = [("bytes=0-18446744073709551615", (0, 99, 100)), ("bytes=0-18446744073709551616", None), ("bytes=0-" + "9" * 40, None), ("bytes=99999999999999999999-", None), ("bytes=-18446744073709551615", (0, 99, 100)), ("bytes=-" + "1" * 30, None), ("bytes=5-9223372036854775808", (5, 99, 95)), ("bytes=7-", (7, 99, 93)), ("bytes=-0", None)]
+    rows = spark.createDataFrame([(h,) for h, _ in cases], "h string").select("h", C.parse_byte_range("h", F.lit(100)).alias("r")).collect()
+    assert {r["h"]: None if r["r"] is None else tuple(r["r"]) for r in rows} == dict(cases)
+
+
 def test_gaps_and_ranges_make_the_whole(spark):
     sessions = spark.createDataFrame([("s", 100), ("t", 0)], "id string, expected_byte_size long")
     chunks = spark.createDataFrame([("1", "s", 10, 19), ("2", "s", 15, 30), ("3", "s", 90, 120)], "id string, session_id string, start_byte long, end_byte long")
