@@ -134,6 +134,14 @@ def test_byte_ranges_beyond_64_bits(spark):
     assert {r["h"]: None if r["r"] is None else tuple(r["r"]) for r in rows} == dict(cases)
 
 
+def test_blank_texts_and_odd_numbers(spark):
+    """Line ends and other white space alone are no text; numbers may begin or end with a point."""
+    raw = [("a", '[{"Make": "\\n\\t", "Model": "\\u00a0\\u2003", "GPSLatitude": ".5", "GPSLongitude": "5."}]'), ("b", '[{"Make": " x ", "Model": 7, "GPSLatitude": ".", "GPSLongitude": "1e2"}]')]
+    rows = spark.createDataFrame(raw, "node_id string, raw string").select("node_id", F.try_parse_json("raw").alias("payload"))
+    got = {r["node_id"]: tuple(r[c] for c in ("camera_make", "camera_model", "gps_latitude", "gps_longitude")) for r in N.normalize_exif(rows).collect()}
+    assert got == {"a": (None, None, 0.5, 5.0), "b": (" x ", "7", None, None)}
+
+
 def test_gaps_and_ranges_make_the_whole(spark):
     sessions = spark.createDataFrame([("s", 100), ("t", 0)], "id string, expected_byte_size long")
     chunks = spark.createDataFrame([("1", "s", 10, 19), ("2", "s", 15, 30), ("3", "s", 90, 120)], "id string, session_id string, start_byte long, end_byte long")
