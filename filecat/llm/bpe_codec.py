@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,10 @@ _ENCODERS: dict[str, TextEncoder] = {}
 
 
 class TextEncoder:
-    """Ids of texts, part by part. What the transducer made of a white-space bounded piece is remembered."""
+    """Ids of texts, part by part. What the transducer made of a white-space bounded piece is remembered, of so many pieces at most."""
 
-    def __init__(self, path: str):
-        self.bpe, self.known = WordBPE(path), {}
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.bpe, self.known, self.recent, self.remembered = WordBPE(path), {}, deque(maxlen=2), remembered
 
     def parts(self, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(number of the text, some of its ids as unsigned little-endian 32 bit), in order; no part is of more than a few PART bytes of text."""
@@ -50,12 +51,14 @@ class TextEncoder:
         yield from self._lot(lot)
 
     def _lot(self, lot: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > self.remembered:  # what each of the last lots had is likely to come again
+            often = set.intersection(*self.recent).intersection(self.known)
+            self.known = {piece: self.known[piece] for piece in often} if 2 * len(often) < self.remembered else {}
         known, cut = self.known, [part.split() for _, part in lot]
         new: set[bytes] = set()
         for pieces in cut:
             new.update(pieces)
+        self.recent.append(new)
         if found := list(new.difference(known)):
             known.update(zip(found, self.bpe.learn(found)))
         out = [(k, b"".join(map(known.__getitem__, pieces))) for (k, _), pieces in zip(lot, cut)]
@@ -65,8 +68,11 @@ class TextEncoder:
         return out
 
 
-def encoder(path: str) -> TextEncoder:
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, TextEncoder(path))
+def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
+    """The worker's encoder of that vocabulary."""
+    found = _ENCODERS.get(path) or _ENCODERS.setdefault(path, TextEncoder(path))
+    found.remembered = remembered
+    return found
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:

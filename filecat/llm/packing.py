@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from filecat.llm.bpe_codec import encoder
 from filecat.llm.common import cut, documents, set_out, slices, texts_of
+from filecat.llm.word_bpe import REMEMBERED
 
 #: Pieces of one length are ranked in so many parts, dealt by a hash.
 PARTS = 64
@@ -235,7 +236,7 @@ def plan(histogram: dict[int, int], room: int, groups: int, large: int, share: f
     return sequence, np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def token_pieces(docs: DataFrame, path: str, room: int) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, room: int, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's tokens and its closing id 0, cut after each `room` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,7 @@ def token_pieces(docs: DataFrame, path: str, room: int) -> DataFrame:
                 del held[k][:full]
                 pieces[k] += 1
 
-            for k, part in encoder(path).parts(texts_of(batch)):
+            for k, part in encoder(path, remembered).parts(texts_of(batch)):
                 held[k] += part
                 while len(held[k]) > full:
                     put(k)
@@ -267,17 +268,17 @@ def token_pieces(docs: DataFrame, path: str, room: int) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = 2048, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Documents end with id 0; only those longer than `room` are cut. A null or empty text is the one
     id 0. Repeated rows and null doc_ids are pieces like any other; an empty table gives no piece.
-    Sequences hold at most `room` ids, without gaps. The driver sees counts for each length and part
+    A worker remembers the ids of `remembered` words at most. Sequences hold at most `room` ids, without gaps. The driver sees counts for each length and part
     (at most room x PARTS numbers) and makes the plan; pieces are ranked within (length, part) on the
     executors, so that a length which many share is spread over PARTS tasks.
     """
     spark = docs.sparkSession
-    pieces = token_pieces(docs, path, room).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
+    pieces = token_pieces(docs, path, room, remembered).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
     pieces = cut(pieces)
     counts = pieces.groupBy("length", "part").count().collect()  # at most room x PARTS rows
     table = np.zeros((room + 1, PARTS), np.int64)

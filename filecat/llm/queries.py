@@ -41,7 +41,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=2048)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=2048, remembered=400_000)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
