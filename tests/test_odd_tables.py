@@ -10,6 +10,7 @@ from tests.test_oracles import SF, TABLES, table
 
 BY_CHANCE = {
     "moved_nodes": ("orders", "TIMESTAMP '1999-01-01' - to_days(CAST(o_orderkey % 30 AS INTEGER)) AS o_orderdate"),  # files last changed at the batch's own moment
+    "trash_nodes": ("orders", "TIMESTAMP '1999-01-01' AS o_orderdate"),  # files that went into the trash at the batch's own moment
 }
 
 
