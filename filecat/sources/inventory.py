@@ -235,20 +235,24 @@ def _is_docx(content: Column) -> Column:
 
 
 def detect_mime(content: Column) -> Column:
-    """The type that the bytes tell, not the name: by first bytes, and inside containers by their own structure."""
+    """The type that the bytes tell, not the name: by first bytes, and inside containers by their own structure.
+
+    A word that tells a container only from its fifth byte on (free, wide, WAVE) may be prose, so it does not count in what is text throughout."""
     raw = F.hex(F.substring(content, 1, 64))
     out = F.when(content.isNull(), F.lit(None).cast("string"))
+    text = F.try_validate_utf8(content.cast("string"))
+    prose = text.isNotNull() & ~F.contains(content, F.lit(bytearray(b"\0")))
     for magic, at, mime in MAGIC:
-        out = out.when(F.substring(raw, 2 * at + 1, len(magic)) == magic, mime)
+        found = F.substring(raw, 2 * at + 1, len(magic)) == magic
+        out = out.when(found & ~prose if at else found, mime)
     box, brand = F.substring(raw, 9, 8), F.substring(raw, 17, 8)
     named = F.coalesce(*(F.when(brand == _hex(b), m) for b, m in BRANDS.items()), F.lit("video/mp4"))
-    out = out.when(box == _hex("ftyp"), named).when(box.isin([_hex(a) for a in ATOMS]), "video/quicktime")
+    out = out.when((box == _hex("ftyp")) & ~prose, named).when(box.isin([_hex(a) for a in ATOMS]) & ~prose, "video/quicktime")
     out = out.when(F.startswith(raw, F.lit("1A45DFA3")), _ebml(raw)).when(F.substring(raw, 1, 8).isin("49492A00", "4D4D002A"), _tiff(content))
     zip_ = F.startswith(raw, F.lit("504B0304"))
     out = out.when(zip_ & _is_docx(content), DOCX).when(zip_, "application/zip")
-    text = F.try_validate_utf8(content.cast("string"))
     html = F.startswith(F.lower(F.ltrim(F.substring(text, 1, 64))), F.lit("<!doctype html"))
-    return out.when(html, "text/html").when((F.octet_length(content) > 0) & text.isNotNull() & ~F.contains(content, F.lit(bytearray(b"\0"))), "text/plain").otherwise("application/octet-stream")
+    return out.when(html, "text/html").when((F.octet_length(content) > 0) & prose, "text/plain").otherwise("application/octet-stream")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
