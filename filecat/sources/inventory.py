@@ -259,11 +259,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("source_path")).where("source_path <> ''").distinct()
 
 
-def pending_files(listing: DataFrame, manifest: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that neither list has, and a row of how many stubs and hidden ones were left out."""
-    done = manifest.select("source_path").union(imported.select("source_path")).distinct()
+def pending_files(listing: DataFrame, manifest: DataFrame, imported: DataFrame, key: str = "source_path") -> tuple[DataFrame, DataFrame]:
+    """Files that neither list has, and a row of how many stubs and hidden ones were left out. key: the column that tells files apart."""
+    done = manifest.select(key).union(imported.select(key)).distinct()
     stub = F.endswith("source_path", F.lit(".icloud"))
-    wanted = listing.where(~stub & ~is_hidden("source_path")).join(done, "source_path", "left_anti")
+    wanted = listing.where(~stub & ~is_hidden("source_path")).join(done, key, "left_anti")
     return wanted, listing.agg(F.count_if(stub).alias("stubs"), F.count_if(~stub & is_hidden("source_path")).alias("hidden"))
 
 

@@ -12,6 +12,7 @@ BY_CHANCE = {
     "moved_nodes": ("orders", "TIMESTAMP '1999-01-01' - to_days(CAST(o_orderkey % 30 AS INTEGER)) AS o_orderdate"),  # files last changed at the batch's own moment
     "trash_nodes": ("orders", "TIMESTAMP '1999-01-01' AS o_orderdate"),  # files that went into the trash at the batch's own moment
     "detect_mime": ("documents", "concat(['The free ', 'far wide ', 'and skip ', 'left ftyp', 'to a new WAVE', 'a common WEBP'][CAST(doc_id % 6 AS INTEGER) + 1], text) AS text"),
+    "pending_files": ("pages", "concat('https://a.example.net/en/', page_id // 7) AS url"),
 }
 
 
