@@ -14,6 +14,7 @@ BY_CHANCE = {
     "detect_mime": ("documents", "concat(['The free ', 'far wide ', 'and skip ', 'left ftyp', 'to a new WAVE', 'a common WEBP'][CAST(doc_id % 6 AS INTEGER) + 1], text) AS text"),
     "pending_files": ("pages", "concat('https://a.example.net/en/', page_id // 7) AS url"),
     "stability": ("pages", "concat('https://a.example.net/en/', page_id // 7) AS url"),
+    "upsert_import_entries": ("pages", "concat('https://a.example.net/en/', page_id // 7) AS url"),
 }
 
 
