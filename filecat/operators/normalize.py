@@ -6,6 +6,8 @@ are chosen among variants, where a JSON null is a value, and only then is the ty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,26 +24,34 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, however often f names it: inside lambdas Spark computes each mention anew."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _typed(v: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
+    """f of a variant, its kind and its text."""
+    return _with(v, lambda x: _with(F.struct(_kind(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("text")), lambda t: f(x, t["kind"], t["text"])))
+
+
 def _string(v: Column) -> Column:
     """Text that is not empty, or a number as text."""
-    string = F.try_variant_get(v, "$", "string")
-    return F.when((_kind(v) == "STRING") & (string != ""), string).when(_kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), string)
+    return _typed(v, lambda x, kind, text: F.when((kind == "STRING") & (text != ""), text).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), text))
 
 
 def _text(v: Column) -> Column:
     """Text that is not blank, or a number as text."""
-    return F.when(_string(v).rlike(r"(?U)\S"), _string(v))  # white space of all of Unicode
+    return _with(_string(v), lambda text: F.when(text.rlike(r"(?U)\S"), text))  # white space of all of Unicode
 
 
 def _long(v: Column) -> Column:
     """A JSON integer, or text that reads as one."""
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")).when((_kind(v) == "STRING") & text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return _typed(v, lambda x, kind, text: F.when(kind == "BIGINT", F.try_variant_get(x, "$", "bigint")).when((kind == "STRING") & text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")))
 
 
 def _narrow(long: Column) -> Column:
     """A number within 32 bits."""
-    return F.when(long.between(-(1 << 31), (1 << 31) - 1), long.cast("int"))
+    return _with(long, lambda x: F.when(x.between(-(1 << 31), (1 << 31) - 1), x.cast("int")))
 
 
 def _int(v: Column) -> Column:
@@ -53,8 +63,7 @@ def _is_object(v: Column) -> Column:
 
 
 def _double(v: Column) -> Column:
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(_kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$", "double")).when((_kind(v) == "STRING") & text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    return _typed(v, lambda x, kind, text: F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(x, "$", "double")).when((kind == "STRING") & text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double")))
 
 
 def _warnings(*tests: tuple[Column, str]) -> Column:
@@ -84,8 +93,7 @@ def normalize_ffprobe(payloads: DataFrame) -> DataFrame:
     p = F.col("payload")
 
     def ms(v: Column) -> Column:
-        seconds = _double(v)
-        return F.when((seconds >= 0) & (seconds < 9e15) & ~F.isnan(seconds), F.rint(seconds * 1000).cast("long"))
+        return _with(_double(v), lambda seconds: F.when((seconds >= 0) & (seconds < 9e15) & ~F.isnan(seconds), F.rint(seconds * 1000).cast("long")))
 
     streams = F.coalesce(F.try_variant_get(p, "$.streams", "array<variant>"), F.array().cast("array<variant>"))
 
