@@ -24,18 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def arriving(log: DataFrame, folder: str, slices: int, heartbeat: dict | None = None) -> None:
-    """Writes the log as files in the order of `arrives` (microseconds), in so many slices, and a last one with the heartbeat."""
+def arriving(log: DataFrame, folder: str, slices: int, heartbeat: dict | None = None) -> Iterator[None]:
+    """Adds the log to a folder in the order of `arrives` (microseconds), a slice at each turn, and at last the heartbeat.
+
+    The log is made once, and its slices are written by as many tasks as they take; what was added by a turn is one batch."""
+    spark, kept = log.sparkSession, [c for c in log.columns if c != "arrives"]
     ends = log.agg(F.min("arrives").alias("low"), F.max("arrives").alias("high")).first()  # two numbers
-    kept = [c for c in log.columns if c != "arrives"]
+    slice_ = F.least(F.floor((F.col("arrives") - ends["low"]) * slices / (ends["high"] - ends["low"] + 1)), F.lit(slices - 1)).cast("int")
+    log.select(*kept, slice_.alias("_slice")).hint("rebalance", "_slice").write.partitionBy("_slice").parquet(f"{folder}-slices")
+    made = spark.read.parquet(f"{folder}-slices")
     for k in range(slices):
-        part = log.withColumn("_slice", F.least(F.floor((F.col("arrives") - ends["low"]) * slices / (ends["high"] - ends["low"] + 1)), F.lit(slices - 1))).where(F.col("_slice") == k)
-        part.select(kept).coalesce(1).write.mode("append").parquet(folder)
+        made.where(F.col("_slice") == k).select(kept).write.mode("append").parquet(folder)
+        yield
     if heartbeat:
-        row = log.select(kept).limit(0)
-        beat = log.sparkSession.createDataFrame([tuple(heartbeat.get(c) for c in kept)], row.schema)
+        beat = spark.createDataFrame([tuple(heartbeat.get(c) for c in kept)], log.select(kept).schema)
         for _ in range(2):  # the first moves the watermark, the second is a batch that sees it
             beat.coalesce(1).write.mode("append").parquet(folder)
+            yield
 
 
 @contextmanager
@@ -54,15 +59,17 @@ def replayed(spark: SparkSession, log: DataFrame, stream: Callable[[DataFrame],
     """What the stream puts out over the log, with the number of the batch; a log with `arrives` is cut by it, a slice a batch."""
     X.use_rocksdb(spark)
     folder = shared_folder(spark)
+    schema, reader = log.drop("arrives").schema, spark.readStream
     if "arrives" in log.columns:
-        arriving(log, f"{folder}/log", files, heartbeat)
+        turns = arriving(log, f"{folder}/log", files, heartbeat)
     else:
         log.repartition(files).write.parquet(f"{folder}/log")
-    schema = log.drop("arrives").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 if heartbeat else max(1, files // 2)).parquet(f"{folder}/log")
-    out = stream(rows)
+        turns, reader = [None], reader.option("maxFilesPerTrigger", max(1, files // 2))
+    out = None
     with batches_of_data(spark) if heartbeat else nullcontext():
-        X.run_to_end(out, f"{folder}/checkpoint", lambda batch, number: batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), mode)
+        for _ in turns:
+            out = out or stream(reader.schema(schema).parquet(f"{folder}/log"))  # the folder is there
+            X.run_to_end(out, f"{folder}/checkpoint", lambda batch, number: batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), mode)
     return spark.read.schema(out.schema.add("batch", "long")).parquet(f"{folder}/out")
 
 
@@ -145,12 +152,12 @@ def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     trash = cat.sql(f"SELECT node_id, CAST(trashed_at AS TIMESTAMP) AS trashed_at, unix_micros(CAST(trashed_at AS TIMESTAMP)) + {number} % 9 * {DAY} AS arrives FROM trash_entries")
     back = cat.sql(f"SELECT node_id, CAST(timestampadd(DAY, {number} % 50, trashed_at) AS TIMESTAMP) AS restored_at, unix_micros(CAST(timestampadd(DAY, {number} % 50, trashed_at) AS TIMESTAMP)) + {number} % 7 * {DAY} AS arrives FROM trash_entries WHERE {number} % 3 < 2")
     far = spark.sql(f"SELECT timestamp_micros({FAR}) AS far").first()["far"]
-    arriving(trash, f"{folder}/trash", 4, {"node_id": X.HEARTBEAT, "trashed_at": far})
-    arriving(back, f"{folder}/back", 4, {"node_id": X.HEARTBEAT, "restored_at": far})
-    read = lambda rows, name: spark.readStream.schema(rows.drop("arrives").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
-    out = X.stream_retention(read(trash, "trash"), read(back, "back"), late="10 days")
+    turns = zip(arriving(trash, f"{folder}/trash", 4, {"node_id": X.HEARTBEAT, "trashed_at": far}), arriving(back, f"{folder}/back", 4, {"node_id": X.HEARTBEAT, "restored_at": far}))
+    read = lambda rows, name: spark.readStream.schema(rows.drop("arrives").schema).parquet(f"{folder}/{name}")
     with batches_of_data(spark):
-        X.run_to_end(out, f"{folder}/checkpoint", lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"), "append")
+        for _ in turns:
+            out = X.stream_retention(read(trash, "trash"), read(back, "back"), late="10 days")
+            X.run_to_end(out, f"{folder}/checkpoint", lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"), "append")
     due = spark.read.schema(out.schema).parquet(f"{folder}/out/batch=*")
     return due.select("node_id", F.unix_micros("purge_at").alias("purge_us"))
 
@@ -180,8 +187,6 @@ def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import entries after a stream of three scans: what T-21 gives for all of them at once. The last batch is sent twice."""
     cat, folder = Catalog(spark, sf_dir), shared_folder(spark)
     found = cat.sql(SCANS.format(at="timestampadd(HOUR, s.k, updated_at)"))
-    for k in range(3):
-        found.where(F.col("k") == k).drop("k").coalesce(1).write.mode("append").parquet(f"{folder}/log")
     entries = cat.import_entries.withColumns({"source_modified_at": F.col("created_at"), "source_checksum": F.sha2("source_path", 256), "resulting_node_id": F.concat(F.lit("n"), "page_id")})
     sink = EntrySink(spark, f"{folder}/entries", entries, at(NOW_EVENTS))
     sent: list[int] = []
@@ -191,7 +196,10 @@ def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         sink(batch, number)  # a repeated batch
         sent.append(number)
 
-    X.run_to_end(X.stream_inventory(spark, f"{folder}/log", found.drop("k").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 1), f"{folder}/checkpoint", put, "append")
+    schema = found.drop("k").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    for k in range(3):  # a scan a batch, written by as many tasks as it takes
+        found.where(F.col("k") == k).drop("k").write.mode("append").parquet(f"{folder}/log")
+        X.run_to_end(X.stream_inventory(spark, f"{folder}/log", schema), f"{folder}/checkpoint", put, "append")
     rows = sink.entries()
     return rows.select("source_id", "source_path", "source_size", "state", F.unix_micros(F.col("source_modified_at").cast("timestamp")).alias("modified_us"), "source_checksum", "resulting_node_id")
 
