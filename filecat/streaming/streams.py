@@ -2,13 +2,15 @@
 
 Logs come late and out of order, so the stateful operators hold a key's events until the watermark has
 passed them and then apply them in the order of their own times: what has been applied is never revised,
-however the log was cut into batches. Each key has one timer, armed anew whenever its next moment changes
-(an event that waits, the end of a lease or of a session). State ends with the thing it describes.
+however the log was cut into batches. Keys share buckets, and each bucket has one timer, armed anew whenever
+its next moment changes (an event that waits, the end of a lease or of a session). A key's state ends with the
+thing it describes.
 State is kept with transformWithStateInPandas (RocksDB).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,6 +31,8 @@ JOB_STATE = "job_id string, state string, attempts long, seq long, lease_us long
 
 #: A key of rows that only move time on. (A filter for them would be pushed below the watermark, which then would not see them.)
 HEARTBEAT = ""
+#: Buckets that keys are dealt to; a checkpoint keeps the number it began with.
+BUCKETS = 1024
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -36,22 +40,17 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class InOrder(StatefulProcessor):
-    """Holds events (tuples that begin with their time in microseconds) until the watermark has passed them."""
+    """Holds events (tuples that begin with their time in microseconds) until the watermark has passed them.
 
-    waiting_schema = ""
+    A group is a bucket of keys, not one key: what its keys hold is read and written at once, which costs as
+    much as for a single key. The state is a dictionary, pickled: of each key what has been applied (None:
+    nothing yet), the events that wait, and its next moment. Rows of a bucket come out in one frame."""
+
+    id_column, output = "", ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
-
-    def held(self) -> list[tuple]:
-        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-
-    def hold(self, events: list[tuple]) -> None:
-        if events:
-            self.waiting.put(events)
-        elif self.waiting.exists():
-            self.waiting.clear()
+        self.cell = handle.getValueState("held", "keys binary")
 
     def arm(self, moments: list[int]) -> None:
         """One timer, at the first of these moments (microseconds): it fires once the watermark has reached it."""
@@ -64,14 +63,38 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
-        if key[0] == HEARTBEAT:
-            return
-        new = [t for f in frames for t in self.events(f)]
-        yield from self.advance(key[0], new, timerValues.getCurrentWatermarkInMs() * 1000)
+        new: dict[str, list[tuple]] = {}
+        for frame in rows:
+            for own, event in zip(frame[self.id_column].tolist(), self.events(frame)):
+                if own != HEARTBEAT:
+                    new.setdefault(own, []).append(event)
+        yield from self.advance(new, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.advance(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self.advance({}, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def advance(self, new: dict[str, list[tuple]], passed: int) -> Iterator[pd.DataFrame]:
+        """Keys with new events, and those whose next moment has passed, go on; the others stay as they are."""
+        held = pickle.loads(self.cell.get()[0]) if self.cell.exists() else {}
+        due = new.keys() | {own for own, (_, _, moment) in held.items() if moment is not None and moment <= passed}
+        out: list[tuple] = []
+        for own in due:
+            before, waiting, _ = held.get(own, (None, [], None))
+            rows, after, wait, moments = self.step(own, before, waiting, new.get(own, []), passed)
+            out += rows
+            if after is None:
+                held.pop(own, None)
+            else:
+                held[own] = (after, wait, min(moments, default=None))
+        if due and held:
+            self.cell.update((pickle.dumps(held, pickle.HIGHEST_PROTOCOL),))
+        elif due and self.cell.exists():
+            self.cell.clear()
+        if due:
+            self.arm([moment for _, _, moment in held.values() if moment is not None])
+        if out:
+            names, types = zip(*(c.split() for c in self.output.split(", ")))
+            yield pd.DataFrame({n: pd.array(values, "Int64") if t == "long" else list(values) for n, t, values in zip(names, types, zip(*out))})
 
     def close(self) -> None:
         pass
@@ -83,36 +106,26 @@ class UploadProgress(InOrder):
     States of a row: active (events that still wait counted in as they stand), expired (the last row: the
     watermark has passed the end, state is gone), and gone (chunks that came for an ended session, no state)."""
 
-    waiting_schema = "created_us long, id string, start_byte long, end_byte long, expires_us long"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.kept = handle.getValueState("kept", "received long, chunks long, rejected long, expires_us long, starts array<long>, ends array<long>")
+    id_column, output = "session_id", PROGRESS
 
-    def events(self, frame: pd.DataFrame) -> list[tuple]:
-        return list(zip(*(frame[c].tolist() for c in ("created_us", "id", "start_byte", "end_byte", "expires_us"))))
+    def events(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        return zip(*(frame[c].tolist() for c in ("created_us", "id", "start_byte", "end_byte", "expires_us")))
 
-    def advance(self, session, new: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
+    def step(self, session: str, now: tuple | None, waiting: list[tuple], new: list[tuple], passed: int) -> tuple:
         gone = sum(e[0] >= e[4] for e in new)
-        if gone:
-            yield self.row(session, 0, 0, gone, "gone")
-        events = sorted(set(self.held()) | {e for e in new if e[0] < e[4]})  # an event sent again is one event
-        if not events and not self.kept.exists():
-            return
-        now = self.kept.get() if self.kept.exists() else (0, 0, 0, events[0][4], [], [])
+        rows = [(session, 0, 0, gone, "gone")] if gone else []
+        events = sorted(set(waiting) | {e for e in new if e[0] < e[4]})  # an event sent again is one event
+        if not events and now is None:
+            return rows, None, [], []
+        now = now or (0, 0, 0, events[0][4], [], [])
         ranges = Ranges(now[4], now[5])
         sums = self.fold(ranges, [e for e in events if e[0] <= passed], now[:3])
         wait, end = [e for e in events if e[0] > passed], now[3]
         if end <= passed and not wait:
-            self.hold([])
-            self.kept.clear()
-            self.arm([])
-            yield self.row(session, *sums, "expired")
-            return
-        self.kept.update((*sums, end, ranges.starts, ranges.ends))
-        self.hold(wait)
-        self.arm([end, *(e[0] for e in wait)])
-        yield self.row(session, *self.fold(ranges, wait, sums), "active")
+            return [*rows, (session, *sums, "expired")], None, [], []
+        after = (*sums, end, list(ranges.starts), list(ranges.ends))
+        rows.append((session, *self.fold(ranges, wait, sums), "active"))
+        return rows, after, wait, [end, *(e[0] for e in wait)]
 
     @staticmethod
     def fold(ranges: Ranges, events: list[tuple], sums: tuple) -> tuple[int, int, int]:
@@ -124,10 +137,6 @@ class UploadProgress(InOrder):
                 rejected += 1
         return received, chunks, rejected
 
-    @staticmethod
-    def row(session, received: int, chunks: int, rejected: int, state: str) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": [session], "received": [received], "chunks": [chunks], "rejected": [rejected], "state": [state]})
-
 
 class JobState(InOrder):
     """X3: a job's events folded into its state by the rules of T-12; the timer at its lease's end is T-13.
@@ -136,38 +145,27 @@ class JobState(InOrder):
     again and may be late as long as the watermark allows; a finished job's state stays for `keep` after its
     last event, so that late repeats find it, and then goes."""
 
-    waiting_schema = "at_us long, seq long, event string, lease_us long, max_attempts int"
+    id_column, output = "job_id", JOB_STATE
 
     def __init__(self, keep_us: int):
         self.keep_us = keep_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.now = handle.getValueState("now", "state string, attempts long, seq long, lease_us long, at_us long")
-
-    def events(self, frame: pd.DataFrame) -> list[tuple]:
-        lease = [None if pd.isna(x) else int(x) for x in frame["lease_us"]]
-        return list(zip(frame["at_us"].tolist(), frame["seq"].tolist(), frame["event"].tolist(), lease, frame["max_attempts"].tolist()))
+    def events(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        lease = [None if pd.isna(x) else int(x) for x in frame["lease_us"].tolist()]
+        return zip(frame["at_us"].tolist(), frame["seq"].tolist(), frame["event"].tolist(), lease, frame["max_attempts"].tolist())
 
-    def advance(self, job, new: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
-        before = tuple(self.now.get()) if self.now.exists() else ("pending", 0, -1, None, 0)
-        events = sorted(set(self.held()) | {e for e in new if e[1] > before[2]})
+    def step(self, job: str, before: tuple | None, waiting: list[tuple], new: list[tuple], passed: int) -> tuple:
+        before = before or ("pending", 0, -1, None, 0)
+        events = sorted(set(waiting) | {e for e in new if e[1] > before[2]})
         now = before
         for at, seq, event, lease, most in (e for e in events if e[0] <= passed):
             now = job_step(reaped(now, at), at, seq, event, lease, most)
         now, wait = reaped(now, passed), [e for e in events if e[0] > passed]
+        rows = [(job, *now[:4])] if now != before else []
         if now[0] in ("completed", "failed") and not wait and now[4] + self.keep_us <= passed:
-            self.hold([])
-            if self.now.exists():
-                self.now.clear()
-            self.arm([])
-        else:
-            self.now.update(now)
-            self.hold(wait)
-            ends = [now[3] + 1] if now[0] == "leased" else [now[4] + self.keep_us] if now[0] in ("completed", "failed") else []
-            self.arm([*ends, *(e[0] for e in wait)])
-        if now != before:
-            yield pd.DataFrame({"job_id": [job], "state": [now[0]], "attempts": [now[1]], "seq": [now[2]], "lease_us": pd.array([now[3]], "Int64")})
+            return rows, None, [], []
+        ends = [now[3] + 1] if now[0] == "leased" else [now[4] + self.keep_us] if now[0] in ("completed", "failed") else []
+        return rows, now, wait, [*ends, *(e[0] for e in wait)]
 
     # a job that waits for a claim has no end of its own, so its few numbers stay
 
@@ -194,14 +192,18 @@ def _timed(rows: DataFrame, column: str, late: str) -> DataFrame:
     return rows.withColumn("at", F.timestamp_micros(column)).withWatermark("at", late)
 
 
-def stream_upload_progress(chunks: DataFrame, late: str = "1 hour") -> DataFrame:
+def _in_buckets(rows: DataFrame, key: str, buckets: int):
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy("bucket")
+
+
+def stream_upload_progress(chunks: DataFrame, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """X2 over chunks (CHUNKS); late: how much later than others a chunk may come. Rows of the session HEARTBEAT move time alone."""
-    return _timed(chunks, "created_us", late).groupBy("session_id").transformWithStateInPandas(UploadProgress(), PROGRESS, "Update", "EventTime")
+    return _in_buckets(_timed(chunks, "created_us", late), "session_id", buckets).transformWithStateInPandas(UploadProgress(), PROGRESS, "Update", "EventTime")
 
 
-def stream_job_state(events: DataFrame, late: str = "1 hour", keep: int = 86_400) -> DataFrame:
+def stream_job_state(events: DataFrame, late: str = "1 hour", keep: int = 86_400, buckets: int = BUCKETS) -> DataFrame:
     """X3 over events (JOBS); keep: seconds for which a finished job's state stays. Rows of the job HEARTBEAT move time alone."""
-    return _timed(events, "at_us", late).groupBy("job_id").transformWithStateInPandas(JobState(keep * 1_000_000), JOB_STATE, "Update", "EventTime")
+    return _in_buckets(_timed(events, "at_us", late), "job_id", buckets).transformWithStateInPandas(JobState(keep * 1_000_000), JOB_STATE, "Update", "EventTime")
 
 
 def stream_inventory(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
