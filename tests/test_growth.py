@@ -1,11 +1,14 @@
 """Work that grows no faster than the input: what is parsed, written and called for each row."""
 
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from filecat.plans import content_queries as Q
 from filecat.plans.derived import Catalog
 from filecat.plans.stream_queries import arriving
+from filecat.sources.extractors import Registry
 from filecat.streaming import streams as X
 from tests.test_oracles import SF
 
@@ -76,3 +79,21 @@ def test_a_bucket_of_jobs_costs_one_visit(spark):
     upload.init(cell)
     (out,) = upload.handleInputRows((7,), iter([sessions.toPandas()]), cell)
     assert len(out) == 300 and set(out["received"]) == {10} and set(out["state"]) == {"active"} and cell.calls < 10
+
+
+def test_children_that_hang_do_not_wait_for_each_other(spark):
+    """Sixteen files of one task on which the extractor hangs for a second each; the others have their records."""
+    registry = Registry()
+
+    def reads(frames):
+        for frame in frames:
+            if frame["content"][0] == b"hang":
+                time.sleep(60)
+            yield pd.DataFrame({"node_id": frame["node_id"], "raw_payload": [c.decode() for c in frame["content"]]})
+
+    registry.register("exiftool", "v1", reads, seconds=1)
+    files = spark.createDataFrame([(f"n{i}", "image/png", bytearray(b"hang" if i % 4 == 0 else b"%d" % i)) for i in range(64)], "node_id string, mime_type string, content binary").coalesce(1)
+    began = time.time()
+    got = {r["node_id"]: (r["status"], r["raw_payload"]) for r in registry.run(files).collect()}
+    assert time.time() - began < 12
+    assert got == {f"n{i}": ("failed", '{"error": "extractor took longer than 1 s"}') if i % 4 == 0 else ("completed", str(i)) for i in range(64)}
