@@ -380,6 +380,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFr
     rows = grouped_rows(docs, shingle, share)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")
     chosen = checkpointed(rows.groupBy("root").agg(F.min(order).alias("one")).select("one.doc_id", "one.cid"))
-    keyed = docs.withColumns({"_cid": F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_id": F.col("doc_id").cast("long")})
-    kept = keyed.join(chosen, keyed["_id"].eqNullSafe(chosen["doc_id"]) & (keyed["_cid"] == chosen["cid"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_cid"]).drop("_id", "_cid")
+    # one key without nulls: then the join and the removal of repeated rows share one shuffle of the texts
+    key = lambda doc_id, cid: F.concat(cid, F.coalesce(doc_id.cast("long").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_key", key(F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    kept = keyed.join(chosen.select(key(F.col("doc_id"), F.col("cid")).alias("_key")), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")

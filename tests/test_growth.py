@@ -5,6 +5,7 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
+from filecat.llm.similar_texts import one_of_each
 from filecat.plans import content_queries as Q
 from filecat.plans.derived import Catalog
 from filecat.plans.stream_queries import arriving
@@ -97,3 +98,19 @@ def test_children_that_hang_do_not_wait_for_each_other(spark):
     got = {r["node_id"]: (r["status"], r["raw_payload"]) for r in registry.run(files).collect()}
     assert time.time() - began < 12
     assert got == {f"n{i}": ("failed", '{"error": "extractor took longer than 1 s"}') if i % 4 == 0 else ("completed", str(i)) for i in range(64)}
+
+
+def test_texts_are_shuffled_once_for_those_that_stay(spark):
+    """The join with the chosen rows and the removal of repeated rows take one exchange of the texts."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "c d e f g h"), (3, None)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = one_of_each(docs)
+        exchanges = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        got = sorted((r["doc_id"], r["text"]) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == [(1, "a b"), (2, "c d e f g h"), (3, None)]
+    assert len(exchanges) == 2  # the texts' and the chosen rows'
