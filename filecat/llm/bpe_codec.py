@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from filecat.llm.common import documents, set_out, slices, texts_of
 from filecat.llm.word_bpe import BLANK, PART, REMEMBERED, Decoder, WordBPE
 
+#: Bytes of text whose pieces are told apart at once.
+LOT = 2 << 20
+
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
@@ -20,7 +24,7 @@ class TextEncoder:
     """Ids of texts, part by part. What the transducer made of a white-space bounded piece is remembered, of so many pieces at most."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.bpe, self.known, self.recent, self.remembered = WordBPE(path), {}, deque(maxlen=2), remembered
+        self.bpe, self.known, self.met, self.remembered = WordBPE(path), {}, Counter(), remembered
 
     def parts(self, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(number of the text, some of its ids as unsigned little-endian 32 bit), in order; no part is of more than a few PART bytes of text."""
@@ -45,27 +49,45 @@ class TextEncoder:
                 lot.append((k, text[at:to]))
                 held += to - at
                 at = to
-                if held > PART:
+                if held > LOT:
                     yield from self._lot(lot)
                     lot, held = [], 0
         yield from self._lot(lot)
 
     def _lot(self, lot: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-        if len(self.known) > self.remembered:  # what each of the last lots had is likely to come again
-            often = set.intersection(*self.recent).intersection(self.known)
-            self.known = {piece: self.known[piece] for piece in often} if 2 * len(often) < self.remembered else {}
-        known, cut = self.known, [part.split() for _, part in lot]
-        new: set[bytes] = set()
-        for pieces in cut:
-            new.update(pieces)
-        self.recent.append(new)
-        if found := list(new.difference(known)):
-            known.update(zip(found, self.bpe.learn(found)))
-        out = [(k, b"".join(map(known.__getitem__, pieces))) for (k, _), pieces in zip(lot, cut)]
-        for piece in found:
-            if len(piece) > 64:  # long ones are not remembered
-                del known[piece]
-        return out
+        if not lot:
+            return []
+        if len(self.known) > self.remembered:
+            self._forget()
+        known = self.known
+        # pieces are told apart in Arrow; Python sees each of a lot's once
+        pieces = pc.ascii_split_whitespace(pa.array([part for _, part in lot], pa.string()))
+        coded = pieces.values.dictionary_encode()
+        spelt = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(known.get, spelt))
+        found = [piece for piece, x in zip(spelt, ids) if x is None]
+        self.met.update([piece for piece, x in zip(spelt, ids) if x is not None])
+        if found:
+            fresh = self.bpe.learn(found)
+            # long ones are not remembered
+            known.update((piece, x) for piece, x in zip(found, fresh) if len(piece) <= 64)
+            rest = iter(fresh)
+            ids = [next(rest) if x is None else x for x in ids]
+        flat = pa.array(ids, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1][pieces.offsets.to_numpy()].tolist()
+        data = memoryview(flat.buffers()[2] or b"")
+        return [(k, bytes(data[at:to])) for (k, _), at, to in zip(lot, ends, ends[1:])]
+
+    def _forget(self) -> None:
+        """Keeps the pieces that were met again in most lots, half of the memory at most."""
+        often, least, kept = Counter(self.met.values()), 1, 0
+        for n in sorted(often, reverse=True):
+            kept += often[n]
+            if 2 * kept > self.remembered:
+                least = n + 1
+                break
+        self.known = {piece: self.known[piece] for piece, n in self.met.items() if n >= least}
+        self.met = Counter({piece: self.met[piece] // 2 for piece in self.known})
 
 
 def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:

@@ -14,13 +14,14 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
 from filecat.llm.token_count import RARE, load
 
 #: Stands for the rank of a pair that never merges.
-NO_RANK = 1 << 40
+NO_RANK = 1 << 30
 #: A worker remembers at most so many distinct words, or windows of longer ones, then starts afresh.
 REMEMBERED = 200_000
 #: Letters of a word's first window.
@@ -39,6 +40,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+def lowered(s: str) -> str:
+    """Each character in lower case by itself; only a capital sigma would look at its neighbours."""
+    return "".join(map(str.lower, s)) if "\u03a3" in s else s.lower()
+
+
 def sufficient_lookahead(merges: list[tuple[int, int, int]], width: list[int]) -> np.ndarray:
     """For each id: bytes behind a token's end that decide whether a merge crosses that end.
 
@@ -65,11 +71,12 @@ class Ranks:
     def __init__(self, pairs: np.ndarray):
         self.levels, rest, rank = [], pairs, np.arange(len(pairs))
         for k in range(12):
-            keys, values, odd = np.full(1 << 18, -1), np.full(1 << 18, NO_RANK), 0x9E3779B97F4A7C15 + 2 * k
-            slot = self.slot(rest, odd)
+            wide = max(10, (4 * len(rest)).bit_length())  # the few that are left need a small table
+            keys, values, odd = np.full(1 << wide, -1), np.full(1 << wide, NO_RANK, np.int32), 0x9E3779B97F4A7C15 + 2 * k
+            slot = self.slot(rest, odd, wide)
             _, first = np.unique(slot, return_index=True)
             keys[slot[first]], values[slot[first]] = rest[first], rank[first]
-            self.levels.append((odd, keys, values))
+            self.levels.append((odd, wide, keys, values))
             left = np.ones(len(rest), bool)
             left[first] = False
             rest, rank = rest[left], rank[left]
@@ -77,16 +84,15 @@ class Ranks:
                 break
 
     @staticmethod
-    def slot(pairs: np.ndarray, odd: int) -> np.ndarray:
-        return (pairs.astype(np.uint64) * np.uint64(odd) >> np.uint64(46)).astype(np.int64)
+    def slot(pairs: np.ndarray, odd: int, wide: int) -> np.ndarray:
+        return (pairs.view(np.uint64) * np.uint64(odd) >> np.uint64(64 - wide)).view(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pair = np.where((left < 0) | (right < 0), -2, left << 20 | right)
-        out = np.full(pair.shape, NO_RANK)
-        for odd, keys, values in self.levels:
-            slot = self.slot(pair, odd)
-            hit = keys[slot] == pair
-            out[hit] = values[slot[hit]]
+        pair = left.astype(np.int64) << 20 | right  # negative if one of them is, and so in no table
+        out = np.full(pair.shape, NO_RANK, np.int32)
+        for odd, wide, keys, values in self.levels:
+            slot = self.slot(pair, odd, wide)
+            np.copyto(out, values[slot], where=keys[slot] == pair)
         return out
 
 
@@ -118,8 +124,8 @@ class WordBPE:
         self.ranks = {a << 20 | b: (k, c) for k, (a, b, c) in reversed(list(enumerate(order)))}
         self.widths, self.reach = np.array(self.width), sufficient_lookahead(order, self.width)
         self.most = 2 * int(self.reach.max()) + max(self.width)  # in so many letters some end is stable
-        self.inner_of, self.last_of = np.array(self.inner), np.array(self.last)
-        self.results = np.array([c for _, _, c in order])
+        self.inner_of, self.last_of = np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        self.results = np.array([c for _, _, c in order], np.int32)
         self.table = Ranks(np.array([a << 20 | b for a, b, _ in order]))
         self.marks = {i: i for i in self.special.values()}
         self.marked_ids: dict[str | int, bytes] = {x: i.to_bytes(4, "little") for x, i in self.marks.items()}
@@ -130,7 +136,7 @@ class WordBPE:
         size = np.array([len(w) for w in windows])
         n, wide = len(windows), int(size.max())
         raw = np.frombuffer(b"".join(windows), np.uint8)
-        ids = np.full((n, wide + 1), -1, np.int64)
+        ids = np.full((n, wide + 1), -1, np.int32)
         ids[np.arange(wide + 1) < size[:, None]] = self.inner_of[raw]
         end = np.flatnonzero(ended)
         ids[end, size[end] - 1] = self.last_of[raw[np.cumsum(size)[end] - 1]]
@@ -204,7 +210,27 @@ class WordBPE:
         return out
 
     def transduce(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (unsigned little-endian 32 bit): a window of each at once, until all have ended."""
+        """Ids of each word (unsigned little-endian 32 bit): words of one window, of which all is stable, by size; windows of the others."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out, low = [b""] * len(words), 0
+        for high in (*range(4, WINDOW, 4), WINDOW):
+            at = np.flatnonzero((sizes > low) & (sizes <= high)).tolist()
+            if len(at) < 16:
+                for k in at:
+                    out[k] = self._one(words[k], True)[0]
+            else:
+                ids, size = self._merged([words[k] for k in at], np.ones(len(at), bool))
+                flat, bounds = ids[np.arange(ids.shape[1]) < size[:, None]].tobytes(), (4 * np.cumsum(size)).tolist()
+                for k, x, to in zip(at, [0, *bounds], bounds):
+                    out[k] = flat[x:to]
+            low = high
+        if at := np.flatnonzero(sizes > WINDOW).tolist():
+            for k, ids in zip(at, self._windowed([words[k] for k in at])):
+                out[k] = ids
+        return out
+
+    def _windowed(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: a window of each at once, until all have ended."""
         out, todo = [[] for _ in words], [(k, 0, WINDOW) for k in range(len(words))]
         while todo:
             ended, rest = [at + wide >= len(words[k]) for k, at, wide in todo], []
@@ -220,7 +246,7 @@ class WordBPE:
         if s.isascii():
             return self.find(s.lower())
         if not self.rare(s):
-            return self.find("".join(map(str.lower, unicodedata.normalize("NFC", s))))
+            return self.find(lowered(unicodedata.normalize("NFC", s)))
         self.library = self.library or load(self.path)
         byte = {c: b for b, c in enumerate(byte_letters())}
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(s))
@@ -232,13 +258,12 @@ class WordBPE:
         if "<|" in text or (not text.isascii() and self.rare(text)):
             cut = [self._marked(p.decode()) for p in pieces]
         else:
-            text = text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+            text = text.lower() if text.isascii() else lowered(unicodedata.normalize("NFC", text))
             cut = [s if s.isalpha() else self.find(s) for s in text.split(" ")]
         if len(self.words) > REMEMBERED:
             self.words = dict(self.marked_ids)
-        fresh: set[str | int] = set()
-        for ws in cut:
-            fresh.update((ws,) if type(ws) is str else ws)
+        fresh: set[str | int] = {ws for ws in cut if type(ws) is str}
+        fresh.update(chain.from_iterable([ws for ws in cut if type(ws) is not str]))
         fresh = list(fresh.difference(self.words))
         known = self.words
         if fresh:
