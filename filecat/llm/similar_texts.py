@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filecat.llm.common import cut as checkpointed
-from filecat.llm.common import set_out, slices, texts_of
+from filecat.llm.common import release, set_out, slices, texts_of
 from filecat.llm.components import components
 from filecat.llm.words import BASE, cut, hashes, mixed, rolling
 
@@ -236,33 +236,50 @@ def nearest_pairs(parts: DataFrame, share: float) -> DataFrame:
     return parts.select(*place, "cid", "n", "fp").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a string, b string").distinct()
 
 
+def asked_texts(asked: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cid, text of the texts asked for; a text that several rows with one doc_id have comes as often."""
+    asked = asked.join(nodes.select("cid", F.col("first_key").alias("doc_key")), "cid")
+    few = asked.count() <= FEW  # then the texts themselves need no shuffle
+    return texts.join(F.broadcast(asked) if few else asked, ["cid", "doc_key"]).select("cid", "text")
+
+
+def cells_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """cid, size (distinct shingles), cells (how many of them are in each cell) of the texts asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=SLICE):
+            found = [s.view(np.int64) for s in shingle_sets(texts_of(batch), shingle)]
+            cells = [np.bincount(s % CELLS, minlength=CELLS).astype(np.int32) for s in found]
+            yield set_out({"cid": (batch.column("cid"), pa.string()), "size": ([len(s) for s in found], pa.int64()), "cells": (cells, pa.list_(pa.int32()))})
+
+    return checkpointed(asked_texts(asked, texts, nodes).mapInArrow(run, "cid string, size long, cells array<int>").dropDuplicates(["cid"]))
+
+
 def sets_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """cid, items (sorted hashes of the distinct shingles), cells (how many of them are in each cell) of the texts asked for."""
+    """cid, items (sorted hashes of the distinct shingles) of the texts asked for."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
             found = [np.sort(s.view(np.int64)) for s in shingle_sets(texts_of(batch), shingle)]
-            cells = [np.bincount(s % CELLS, minlength=CELLS).astype(np.int32) for s in found]
-            yield set_out({"cid": (batch.column("cid"), pa.string()), "items": (found, pa.list_(pa.int64())), "cells": (cells, pa.list_(pa.int32()))})
+            yield set_out({"cid": (batch.column("cid"), pa.string()), "items": (found, pa.list_(pa.int64()))})
 
-    asked = asked.join(nodes.select("cid", F.col("first_key").alias("doc_key")), "cid")
-    few = asked.count() <= FEW  # then the texts themselves need no shuffle
-    one = texts.join(F.broadcast(asked) if few else asked, ["cid", "doc_key"]).dropDuplicates(["cid", "doc_key"])
-    return checkpointed(one.select("cid", "text").mapInArrow(sets, "cid string, items array<long>, cells array<int>"))
+    return checkpointed(asked_texts(asked, texts, nodes).dropDuplicates(["cid"]).mapInArrow(run, "cid string, items array<long>"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, share: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least share.
 
-    Two sets have no more in common than the lesser counts of their cells add up to: sets are sent only
-    to pairs for which that suffices."""
-    items = sets_of(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), texts, nodes, shingle)
-    counted = pairs.join(items.select(F.col("cid").alias("a"), F.col("cells").alias("p"), F.size("items").alias("n_p")), "a")
-    counted = counted.join(items.select(F.col("cid").alias("b"), F.col("cells").alias("q"), F.size("items").alias("n_q")), "b")
+    Two sets have no more in common than the lesser counts of their cells add up to: sets are made and
+    sent only for pairs for which that suffices."""
+    ends = lambda of: checkpointed(of.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    cells = cells_of(ends(pairs), texts, nodes, shingle)
+    counted = pairs.join(cells.toDF("a", "n_p", "p"), "a").join(cells.toDF("b", "n_q", "q"), "b")
     most = F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)
     pairs = checkpointed(counted.where((1 + share) * most >= share * (F.col("n_p") + F.col("n_q")) - 1e-6).select("a", "b"))
-    left, right = items.select(F.col("cid").alias("a"), F.col("items").alias("x")), items.select(F.col("cid").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    del cells, counted
+    release(pairs.sparkSession)
+    items = sets_of(ends(pairs), texts, nodes, shingle)
+    both = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("common") >= share * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
@@ -300,6 +317,7 @@ def missed_pairs(texts: DataFrame, nodes: DataFrame, tied: DataFrame, shingle: i
     The meetings there and what lies behind the last of them must then suffice for o.
     """
     counts = bucket_counts(texts, shingle)
+    release(texts.sparkSession)
     part = share / (1 + share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +370,9 @@ def grouped_rows(docs: DataFrame, shingle: int, share: float) -> DataFrame:
     tried = checkpointed(nearest_pairs(parts, share))
     links = checkpointed(similar(tried, texts, nodes, shingle, share))
     tied = components(links).withColumnRenamed("node", "cid")
-    more = similar(missed_pairs(texts, nodes, tied, shingle, share), texts, nodes, shingle, share)
+    missed = missed_pairs(texts, nodes, tied, shingle, share)
+    release(docs.sparkSession)
+    more = similar(missed, texts, nodes, shingle, share)
     # later links tie groups to one another
     ends = more.join(tied.toDF("a", "from"), "a", "left").join(tied.toDF("b", "to"), "b", "left")
     groups = components(checkpointed(ends.select(F.coalesce("from", "a").alias("a"), F.coalesce("to", "b").alias("b")))).toDF("first_root", "last_root")
@@ -380,6 +400,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFr
     rows = grouped_rows(docs, shingle, share)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")
     chosen = checkpointed(rows.groupBy("root").agg(F.min(order).alias("one")).select("one.doc_id", "one.cid"))
+    del rows
+    release(docs.sparkSession)
     # one key without nulls: then the join and the removal of repeated rows share one shuffle of the texts
     key = lambda doc_id, cid: F.concat(cid, F.coalesce(doc_id.cast("long").cast("string"), F.lit("")))
     keyed = docs.withColumn("_key", key(F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
